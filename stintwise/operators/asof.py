@@ -30,45 +30,53 @@ def nearest_join(
     a sample before or after a row takes it from the nearest earlier or later slice that has
     one; that table has one row per group and slice.
     """
-    at_instant = samples.filter(F.col(sample_time).isNotNull()).groupBy(*keys, sample_time).agg(
-        *[F.min_by(v, sample_tie).alias(v) for v in values]
-    )
-    sample = F.struct(F.col(sample_time), *[F.col(v) for v in values])
-    series = at_instant.select(
-        *keys,
-        time_slice(sample_time, s).alias(SLICE),
-        F.col(sample_time).alias("_t"),
-        sample.alias("_sample"),
+    series = (
+        samples.filter(F.col(sample_time).isNotNull())
+        .groupBy(*keys, F.col(sample_time).alias("_t"))
+        .agg(*[F.min_by(v, sample_tie).alias(v) for v in values])
+        .withColumn(SLICE, time_slice("_t", s))
     )
     placed = rows.withColumn(SLICE, time_slice(row_time, s)).withColumn("_t", F.col(row_time))
 
+    # Plain values instead of structs keep these aggregates in hash tables.
     ends = (
-        series.groupBy(*keys, SLICE)
-        .agg(F.min_by("_sample", "_t").alias("_first"), F.max_by("_sample", "_t").alias("_last"))
-        .unionByName(placed.select(*keys, SLICE).distinct(), allowMissingColumns=True)
+        series.unionByName(placed.select(*keys, SLICE), allowMissingColumns=True)
+        .filter(F.col(SLICE).isNotNull())
         .groupBy(*keys, SLICE)
-        .agg(F.first("_first", True).alias("_first"), F.first("_last", True).alias("_last"))
+        .agg(
+            F.min("_t").alias("_t_first"),
+            F.max("_t").alias("_t_last"),
+            *[F.min_by(v, "_t").alias(f"_first_{v}") for v in values],
+            *[F.max_by(v, "_t").alias(f"_last_{v}") for v in values],
+        )
     )
     slices = Window.partitionBy(*keys)
     earlier = slices.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     later = slices.orderBy(F.col(SLICE).desc()).rowsBetween(Window.unboundedPreceding, -1)
+
+    def end(side: str):
+        t = F.col(f"_t_{side}")
+        fields = [t.alias(sample_time), *[F.col(f"_{side}_{v}").alias(v) for v in values]]
+        return F.when(t.isNotNull(), F.struct(*fields))
+
     carried = ends.select(
         *keys,
         SLICE,
-        F.last("_last", True).over(earlier).alias("_carry_prev"),
-        F.last("_first", True).over(later).alias("_carry_next"),
+        F.last(end("last"), True).over(earlier).alias("_carry_prev"),
+        F.last(end("first"), True).over(later).alias("_carry_next"),
     )
 
     in_slice = Window.partitionBy(*keys, SLICE)
     so_far = in_slice.orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     to_come = in_slice.orderBy(F.col("_t").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    sample = F.struct(F.col("_t").alias(sample_time), *[F.col(v) for v in values])
     met = (
         placed.withColumn("_row", F.lit(True))
-        .unionByName(series, allowMissingColumns=True)
+        .unionByName(series.select(*keys, SLICE, "_t", sample.alias("_sample")), allowMissingColumns=True)
         .withColumn("_prev", F.last("_sample", True).over(so_far))
         .withColumn("_next", F.last("_sample", True).over(to_come))
         .filter("_row")
-        .join(carried.filter(F.col(SLICE).isNotNull()), [*keys, SLICE], "left")
+        .join(carried, [*keys, SLICE], "left")
     )
     prev = F.coalesce("_prev", "_carry_prev")
     nxt = F.coalesce("_next", "_carry_next")

@@ -1,8 +1,15 @@
-"""Speeds at and around the corners of a circuit."""
+"""One pass over a lap's samples: its motion figures and its speeds at and around corners.
+
+Every corner contributes marks, stretches of distance whose speed is wanted. Samples meet
+the marks of their circuit, plus one mark for the lap itself, and a sample goes on only
+under the marks its segment touches. One aggregate by (lap, corner, mark) and one by lap
+follow, both inside the lap partitioning the cleaning already made, so the samples shuffle
+once for everything.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stintwise.operators import telemetry as tel
@@ -10,92 +17,121 @@ from stintwise.operators.lookup import join_pinned, pin_small
 from stintwise.schema import TEL_LAP
 from stintwise.settings import DEFAULTS, Settings
 
-
-def _meet(segments: DataFrame, marks: DataFrame, s: Settings) -> DataFrame:
-    """Every segment with the marks of its circuit. Marks are a few per circuit; pinned they
-    are broadcast and the segments stay where their lap is."""
-    small, pinned = pin_small(marks, s)
-    return join_pinned(segments, small, pinned, ["circuit"], "inner")
+LAP_MARK, ENTRY, APEX, EXIT, AT = "lap", "entry", "apex", "exit", "at"
+WINDOWS = (ENTRY, APEX, EXIT)
 
 
-def speed_at_corners(pairs: DataFrame, corners: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """Speed at each corner mark, by lap; marks outside the lap's distance range are left out.
+def marks(corners: DataFrame, parts: tuple[str, ...], s: Settings = DEFAULTS) -> DataFrame:
+    """Rows (circuit, number, part, a, b): the distance range [a, b] each part asks for."""
+    offsets = {
+        ENTRY: (-s.corner_entry_m, -s.corner_entry_m),
+        APEX: (-s.corner_apex_m, s.corner_apex_m),
+        EXIT: (s.corner_exit_m, s.corner_exit_m),
+        AT: (0.0, 0.0),
+    }
+    d = F.col("distance")
+    asked = [
+        F.struct(F.lit(p).alias("part"), (d + offsets[p][0]).alias("a"), (d + offsets[p][1]).alias("b"))
+        for p in parts
+    ]
+    of_corner = corners.select("circuit", "number", F.explode(F.array(*asked)).alias("m")).select(
+        "circuit", "number", "m.*"
+    )
+    of_lap = corners.select("circuit").distinct().withColumn("part", F.lit(LAP_MARK))
+    return of_corner.unionByName(of_lap, allowMissingColumns=True)
 
-    One row per lap and corner: (lap, number, speed_at_corner).
-    """
-    marks = corners.select("circuit", "number", F.col("distance").alias("_x"))
-    d0, d1, x = F.col("distance"), F.col("to_distance"), F.col("_x")
-    last = d1.isNull() & (x == d0)  # the end of the lap belongs to its last sample
-    hit = _meet(pairs, marks, s).filter(((d0 <= x) & (x < d1)) | last)
-    value = F.when(x == d0, F.col("speed")).otherwise(tel.at_distance(x, F.col("speed"), F.col("to_speed")))
-    return hit.select(*TEL_LAP, "number", value.alias("speed_at_corner"))
 
+def marked_points(
+    pairs: DataFrame, corners: DataFrame, parts: tuple[str, ...], s: Settings = DEFAULTS
+) -> DataFrame:
+    """Samples under the marks they touch. Every sample appears once under the lap mark.
 
-def corner_windows(pairs: DataFrame, corners: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """Entry, apex and exit speed of each corner of each lap, read from the lap's 2 m grid.
-
-    Only the grid points a corner needs are made: two around the entry and exit distance,
-    and those in the apex window. One row per lap and corner.
+    Grid marks (entry, apex, exit) yield the 2 m grid points they need, `k`, with speed
+    `v`; the full grid is never made. The mark at the corner yields one point on the raw
+    samples.
     """
     step = s.corner_grid_m
-    marks = corners.select(
-        "circuit",
-        "number",
-        F.explode(
-            F.array(
-                F.struct(F.lit("entry").alias("part"), (F.col("distance") - s.corner_entry_m).alias("a"),
-                         (F.col("distance") - s.corner_entry_m).alias("b")),
-                F.struct(F.lit("apex").alias("part"), (F.col("distance") - s.corner_apex_m).alias("a"),
-                         (F.col("distance") + s.corner_apex_m).alias("b")),
-                F.struct(F.lit("exit").alias("part"), (F.col("distance") + s.corner_exit_m).alias("a"),
-                         (F.col("distance") + s.corner_exit_m).alias("b")),
-            )
-        ).alias("m"),
-    ).select("circuit", "number", "m.part", "m.a", "m.b")
-    grid = tel.with_grid(pairs, step).filter(F.col("k_lo") <= F.col("k_hi"))
-    apex = F.col("part") == "apex"
+    table, pinned = pin_small(marks(corners, parts, s), s)
+    met = join_pinned(tel.with_grid(pairs, step), table, pinned, ["circuit"])
+    part = F.coalesce("part", F.lit(LAP_MARK))  # a circuit without corners has no marks
     rel_a = (F.col("a") - F.col("grid_start")) / F.lit(step)
     rel_b = (F.col("b") - F.col("grid_start")) / F.lit(step)
-    lo = F.when(apex, F.ceil(rel_a)).otherwise(F.floor(rel_a))
-    hi = F.when(apex, F.floor(rel_b)).otherwise(F.ceil(rel_b))
-    points = (
-        _meet(grid, marks, s)
-        .withColumn("_lo", F.greatest(lo, F.col("k_lo")))
-        .withColumn("_hi", F.least(hi, F.col("k_hi")))
-        .filter(F.col("_lo") <= F.col("_hi"))
-        .withColumn("k", F.explode(F.sequence("_lo", "_hi")))
-        .withColumn("_v", tel.at_distance(F.col("grid_start") + F.col("k") * F.lit(step), F.col("speed"), F.col("to_speed")))
-        .withColumn("_rel", rel_a)
+    apex = F.col("part") == APEX
+    lo = F.greatest(F.when(apex, F.ceil(rel_a)).otherwise(F.floor(rel_a)), F.col("k_lo"))
+    hi = F.least(F.when(apex, F.floor(rel_b)).otherwise(F.ceil(rel_b)), F.col("k_hi"))
+    d0, d1, a = F.col("distance"), F.col("to_distance"), F.col("a")
+    here = ((d0 <= a) & (a < d1)) | (d1.isNull() & (a == d0))  # the lap's end is its last sample
+    on_grid = (F.col("k_lo") <= F.col("k_hi")) & (lo <= hi)
+    touched = met.withColumn("part", part).filter(
+        F.when(F.col("part") == LAP_MARK, True)
+        .when(F.col("part") == AT, here)
+        .otherwise(on_grid)
     )
-    below, above = F.col("k") == F.floor("_rel"), F.col("k") == F.ceil("_rel")
-    by_part = points.groupBy(*TEL_LAP, "number", "part").agg(
-        F.min("_v").alias("_low"),
-        F.max(F.when(below, F.col("_v"))).alias("_v0"),
-        F.max(F.when(above, F.col("_v"))).alias("_v1"),
-        F.max(F.col("_rel") - F.floor("_rel")).alias("_share"),
+    points = F.when(F.col("part").isin(*WINDOWS), F.sequence(lo, hi)).otherwise(F.array(F.lit(0).cast("long")))
+    x = F.when(F.col("part") == AT, a).otherwise(F.col("grid_start") + F.col("k") * F.lit(step))
+    v = tel.at_distance(x, F.col("speed"), F.col("to_speed"))
+    return (
+        touched.withColumn("k", F.explode(points))
+        .withColumn("v", F.when(F.col("part") != LAP_MARK, v))
+        .withColumn("rel", rel_a)
     )
-    # The point must lie on the grid on both sides; a null neighbour leaves it unknown.
-    at_point = F.when(F.col("_share") == 0, F.col("_v0")).otherwise(
-        F.col("_v0") + (F.col("_v1") - F.col("_v0")) * F.col("_share")
+
+
+def speed_by_mark(points: DataFrame, *lap_aggregates: Column) -> DataFrame:
+    """One row per lap, corner and mark with its `mark_speed`; the lap mark's row carries
+    the lap aggregates.
+
+    Entry and exit lie between two grid points; with either missing or unknown so are they.
+    """
+    below, above = F.floor("rel"), F.ceil("rel")
+    grouped = points.groupBy(*TEL_LAP, "number", "part").agg(
+        F.min("v").alias("_low"),
+        F.max(F.when(F.col("k") == below, F.col("v"))).alias("_v0"),
+        F.max(F.when(F.col("k") == above, F.col("v"))).alias("_v1"),
+        F.max(F.col("rel") - below).alias("_share"),
+        *lap_aggregates,
     )
-    return by_part.groupBy(*TEL_LAP, "number").agg(
-        F.max(F.when(F.col("part") == "entry", at_point)).alias("entry_speed"),
-        F.max(F.when(apex, F.col("_low"))).alias("apex_speed"),
-        F.max(F.when(F.col("part") == "exit", at_point)).alias("exit_speed"),
+    share = F.col("_share")
+    between = F.when(share == 0, F.col("_v0")).otherwise(
+        F.col("_v0") + (F.col("_v1") - F.col("_v0")) * share
     )
+    speed = F.when(F.col("part").isin(APEX, AT), F.col("_low")).otherwise(between)
+    return grouped.withColumn("mark_speed", speed).drop("_low", "_v0", "_v1", "_share")
 
 
-def corner_summary(pairs: DataFrame, corners: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """Mean entry, apex and exit speed over the corners of each lap."""
-    return corner_windows(pairs, corners, s).groupBy(*TEL_LAP).agg(
-        F.avg("entry_speed").alias("corner_entry_speed_kph"),
-        F.avg("apex_speed").alias("apex_speed_kph"),
-        F.avg("exit_speed").alias("corner_exit_speed_kph"),
+def corner_windows(pairs: DataFrame, corners: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """Entry, apex and exit speed of each corner of each lap."""
+    by_mark = speed_by_mark(marked_points(pairs, corners, WINDOWS, s)).filter(F.col("part") != LAP_MARK)
+    return by_mark.groupBy(*TEL_LAP, "number").agg(
+        *[F.max(F.when(F.col("part") == p, F.col("mark_speed"))).alias(f"{p}_speed") for p in WINDOWS]
     )
 
 
-def track_summary(pairs: DataFrame, corners: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """Mean corner speed of each lap."""
-    return speed_at_corners(pairs, corners, s).groupBy(*TEL_LAP).agg(
-        F.avg("speed_at_corner").alias("avg_corner_speed_kph")
+def speed_at_corners(pairs: DataFrame, corners: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """Speed at each corner mark inside the lap's distance range: (lap, number, speed)."""
+    by_mark = speed_by_mark(marked_points(pairs, corners, (AT,), s))
+    return by_mark.filter(F.col("part") == AT).select(*TEL_LAP, "number", F.col("mark_speed").alias("speed_at_corner"))
+
+
+def lap_summary(
+    pairs: DataFrame, corners: DataFrame, means: dict[str, str], lap_aggregates: list[Column], s: Settings = DEFAULTS
+) -> DataFrame:
+    """One row per lap: the lap aggregates, and for each (mark, name) of `means` the mean
+    speed over the lap's corners."""
+    by_mark = speed_by_mark(marked_points(pairs, corners, tuple(means), s), *lap_aggregates)
+    of_lap = [c for c in by_mark.columns if c not in (*TEL_LAP, "number", "part", "mark_speed")]
+    return by_mark.groupBy(*TEL_LAP).agg(
+        *[F.max(F.when(F.col("part") == LAP_MARK, F.col(c))).alias(c) for c in of_lap],
+        *[F.avg(F.when(F.col("part") == p, F.col("mark_speed"))).alias(name) for p, name in means.items()],
     )
+
+
+def motion_summary(pairs: DataFrame, corners: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """Driver and vehicle features of each lap."""
+    means = {ENTRY: "corner_entry_speed_kph", APEX: "apex_speed_kph", EXIT: "corner_exit_speed_kph"}
+    return lap_summary(pairs, corners, means, tel.motion_aggregates(s), s)
+
+
+def track_summary(pairs: DataFrame, corners: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """Mean corner speed and DRS zones of each lap."""
+    return lap_summary(pairs, corners, {AT: "avg_corner_speed_kph"}, [tel.drs_aggregate()], s)

@@ -15,12 +15,13 @@ OF_STINT = Window.partitionBy(*STINT)
 
 
 def stint_table(laps: DataFrame) -> DataFrame:
-    """One row per stint: compound, length, whether a later stint followed, whether the
-    driver has a stint on two compounds anywhere in the session.
+    """One row per stint: length, first and last lap, whether a later stint followed, whether
+    it mixes compounds, whether any stint of the driver does.
 
-    Everything is an algebraic aggregate, combined before it shuffles. Laps without a stint
-    belong to none.
+    Algebraic aggregates over numbers, combined in hash tables before they shuffle: compounds
+    are compared by hash, as strings would force a sort. Laps without a stint belong to none.
     """
+    code = F.when(F.col("compound").isNotNull(), F.xxhash64("compound"))
     stints = (
         laps.filter(F.col("stint").isNotNull())
         .groupBy(*STINT)
@@ -28,10 +29,8 @@ def stint_table(laps: DataFrame) -> DataFrame:
             F.count("*").cast("int").alias("stint_laps"),
             F.min("lap_number").alias("first_lap"),
             F.max("lap_number").alias("last_lap"),
-            F.min("compound").alias("_lo"),
-            F.max("compound").alias("_hi"),
+            F.coalesce(F.min(code) != F.max(code), F.lit(False)).alias("is_mixed"),
         )
-        .withColumn("is_mixed", F.coalesce(F.col("_lo") != F.col("_hi"), F.lit(False)))
     )
     drivers = stints.groupBy(*DRIVER).agg(
         F.max("stint").alias("_last_stint"), F.bool_or("is_mixed").alias("driver_has_mixed")
@@ -39,8 +38,7 @@ def stint_table(laps: DataFrame) -> DataFrame:
     return (
         stints.join(drivers, DRIVER)
         .withColumn("is_complete", F.col("stint") < F.col("_last_stint"))
-        .withColumn("stint_compound", F.coalesce("_lo", F.lit("UNKNOWN")))
-        .drop("_lo", "_hi", "_last_stint")
+        .drop("_last_stint")
     )
 
 
@@ -61,8 +59,9 @@ def mixed_stint_drivers(laps: DataFrame) -> DataFrame:
 def with_stints(laps: DataFrame) -> DataFrame:
     """Laps with their stint's attributes; drivers with a mixed-compound stint are left out."""
     stints = stint_table(laps).filter(~F.col("driver_has_mixed"))
-    return laps.join(
-        stints.select(*STINT, "stint_laps", "is_complete", "stint_compound"), STINT
+    compound = F.coalesce(F.min("compound").over(OF_STINT), F.lit("UNKNOWN"))
+    return laps.join(stints.select(*STINT, "stint_laps", "is_complete"), STINT).withColumn(
+        "stint_compound", compound
     )
 
 

@@ -79,18 +79,20 @@ def clean(tel: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
 
 def with_pairs(cleaned: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """Each sample with its neighbours: `accel` from the previous one, `to_speed` and
-    `to_distance` of the next one, and whether the lap's first sample."""
-    # Reverse order: the neighbour behind in time is the one ahead in the window.
+    `to_distance` of the next one, and whether the DRS flap opens here."""
+    # In reverse order the sample before in time comes after in the window.
     dt = F.col("time_s") - F.lead("time_s").over(BACKWARD)
     dv = kph_to_ms(F.col("speed")) - kph_to_ms(F.lead("speed").over(BACKWARD))
-    return cleaned.withColumns(
-        {
-            "braking": F.coalesce(F.col("brake") > 0, F.lit(False)),
-            "accel": F.when(dt > s.min_dt_s, dv / dt),
-            "to_speed": F.lag("speed").over(BACKWARD),
-            "to_distance": F.lag("distance").over(BACKWARD),
-        }
-    )
+    extra = {
+        "braking": F.coalesce(F.col("brake") > 0, F.lit(False)),
+        "accel": F.when(dt > s.min_dt_s, dv / dt),
+        "to_speed": F.lag("speed").over(BACKWARD),
+        "to_distance": F.lag("distance").over(BACKWARD),
+    }
+    if "drs" in cleaned.columns:
+        is_open = F.coalesce(F.col("drs").isin(*DRS_OPEN), F.lit(False))
+        extra["drs_opens"] = is_open & ~F.coalesce(F.lead(is_open).over(BACKWARD), F.lit(False))
+    return cleaned.withColumns(extra)
 
 
 def with_grid(pairs: DataFrame, step: float) -> DataFrame:
@@ -135,13 +137,13 @@ def resample(cleaned: DataFrame, step: float | None = None, s: Settings = DEFAUL
     )
 
 
-def motion_features(pairs: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """Speed, throttle, acceleration and braking figures of each lap."""
+def motion_aggregates(s: Settings = DEFAULTS) -> list[Column]:
+    """Speed, throttle, acceleration and braking figures of a lap."""
     decel = F.when(F.col("braking"), -F.col("accel"))
     v0, v1 = kph_to_ms(F.col("speed")), kph_to_ms(F.col("to_speed"))
     shed = F.when(F.col("braking") & (v1 < v0), 0.5 * F.lit(s.car_mass_kg) * (v0 * v0 - v1 * v1))
     energy = F.when(F.count("*") >= 2, F.coalesce(F.sum(shed), F.lit(0.0)) / 1000.0)
-    return pairs.groupBy(*TEL_LAP).agg(
+    return [
         F.avg(decel).alias("avg_braking_decel_ms2"),
         F.max(decel).alias("peak_braking_decel_ms2"),
         F.avg("throttle").alias("avg_throttle_pct"),
@@ -150,16 +152,9 @@ def motion_features(pairs: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
         F.max("speed").alias("max_speed_kph"),
         energy.alias("brake_energy_estimate_kj"),
         F.avg(F.abs("accel")).alias("longitudinal_accel_ms2"),
-    )
+    ]
 
 
-def drs_zones(tel: DataFrame) -> DataFrame:
-    """Number of unbroken runs of open DRS per lap."""
-    is_open = F.coalesce(F.col("drs").isin(*DRS_OPEN), F.lit(False))
-    marked = tel.withColumn("_open", is_open)
-    begins = F.col("_open") & ~F.coalesce(F.lag("_open").over(FORWARD), F.lit(False))
-    return (
-        marked.withColumn("_begins", begins)
-        .groupBy(*TEL_LAP)
-        .agg(F.count_if("_begins").cast("int").alias("num_drs_zones"))
-    )
+def drs_aggregate() -> Column:
+    """Number of unbroken runs of open DRS in a lap."""
+    return F.count_if("drs_opens").cast("int").alias("num_drs_zones")

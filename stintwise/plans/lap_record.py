@@ -52,9 +52,7 @@ def track_features(t: SessionTables, s: Settings = DEFAULTS) -> DataFrame:
     wanted = ref.select(F.col("tel_driver").alias("driver"), F.col("tel_lap").alias("lap_number")).distinct()
     samples = join_pinned(t.telemetry, wanted, pinned, TEL_LAP, "inner")
     pairs = T.with_pairs(T.clean(samples, s), s)
-    speeds = C.track_summary(pairs, t.corners, s)
-    zones = T.drs_zones(pairs)
-    per_lap = zones.join(speeds, TEL_LAP, "left").withColumnsRenamed(
+    per_lap = C.track_summary(pairs, t.corners, s).withColumnsRenamed(
         {"driver": "tel_driver", "lap_number": "tel_lap"}
     )
     counts = t.corners.groupBy("circuit").agg(F.count("*").cast("int").alias("num_corners"))
@@ -69,10 +67,8 @@ def track_features(t: SessionTables, s: Settings = DEFAULTS) -> DataFrame:
 
 
 def telemetry_features(tel: DataFrame, corners: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """Driver and vehicle features of each telemetry lap. Both aggregates keep the lap
-    partitioning of the cleaned samples, so they meet without another shuffle."""
-    pairs = T.with_pairs(T.clean(tel, s), s)
-    return T.motion_features(pairs, s).join(C.corner_summary(pairs, corners, s), TEL_LAP, "left")
+    """Driver and vehicle features of each telemetry lap; the samples shuffle once."""
+    return C.motion_summary(T.with_pairs(T.clean(tel, s), s), corners, s)
 
 
 def with_weather(laps: DataFrame, weather: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
