@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stintwise.settings import DEFAULTS, Settings
@@ -45,16 +45,18 @@ def join_pinned(rows: DataFrame, lookup: DataFrame, pinned: bool, on: list[str],
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write the rows once to the shared checkpoint folder, for plans that read them again.
-
-    The folder is the cluster's own `spark.checkpoint.dir`; only where none is set, as in
-    local tests, one is made.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's own `spark.checkpoint.dir`; only where none is set, as in local tests,
+    a folder is made."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+            sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         )
+    return sc.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write the rows once to the shared folder, for plans that read them again."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -43,11 +43,14 @@ def stint_table(laps: DataFrame) -> DataFrame:
 
 
 def stint_lap_lists(laps: DataFrame) -> DataFrame:
-    """Stints with their lap numbers as an ordered list."""
+    """Stints with their compound and their lap numbers as an ordered list."""
     return (
         laps.filter(F.col("stint").isNotNull())
         .groupBy(*STINT)
-        .agg(F.sort_array(F.collect_list("lap_number")).alias("lap_numbers"))
+        .agg(
+            F.coalesce(F.min("compound"), F.lit("UNKNOWN")).alias("compound"),
+            F.sort_array(F.collect_list("lap_number")).alias("lap_numbers"),
+        )
     )
 
 
