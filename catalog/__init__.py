@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("laps", "telemetry")
+MODULES = ("laps", "telemetry", "models")
 
 
 def all_queries() -> dict:

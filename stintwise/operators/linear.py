@@ -92,6 +92,16 @@ def polynomial_coefficients(train: DataFrame, degree: int) -> DataFrame:
     return fitted.filter((F.col("n_rows") >= degree + 1) & F.col("b1").isNotNull())
 
 
+def fit_per_group(df: DataFrame, by: list[str]) -> DataFrame:
+    """Straight-line fits of every group and compound at once; groups that cannot be fitted
+    stay, flagged."""
+    x, y = F.col(AGE).cast("double"), F.col(TARGET)
+    fitted = training_rows(df, [TARGET, AGE, COMPOUND]).groupBy(*by, COMPOUND).agg(
+        F.count("*").alias("n_rows"), F.regr_intercept(y, x).alias("b0"), F.regr_slope(y, x).alias("b1")
+    )
+    return fitted.withColumn("is_fitted", (F.col("n_rows") >= 2) & F.col("b1").isNotNull())
+
+
 def fit_polynomial(train: DataFrame, degree: int = 1, s: Settings = DEFAULTS) -> Fit:
     require_columns(train, (COMPOUND, AGE, TARGET))
     names = ("b0", "b1", "b2")[: degree + 1]
@@ -277,6 +287,31 @@ def predict_circuit(model: CircuitModel, df: DataFrame) -> DataFrame:
     return attached.withColumn(PREDICTED, value).select(*df.columns, "has_own_fit", PREDICTED)
 
 
+def predict_ridge_sweep(models: list[CircuitModel], df: DataFrame) -> DataFrame:
+    """Every row scored at every penalty, `alpha`; the models share their statistics.
+
+    The coefficients of all penalties travel as one array per compound, so the rows are
+    joined once."""
+    first = models[0]
+    design = circuit_design(first.stats, first.scaled_age)
+
+    def bundle(pick) -> Column:
+        return F.array(*[F.struct(F.lit(m.alpha).alias("alpha"), *pick(m)) for m in models])
+
+    own = None
+    for i, m in enumerate(models):
+        part = m.fit.own.select(COMPOUND, F.struct(*NAMES).alias(f"_m{i}"))
+        own = part if own is None else own.join(part, COMPOUND, "full")
+    pooled = [F.struct(*[F.lit(m.fit.pooled[n]).alias(n) for n in NAMES]) for m in models]
+    rows = df.withColumns({f"_x_{n}": c for n, c in design.items()})
+    joined = join_pinned(rows, own, first.fit.pinned, [COMPOUND])
+    each = bundle(lambda m: [F.coalesce(F.col(f"_m{models.index(m)}"), pooled[models.index(m)]).alias("b")])
+    value = sum((F.col("_e.b")[n] * F.col(f"_x_{n}") for n in NAMES), F.lit(0.0))
+    return joined.withColumn("_e", F.explode(each)).select(
+        *df.columns, F.col("_e.alpha").alias("alpha"), value.alias(PREDICTED)
+    )
+
+
 def is_extrapolating(model: CircuitModel) -> Column:
     """A circuit feature lies outside its training range."""
     outside = F.lit(False)
