@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("laps", "telemetry", "models")
+MODULES = ("laps", "telemetry", "models", "reports")
 
 
 def all_queries() -> dict:
