@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from stintwise.functions import laps as L
 from stintwise.schema import SESSION, STINT
 from stintwise.settings import DEFAULTS, Settings
 
 DRIVER = [*SESSION, "driver"]
-OF_STINT = Window.partitionBy(*STINT)
+
+
+def of_stint() -> WindowSpec:
+    """All laps of a stint: a few dozen at most, as many as one set of tires can run."""
+    return Window.partitionBy(*STINT)
 
 
 def stint_table(laps: DataFrame) -> DataFrame:
@@ -62,7 +66,7 @@ def mixed_stint_drivers(laps: DataFrame) -> DataFrame:
 def with_stints(laps: DataFrame) -> DataFrame:
     """Laps with their stint's attributes; drivers with a mixed-compound stint are left out."""
     stints = stint_table(laps).filter(~F.col("driver_has_mixed"))
-    compound = F.coalesce(F.min("compound").over(OF_STINT), F.lit("UNKNOWN"))
+    compound = F.coalesce(F.min("compound").over(of_stint()), F.lit("UNKNOWN"))
     return laps.join(stints.select(*STINT, "stint_laps", "is_complete"), STINT).withColumn(
         "stint_compound", compound
     )
@@ -70,7 +74,7 @@ def with_stints(laps: DataFrame) -> DataFrame:
 
 def with_validity(laps: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """Adds the stint's exact median reference time and the valid-lap flag."""
-    reference = F.median(F.when(L.counts_for_reference(), F.col("lap_time_s"))).over(OF_STINT)
+    reference = F.median(F.when(L.counts_for_reference(), F.col("lap_time_s"))).over(of_stint())
     return laps.withColumn("reference_s", reference).withColumn(
         "is_valid_lap", L.is_valid_lap(F.col("reference_s"), s)
     )
@@ -79,8 +83,8 @@ def with_validity(laps: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
 def with_targets(laps: DataFrame) -> DataFrame:
     """Adds baseline, delta, consistency, remaining life and the masked stint length."""
     valid = F.col("is_valid_lap")
-    baseline = F.min_by(F.when(valid, F.col("lap_time_s")), F.when(valid, F.col("lap_number"))).over(OF_STINT)
-    spread = F.stddev_samp(F.when(valid, F.col("lap_time_s"))).over(OF_STINT)
+    baseline = F.min_by(F.when(valid, F.col("lap_time_s")), F.when(valid, F.col("lap_number"))).over(of_stint())
+    spread = F.stddev_samp(F.when(valid, F.col("lap_time_s"))).over(of_stint())
     return (
         laps.withColumn("baseline_s", baseline)
         .withColumn("driver_consistency_std_s", spread)

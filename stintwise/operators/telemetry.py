@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from stintwise.functions.laps import kph_to_ms
 from stintwise.schema import TEL_LAP, require_columns
@@ -22,15 +22,24 @@ REQUIRED = ("time_s", "speed", "throttle", "brake", "n_gear", "distance")
 FILLED = ("speed", "throttle", "brake", "n_gear", "rpm", "x", "y", "z")
 DRS_OPEN = (10, 12, 14)
 
-LAP_WINDOW = Window.partitionBy(*TEL_LAP)
-FORWARD = LAP_WINDOW.orderBy("time_s")
-BACKWARD = LAP_WINDOW.orderBy(F.col("time_s").desc())
 UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
 
 
+def of_lap() -> WindowSpec:
+    return Window.partitionBy(*TEL_LAP)
+
+
+def forward() -> WindowSpec:
+    return of_lap().orderBy("time_s")
+
+
+def backward() -> WindowSpec:
+    return of_lap().orderBy(F.col("time_s").desc())
+
+
 def dedupe_samples(tel: DataFrame) -> DataFrame:
     """First sample of every timestamp; `seq` orders samples that share one."""
-    recorded = LAP_WINDOW.orderBy("time_s", "seq")
+    recorded = of_lap().orderBy("time_s", "seq")
     return (
         tel.filter(F.col("driver").isNotNull() & F.col("lap_number").isNotNull())
         .withColumn("_last_time", F.lag("time_s").over(recorded))
@@ -44,9 +53,9 @@ def fill_gaps(tel: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     left edge; the rest of a longer gap stays null. Adds the sample position `rn`."""
     channels = [c for c in FILLED if c in tel.columns]
     known = {c: F.when(F.col(c).isNotNull(), F.struct("rn", F.col(c).cast("double").alias("v"))) for c in channels}
-    out = tel.withColumn("rn", F.row_number().over(FORWARD))
-    out = out.withColumns({f"_p_{c}": F.last(known[c], True).over(FORWARD.rowsBetween(*UP_TO_HERE)) for c in channels})
-    out = out.withColumns({f"_n_{c}": F.last(known[c], True).over(BACKWARD.rowsBetween(*UP_TO_HERE)) for c in channels})
+    out = tel.withColumn("rn", F.row_number().over(forward()))
+    out = out.withColumns({f"_p_{c}": F.last(known[c], True).over(forward().rowsBetween(*UP_TO_HERE)) for c in channels})
+    out = out.withColumns({f"_n_{c}": F.last(known[c], True).over(backward().rowsBetween(*UP_TO_HERE)) for c in channels})
     return out.withColumns({c: _filled(c, s) for c in channels}).drop(
         *[f"_{side}_{c}" for side in "pn" for c in channels]
     )
@@ -68,7 +77,7 @@ def clip_speed(tel: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
 
 def monotone_distance(tel: DataFrame) -> DataFrame:
     d = F.col("distance")
-    return tel.withColumn("distance", F.when(d.isNotNull(), F.max(d).over(FORWARD.rowsBetween(*UP_TO_HERE))))
+    return tel.withColumn("distance", F.when(d.isNotNull(), F.max(d).over(forward().rowsBetween(*UP_TO_HERE))))
 
 
 def clean(tel: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
@@ -81,17 +90,17 @@ def with_pairs(cleaned: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """Each sample with its neighbours: `accel` from the previous one, `to_speed` and
     `to_distance` of the next one, and whether the DRS flap opens here."""
     # In reverse order the sample before in time comes after in the window.
-    dt = F.col("time_s") - F.lead("time_s").over(BACKWARD)
-    dv = kph_to_ms(F.col("speed")) - kph_to_ms(F.lead("speed").over(BACKWARD))
+    dt = F.col("time_s") - F.lead("time_s").over(backward())
+    dv = kph_to_ms(F.col("speed")) - kph_to_ms(F.lead("speed").over(backward()))
     extra = {
         "braking": F.coalesce(F.col("brake") > 0, F.lit(False)),
         "accel": F.when(dt > s.min_dt_s, dv / dt),
-        "to_speed": F.lag("speed").over(BACKWARD),
-        "to_distance": F.lag("distance").over(BACKWARD),
+        "to_speed": F.lag("speed").over(backward()),
+        "to_distance": F.lag("distance").over(backward()),
     }
     if "drs" in cleaned.columns:
         is_open = F.coalesce(F.col("drs").isin(*DRS_OPEN), F.lit(False))
-        extra["drs_opens"] = is_open & ~F.coalesce(F.lead(is_open).over(BACKWARD), F.lit(False))
+        extra["drs_opens"] = is_open & ~F.coalesce(F.lead(is_open).over(backward()), F.lit(False))
     return cleaned.withColumns(extra)
 
 
@@ -99,7 +108,7 @@ def with_grid(pairs: DataFrame, step: float) -> DataFrame:
     """Grid cells a sample covers on the lap's even distance grid: indices `k_lo`..`k_hi`
     of the grid points in [distance, to_distance). The grid starts at the lap's smallest
     distance and excludes its largest."""
-    start = F.min("distance").over(LAP_WINDOW)
+    start = F.min("distance").over(of_lap())
     out = pairs.withColumn("grid_start", start)
     lo = F.ceil((F.col("distance") - F.col("grid_start")) / F.lit(step))
     hi = F.ceil((F.col("to_distance") - F.col("grid_start")) / F.lit(step)) - 1
@@ -120,8 +129,8 @@ def resample(cleaned: DataFrame, step: float | None = None, s: Settings = DEFAUL
     step = s.resample_m if step is None else step
     channels = [c for c in FILLED if c in cleaned.columns]
     ahead = cleaned.withColumns(
-        {f"_to_{c}": F.lag(c).over(BACKWARD) for c in channels}
-        | {"to_distance": F.lag("distance").over(BACKWARD)}
+        {f"_to_{c}": F.lag(c).over(backward()) for c in channels}
+        | {"to_distance": F.lag("distance").over(backward())}
     )
     cells = (
         with_grid(ahead, step)
