@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stintwise.operators.slices import SLICE, time_slice
+from stintwise.operators.lookup import join_pinned
+from stintwise.operators.slices import SLICE, crowded_slices, time_slice
 from stintwise.settings import DEFAULTS, Settings
 
 
@@ -28,15 +29,16 @@ def nearest_join(
 
     Rows and samples meet per (group, time slice), in one sort each way. A slice that lacks
     a sample before or after a row takes it from the nearest earlier or later slice that has
-    one; that table has one row per group and slice.
+    one; that table has one row per group and slice. Rows of a crowded slice are spread over
+    several tasks, each with a copy of the slice's samples.
     """
     series = (
         samples.filter(F.col(sample_time).isNotNull())
         .groupBy(*keys, F.col(sample_time).alias("_t"))
         .agg(*[F.min_by(v, sample_tie).alias(v) for v in values])
-        .withColumn(SLICE, time_slice("_t", s))
+        .withColumn(SLICE, time_slice("_t", s.slice_us))
     )
-    placed = rows.withColumn(SLICE, time_slice(row_time, s)).withColumn("_t", F.col(row_time))
+    placed = rows.withColumn(SLICE, time_slice(row_time, s.slice_us)).withColumn("_t", F.col(row_time))
 
     # Plain values instead of structs keep these aggregates in hash tables.
     ends = (
@@ -66,13 +68,26 @@ def nearest_join(
         F.last(end("first"), True).over(later).alias("_carry_next"),
     )
 
-    in_slice = Window.partitionBy(*keys, SLICE)
+    sample = F.struct(F.col("_t").alias(sample_time), *[F.col(v) for v in values])
+    placed = placed.withColumn("_row", F.lit(True))
+    series = series.select(*keys, SLICE, "_t", sample.alias("_sample"))
+    place = [*keys, SLICE]
+    crowded = crowded_slices(placed.filter(F.col(SLICE).isNotNull()), place, s)
+    if crowded is not None:
+        parts = crowded[0].select(*place, F.ceil(F.col("_crowd") / s.slice_rows).cast("int").alias("_parts"))
+        n = F.coalesce("_parts", F.lit(1))
+        mine = F.pmod(F.xxhash64(*rows.columns), n).cast("int")
+        placed = join_pinned(placed, parts, crowded[1], place).withColumn("_part", mine).drop("_parts")
+        series = join_pinned(series, parts, crowded[1], place).withColumn(
+            "_part", F.explode(F.sequence(F.lit(0), n - 1))
+        ).drop("_parts")
+        place = [*place, "_part"]
+
+    in_slice = Window.partitionBy(*place)
     so_far = in_slice.orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     to_come = in_slice.orderBy(F.col("_t").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    sample = F.struct(F.col("_t").alias(sample_time), *[F.col(v) for v in values])
     met = (
-        placed.withColumn("_row", F.lit(True))
-        .unionByName(series.select(*keys, SLICE, "_t", sample.alias("_sample")), allowMissingColumns=True)
+        placed.unionByName(series, allowMissingColumns=True)
         .withColumn("_prev", F.last("_sample", True).over(so_far))
         .withColumn("_next", F.last("_sample", True).over(to_come))
         .filter("_row")

@@ -1,10 +1,9 @@
 """One pass over a lap's samples: its motion figures and its speeds at and around corners.
 
-Every corner contributes marks, stretches of distance whose speed is wanted. Samples meet
-the marks of their circuit, plus one mark for the lap itself, and a sample goes on only
-under the marks its segment touches. One aggregate by (lap, corner, mark) and one by lap
-follow, both inside the lap partitioning the cleaning already made, so the samples shuffle
-once for everything.
+Every corner contributes marks, stretches of distance whose speed is wanted. A sample goes
+on under the marks its segment touches, and once under a mark for the lap itself. One
+aggregate by (lap, corner, mark) and one by lap follow, both inside the lap partitioning
+the cleaning already made, so the samples shuffle once for everything.
 """
 
 from __future__ import annotations
@@ -22,7 +21,8 @@ WINDOWS = (ENTRY, APEX, EXIT)
 
 
 def marks(corners: DataFrame, parts: tuple[str, ...], s: Settings = DEFAULTS) -> DataFrame:
-    """Rows (circuit, number, part, a, b): the distance range [a, b] each part asks for."""
+    """Rows (circuit, bin, number, part, a, b): the distance range [a, b] each part asks for,
+    once per distance bin it can touch."""
     offsets = {
         ENTRY: (-s.corner_entry_m, -s.corner_entry_m),
         APEX: (-s.corner_apex_m, s.corner_apex_m),
@@ -34,11 +34,11 @@ def marks(corners: DataFrame, parts: tuple[str, ...], s: Settings = DEFAULTS) ->
         F.struct(F.lit(p).alias("part"), (d + offsets[p][0]).alias("a"), (d + offsets[p][1]).alias("b"))
         for p in parts
     ]
-    of_corner = corners.select("circuit", "number", F.explode(F.array(*asked)).alias("m")).select(
-        "circuit", "number", "m.*"
+    first = F.floor((F.col("m.a") - s.corner_grid_m) / s.corner_bin_m)
+    last = F.floor((F.col("m.b") + s.corner_grid_m) / s.corner_bin_m)
+    return corners.select("circuit", "number", F.explode(F.array(*asked)).alias("m")).select(
+        "circuit", "number", "m.*", first.alias("mark_bin"), F.explode(F.sequence(first, last)).alias("bin")
     )
-    of_lap = corners.select("circuit").distinct().withColumn("part", F.lit(LAP_MARK))
-    return of_corner.unionByName(of_lap, allowMissingColumns=True)
 
 
 def marked_points(
@@ -46,34 +46,45 @@ def marked_points(
 ) -> DataFrame:
     """Samples under the marks they touch. Every sample appears once under the lap mark.
 
+    Samples look marks up by (circuit, distance bin), so a sample meets the marks near it
+    and not all of the circuit's; a pair that shares several bins meets in the first.
     Grid marks (entry, apex, exit) yield the 2 m grid points they need, `k`, with speed
     `v`; the full grid is never made. The mark at the corner yields one point on the raw
     samples.
     """
-    step = s.corner_grid_m
-    table, pinned = pin_small(marks(corners, parts, s), s)
-    met = join_pinned(tel.with_grid(pairs, step), table, pinned, ["circuit"])
-    part = F.coalesce("part", F.lit(LAP_MARK))  # a circuit without corners has no marks
+    step, width = s.corner_grid_m, s.corner_bin_m
+    known, pinned = pin_small(corners, s)
+    d0, d1 = F.col("distance"), F.col("to_distance")
+    first = F.floor(d0 / width)
+    covered = F.coalesce(F.sequence(first, F.floor(F.coalesce(d1, d0) / width)), F.array().cast("array<bigint>"))
+    of_lap = F.lit(None).cast("bigint")  # matches no mark, so it stays as the lap's own row
+    binned = tel.with_grid(pairs, step).select(
+        "*", first.alias("first_bin"), F.explode(F.concat(F.array(of_lap), covered)).alias("bin")
+    )
+    met = join_pinned(binned, marks(known, parts, s), pinned, ["circuit", "bin"])
     rel_a = (F.col("a") - F.col("grid_start")) / F.lit(step)
     rel_b = (F.col("b") - F.col("grid_start")) / F.lit(step)
     apex = F.col("part") == APEX
     lo = F.greatest(F.when(apex, F.ceil(rel_a)).otherwise(F.floor(rel_a)), F.col("k_lo"))
     hi = F.least(F.when(apex, F.floor(rel_b)).otherwise(F.ceil(rel_b)), F.col("k_hi"))
-    d0, d1, a = F.col("distance"), F.col("to_distance"), F.col("a")
+    a = F.col("a")
     here = ((d0 <= a) & (a < d1)) | (d1.isNull() & (a == d0))  # the lap's end is its last sample
     on_grid = (F.col("k_lo") <= F.col("k_hi")) & (lo <= hi)
-    touched = met.withColumn("part", part).filter(
-        F.when(F.col("part") == LAP_MARK, True)
-        .when(F.col("part") == AT, here)
-        .otherwise(on_grid)
+    touched = met.filter(
+        F.col("bin").isNull()
+        | (
+            F.col("part").isNotNull()
+            & (F.col("bin") == F.greatest("first_bin", "mark_bin"))
+            & F.when(F.col("part") == AT, here).otherwise(on_grid)
+        )
     )
     points = F.when(F.col("part").isin(*WINDOWS), F.sequence(lo, hi)).otherwise(F.array(F.lit(0).cast("long")))
     x = F.when(F.col("part") == AT, a).otherwise(F.col("grid_start") + F.col("k") * F.lit(step))
     v = tel.at_distance(x, F.col("speed"), F.col("to_speed"))
     return (
         touched.withColumn("k", F.explode(points))
-        .withColumn("v", F.when(F.col("part") != LAP_MARK, v))
-        .withColumn("rel", rel_a)
+        .withColumn("v", F.when(F.col("part").isNotNull(), v))
+        .withColumns({"rel": rel_a, "part": F.coalesce("part", F.lit(LAP_MARK))})
     )
 
 

@@ -89,7 +89,7 @@ def lap_conditions(t: SessionTables, s: Settings = DEFAULTS) -> DataFrame:
     """Laps with targets, weather, strategy and track features: all the wear models but the
     forest need, without touching the telemetry of ordinary laps."""
     track, pinned = pin_small(track_features(t, s), s)
-    laps = with_weather(stint_laps(t.laps, s), t.weather, s)
+    laps = stint_laps(with_weather(t.laps, t.weather, s), s)
     return (
         join_pinned(laps, track, pinned, SESSION, "left")
         .withColumn("is_pit_lap", L.is_pit_lap())

@@ -29,7 +29,9 @@ class Settings:
     max_age_laps: int = 60
 
     # Spark-side sizing.
+    corner_bin_m: float = 100.0  # distance bin in which samples look up corner marks
     slice_us: int = 60_000_000  # width of one time slice for ordered work on long groups
+    slice_rows: int = 1_000_000  # a slice with more rows is split further
     lookup_max_rows: int = 50_000  # largest table that may be pinned and broadcast
 
 

@@ -26,6 +26,18 @@ def test_numbering_across_slices_and_ties(spark):
             assert got[row] == i
 
 
+@pytest.mark.parametrize("limit", [4, 25])
+def test_numbering_splits_crowded_slices_and_instants(spark, limit):
+    rng = random.Random(limit)
+    rows = [("a", 5 if rng.random() < 0.5 else rng.randrange(0, 4000), i) for i in range(400)] + [("b", 1, 1000)]
+    df = spark.createDataFrame(rows, "g string, t long, tie long")
+    tight = replace(DEFAULTS, slice_us=2000, slice_rows=limit)
+    got = {(r.g, r.t, r.tie): r.n for r in number_within(df, ["g"], "t", "tie", "n", tight).collect()}
+    for g in "ab":
+        for i, row in enumerate(sorted(r for r in rows if r[0] == g), 1):
+            assert got[row] == i
+
+
 def brute_nearest(rows, samples):
     out = {}
     for key, g, t in rows:
@@ -34,15 +46,15 @@ def brute_nearest(rows, samples):
     return out
 
 
-@pytest.mark.parametrize("width", [3, 10, 1000])
-def test_nearest_equals_brute_force(spark, width):
+@pytest.mark.parametrize("width,limit", [(3, 1000), (10, 4), (1000, 50), (1000, 10**6)])
+def test_nearest_equals_brute_force(spark, width, limit):
     rng = random.Random(width)
     rows = [(i, rng.choice("ab"), None if i % 40 == 0 else rng.randrange(-50, 400)) for i in range(300)]
     rows += [(1000, "none", 5)]
     samples = [(rng.choice("ab"), rng.randrange(0, 350), i) for i in range(60)] + [("a", None, 99)]
     left = spark.createDataFrame(rows, "id int, g string, t long")
     right = spark.createDataFrame(samples, "g string, st long, seq long")
-    s = replace(DEFAULTS, slice_us=width)
+    s = replace(DEFAULTS, slice_us=width, slice_rows=limit)
     got = nearest_join(left, right, ["g"], "t", "st", "seq", ["seq"], s)
     assert {r.id: r.seq for r in got.collect()} == brute_nearest(rows, samples)
 
