@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalog.sql import sql as with_tables
-from stintwise.operators.lookup import shared_folder
 from stintwise.plans.lap_record import SessionTables
 from stintwise.sources import driver_tables as D
 
@@ -30,7 +28,7 @@ def query(name: str, sql: str | None = None):
 
 
 def tables(spark: SparkSession, sf_dir: str) -> SessionTables:
-    return SessionTables(
+    return SessionTables.of(
         D.laps(spark, sf_dir), D.weather(spark, sf_dir), D.telemetry(spark, sf_dir), D.corners(spark, sf_dir)
     )
 
@@ -43,8 +41,3 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
             for f in df.schema.fields
         ]
     )
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder on the shared storage."""
-    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog.models import FOREST, condition_rows, condition_split, lap_split
-from catalog.registry import query, rounded, scratch, tables
+from catalog.registry import query, rounded, tables
 from catalog.sql import DEF_NUM, SES, crossing, r
 from stintwise.operators import forest as RF
 from stintwise.operators import life
 from stintwise.operators import linear as M
 from stintwise.operators import splits
+from stintwise.operators.lookup import scratch_path as scratch
 from stintwise.operators.lookup import settle
 from stintwise.plans import lap_record as R
 from stintwise.plans import report as P

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from stintwise.functions import laps as L
-from stintwise.schema import SESSION, STINT
+from stintwise.schema import LAP, SESSION, STINT
 from stintwise.settings import DEFAULTS, Settings
 
 DRIVER = [*SESSION, "driver"]
@@ -63,12 +63,27 @@ def mixed_stint_drivers(laps: DataFrame) -> DataFrame:
     return stint_table(laps).filter("is_mixed").select(*STINT, "stint_laps")
 
 
+def duplicate_laps(laps: DataFrame) -> DataFrame:
+    """Laps listed more than once, and how often."""
+    return laps.groupBy(*LAP).agg(F.count("*").alias("n_copies")).filter("n_copies > 1")
+
+
 def with_stints(laps: DataFrame) -> DataFrame:
-    """Laps with their stint's attributes; drivers with a mixed-compound stint are left out."""
+    """Laps with their stint's attributes; drivers with a mixed-compound stint are left out,
+    and of a lap listed twice the first copy counts."""
     stints = stint_table(laps).filter(~F.col("driver_has_mixed"))
-    compound = F.coalesce(F.min("compound").over(of_stint()), F.lit("UNKNOWN"))
-    return laps.join(stints.select(*STINT, "stint_laps", "is_complete"), STINT).withColumn(
-        "stint_compound", compound
+    copies = Window.partitionBy(*STINT, "lap_number").orderBy("lap_end_us", "lap_time_s")
+    return (
+        laps.join(stints.select(*STINT, "is_complete"), STINT)
+        .withColumn("_copy", F.row_number().over(copies))
+        .filter("_copy = 1")
+        .withColumns(
+            {
+                "stint_laps": F.count("*").over(of_stint()).cast("int"),
+                "stint_compound": F.coalesce(F.min("compound").over(of_stint()), F.lit("UNKNOWN")),
+            }
+        )
+        .drop("_copy")
     )
 
 

@@ -27,6 +27,16 @@ class SessionTables:
     telemetry: DataFrame
     corners: DataFrame
 
+    @classmethod
+    def of(cls, *tables: DataFrame) -> SessionTables:
+        """Tables as delivered: a NaN is a missing value, and becomes null once, here."""
+        return cls(*[nan_to_null(t) for t in tables])
+
+
+def nan_to_null(df: DataFrame) -> DataFrame:
+    floats = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
+    return df.withColumns({c: F.nanvl(c, F.lit(None)) for c in floats}) if floats else df
+
 
 def reference_laps(laps: DataFrame) -> DataFrame:
     """Fastest timed lap of each session that was not deleted; of equals the lowest

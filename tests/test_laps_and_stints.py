@@ -91,3 +91,11 @@ def test_session_key_and_seconds(spark):
     df = spark.sql("SELECT 2024 AS season, 3 AS round_number, 'R' AS session_name, INTERVAL '1 02:03:04.5' DAY TO SECOND AS i")
     key, sec = df.select(L.session_key(), L.seconds(F.col("i"))).first()
     assert key == "2024_03_R" and sec == pytest.approx(93784.5)
+
+
+def test_a_lap_listed_twice_counts_once(spark):
+    rows = [lap(2, 90.0), lap(2, 95.0, lap_end_us=999_000_000), lap(3, 90.4), lap(9, 90.0, stint=2)]
+    df = laps(spark, rows)
+    out = by(stints.stint_laps(df), "lap_number", "lap_time_s", "stint_length_laps")
+    assert out[2] == (90.0, 2) and len(out) == 3
+    assert [(r.lap_number, r.n_copies) for r in stints.duplicate_laps(df).collect()] == [(2, 2)]
