@@ -55,9 +55,10 @@ def j10(spark, d):
     )
 
 
-@query("a26_default_covariates", f"SELECT circuit, tire_compound, level, n_rows, {', '.join(r(c) for c in DEF_NUM)}, is_raining FROM deflt")
+# Nine digits: the mean of eight values of four digits ends in a 5 at the seventh.
+@query("a26_default_covariates", f"SELECT circuit, tire_compound, level, n_rows, {', '.join(r(c, c, 9) for c in DEF_NUM)}, is_raining FROM deflt")
 def a26(spark, d):
-    return rounded(defaults(condition_rows(spark, d)))
+    return rounded(defaults(condition_rows(spark, d)), 9)
 
 
 @query("j9_defaults_for_requests", f"SELECT request_id, tire_compound, {r('avg_corner_speed_kph')}, {r('air_temp_c')}, is_raining FROM asked")
