@@ -47,13 +47,15 @@ def join_pinned(rows: DataFrame, lookup: DataFrame, pinned: bool, on: list[str],
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's own `spark.checkpoint.dir`; only where none is set, as in local tests,
-    a folder is made."""
+    """The folder the session names in `spark.checkpoint.dir`. Where none is set, a local
+    session, as in tests, gets a temporary one; a cluster must name its own."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(
-            sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        )
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named:
+        return named
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return sc.getCheckpointDir()
 
 
