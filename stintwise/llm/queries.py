@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stintwise.llm import quality_rules, secrets
+from stintwise.llm import exact_topk, quality_rules, secrets
 from stintwise.llm.text import documents
 
 
@@ -15,6 +15,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = exact_topk.integer_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return exact_topk.top_k(vectors, F.col("id") % 100 == 0, k=10)
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = secrets.scan(documents(spark, sf_dir))
     n_base = len(secrets.BASE)
@@ -31,6 +36,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op7_quality_rules": op7_quality_rules,
+        "op8_exact_topk": op8_exact_topk,
         "op10_secret_scans": op10_secret_scans,
     }
 

@@ -65,5 +65,15 @@ SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0)::bigint AS n_{r.kind}" for r
 """
 
 
+TOP_K = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, rank::int AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+"""
+
+
 def by_query() -> dict[str, str]:
-    return {"op7_quality_rules": quality(), "op10_secret_scans": secret_spans()}
+    return {"op7_quality_rules": quality(), "op10_secret_scans": secret_spans(), "op8_exact_topk": TOP_K}
