@@ -6,10 +6,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stintwise.llm import exact_topk, quality_rules, secrets
+from stintwise.llm import exact_topk, packing, quality_rules, record_files, secrets
 from stintwise.llm.text import documents
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), end_id=1, capacity=4096)
+
+
+def op6_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return record_files.round_trip(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), end_id=2)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.apply_rules(documents(spark, sf_dir))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -35,6 +49,8 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op4_best_two_fit": op4_best_two_fit,
+        "op6_record_files": op6_record_files,
         "op7_quality_rules": op7_quality_rules,
         "op8_exact_topk": op8_exact_topk,
         "op10_secret_scans": op10_secret_scans,
