@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stintwise.llm import exact_topk, packing, quality_rules, record_files, secrets
+from stintwise.llm import exact_topk, packing, quality_rules, record_files, repeated_windows, secrets
 from stintwise.llm.text import documents
 
 
@@ -34,6 +34,10 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(vectors, F.col("id") % 100 == 0, k=10)
 
 
+def op9_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_windows.digests(documents(spark, sf_dir))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = secrets.scan(documents(spark, sf_dir))
     n_base = len(secrets.BASE)
@@ -53,6 +57,7 @@ def queries() -> dict:
         "op6_record_files": op6_record_files,
         "op7_quality_rules": op7_quality_rules,
         "op8_exact_topk": op8_exact_topk,
+        "op9_super_kmers": op9_super_kmers,
         "op10_secret_scans": op10_secret_scans,
     }
 

@@ -75,5 +75,20 @@ SELECT query_id, rank::int AS rank, vec_id, score FROM (
 """
 
 
+REPEATS = r"""
+WITH s AS (SELECT row_number() OVER () AS row_id, doc_id,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+w AS (SELECT row_id, doc_id, words, unnest(range(1, len(words) - 48)) AS pos FROM s WHERE len(words) >= 50),
+h AS (SELECT row_id, doc_id, pos, sha256(array_to_string(words[pos:pos + 49], ' ')) AS h FROM w),
+gone AS (SELECT row_id, pos FROM (SELECT row_id, doc_id, pos, min(doc_id) OVER (PARTITION BY h) AS first FROM h) WHERE first < doc_id),
+c AS (SELECT row_id, list(DISTINCT pos + k ORDER BY pos + k) AS covered FROM gone, (SELECT unnest(range(50)) AS k) GROUP BY row_id),
+x AS (SELECT row_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM s),
+cov AS (SELECT row_id, unnest(covered) AS i FROM c),
+k AS (SELECT x.row_id, string_agg(word, ' ' ORDER BY x.i) AS kept FROM x ANTI JOIN cov ON x.row_id = cov.row_id AND x.i = cov.i GROUP BY x.row_id)
+SELECT doc_id, len(words)::bigint AS n_words, coalesce(len(covered), 0)::bigint AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM s LEFT JOIN c USING (row_id) LEFT JOIN k USING (row_id)
+"""
+
+
 def by_query() -> dict[str, str]:
-    return {"op7_quality_rules": quality(), "op10_secret_scans": secret_spans(), "op8_exact_topk": TOP_K}
+    return {"op7_quality_rules": quality(), "op10_secret_scans": secret_spans(), "op8_exact_topk": TOP_K, "op9_super_kmers": REPEATS}
