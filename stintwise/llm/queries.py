@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stintwise.llm import exact_topk, packing, quality_rules, record_files, repeated_windows, secrets
+from stintwise.llm import chosen_path, exact_topk, packing, quality_rules, record_files, repeated_windows, secrets
 from stintwise.llm.text import documents
 
 
@@ -16,6 +16,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.group_documents(documents(spark, sf_dir), chosen_path.SetSpec(words=4, percent=80))
+
+
 def op4_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), end_id=1, capacity=4096)
 
@@ -53,6 +57,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_chosen_path": op1_chosen_path,
         "op4_best_two_fit": op4_best_two_fit,
         "op6_record_files": op6_record_files,
         "op7_quality_rules": op7_quality_rules,
