@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stintwise.llm import chosen_path, exact_topk, packing, quality_rules, record_files, repeated_windows, secrets
+from stintwise.llm import chosen_path, exact_topk, language_crf, neighbours, packing, quality_rules, record_files, repeated_windows, secrets
 from stintwise.llm.text import documents
 
 
@@ -20,10 +20,19 @@ def op1_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.group_documents(documents(spark, sf_dir), chosen_path.SetSpec(words=4, percent=80))
 
 
+def op2_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language_crf.predictions(docs, language_crf.fit(docs))
+
+
 def op4_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
+def op5_neighbour_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_files.round_trip(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), end_id=2)
 
@@ -58,7 +67,9 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_chosen_path": op1_chosen_path,
+        "op2_language_crf": op2_language_crf,
         "op4_best_two_fit": op4_best_two_fit,
+        "op5_neighbour_votes": op5_neighbour_votes,
         "op6_record_files": op6_record_files,
         "op7_quality_rules": op7_quality_rules,
         "op8_exact_topk": op8_exact_topk,
