@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stintwise.llm import chosen_path, exact_topk, language_crf, neighbours, packing, quality_rules, record_files, repeated_windows, secrets
+from stintwise.llm import chosen_path, exact_topk, language_crf, neighbours, packing, quality_rules, record_files, repeated_windows, secrets, segmentations
 from stintwise.llm.text import documents
 
 
@@ -25,6 +25,10 @@ def op2_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_crf.predictions(docs, language_crf.fit(docs))
 
 
+def op3_gumbel_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segmentations.segmentations(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"), k=2)
+
+
 def op4_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), end_id=1, capacity=4096)
 
@@ -68,6 +72,7 @@ def queries() -> dict:
     return {
         "op1_chosen_path": op1_chosen_path,
         "op2_language_crf": op2_language_crf,
+        "op3_gumbel_topk": op3_gumbel_topk,
         "op4_best_two_fit": op4_best_two_fit,
         "op5_neighbour_votes": op5_neighbour_votes,
         "op6_record_files": op6_record_files,
