@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stintwise.operators.lookup import join_pinned
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -114,12 +116,13 @@ def findings_by_path(versions: DataFrame, ledger: DataFrame, path: str = "doc_id
     kinds = F.array(*[F.lit(r.kind) for r in rules])
     kind = F.try_element_at(order, F.col("rule"))
     flat = ledger.filter(kind.isNotNull() & (F.size("spans") > 0)).select("blob", kind.alias("k"), F.inline("spans"))
-    per_blob = flat.groupBy(F.col("blob").alias("_blob")).agg(
+    per_blob = flat.groupBy("blob").agg(
         F.sort_array(F.collect_set(F.struct("at", F.col("k").alias("kind_order"), F.get(kinds, F.col("k")).alias("kind"), "until"))).alias("found")
     )
     none = F.array().cast(per_blob.schema["found"].dataType)
     rows = versions.select(F.col(path).alias("path"), blob_id(F.col(text)).alias("blob"))
-    return rows.join(per_blob, F.col("blob") == F.col("_blob"), "left").select(
+    # Any share of the paths may have the same blob, so the join is salted.
+    return join_pinned(rows, per_blob, False, ["blob"], "left").select(
         F.col("path").alias(path), "blob", F.coalesce("found", none).alias("found")
     )
 
