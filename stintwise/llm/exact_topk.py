@@ -57,7 +57,8 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     largest = max(1, int(np.abs(q).max(initial=0))) * max(1, int(np.abs(x).max(initial=0))) * max(1, q.shape[1])
     if largest < 2**53:
         return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
-    return (q.astype(object) @ x.astype(object).T).astype(np.int64)
+    most = 2**63 - 1  # a score beyond 64 bits becomes the largest or smallest there is
+    return np.clip(q.astype(object) @ x.astype(object).T, -most, most).astype(np.int64)
 
 
 def lifted(v: np.ndarray, top: float) -> np.ndarray:
