@@ -36,8 +36,8 @@ from stintwise.operators.lookup import settle
 
 SPAN, SHORT = 50, 12
 GROUPS = SPAN - SHORT + 1  # word groups in a window, and windows in a super-k-mer at most
-BATCH_WORDS = 500_000
-MANY = 1_000  # different strings of a minimiser from which its windows are grouped one by one
+BATCH_WORDS = 300_000
+MANY = 5_000  # strings of a minimiser from which its windows are grouped one by one: 5,000 x 39 windows take 40 MB
 BUCKET_STRINGS = 4_000
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -112,18 +112,21 @@ def super_kmers(word_lists: list[list[bytes]]) -> tuple[np.ndarray, ...]:
     return doc[start], inside[start], count, groups[where[start]], digest
 
 
-def batches_of(word_lists: list[list[bytes]]):
-    """Positions of the documents long enough to hold a window, in groups of bounded size."""
-    some, size = [], 0
-    for i, w in enumerate(word_lists):
-        if len(w) >= SPAN:
+def batches_of(texts):
+    """(positions, word lists) of the texts long enough to hold a window, in groups of bounded
+    size: only one group's words are held at a time."""
+    some, lists, size = [], [], 0
+    for i, t in enumerate(texts):
+        words = byte_words(t)
+        if len(words) >= SPAN:
             some.append(i)
-            size += len(w)
+            lists.append(words)
+            size += len(words)
             if size >= BATCH_WORDS:
-                yield some
-                some, size = [], 0
+                yield some, lists
+                some, lists, size = [], [], 0
     if some:
-        yield some
+        yield some, lists
 
 
 def text_key(text: Column) -> Column:
@@ -137,9 +140,8 @@ def pieces(docs: DataFrame) -> DataFrame:
     def run(batches):
         for pdf in batches:
             ids, keys = pdf["doc_id"].to_numpy(), pdf["tk"].to_numpy()
-            word_lists = [byte_words(t) for t in pdf["text"]]
-            for some in batches_of(word_lists):
-                d, start, count, minimiser, digest = super_kmers([word_lists[i] for i in some])
+            for some, lists in batches_of(pdf["text"]):
+                d, start, count, minimiser, digest = super_kmers(lists)
                 row = np.array(some)[d]
                 yield pd.DataFrame({"minimiser": minimiser.view(np.int64), "digest": digest.view(np.int64), "doc": ids[row], "tk": keys[row], "at": start * 64 + count})
 
@@ -225,12 +227,13 @@ def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, tk, cuts): per row with something to remove, the first word of a super-k-mer and
     a bit mask of its windows that go."""
     found = settle(pieces(docs))
-    common = found.groupBy("minimiser").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("minimiser")
+    # Written, so that the join below deals both sides anew and can split a frequent minimiser.
+    common = settle(found.groupBy("minimiser").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("minimiser"))
     shared = settle(found.join(common, "minimiser", "left_semi"))
     owned = shared.groupBy("minimiser", "digest").agg(F.min(F.struct("doc", "tk", "at")).alias("first"), F.max("doc").alias("last"))
     owned = settle(owned.select("minimiser", "digest", F.col("first.doc").alias("owner"), F.col("first.tk").alias("tk"), F.col("first.at").alias("at"), "last"))
     different = owned.groupBy("minimiser").agg(F.count("*").alias("n"), F.min("owner").alias("lo"), F.max("owner").alias("hi")).filter("n > 1 and lo < hi")
-    wanted = owned.join(different.select("minimiser", (F.col("n") > MANY).alias("many")), "minimiser")
+    wanted = owned.join(settle(different.select("minimiser", (F.col("n") > MANY).alias("many"))), "minimiser")
     packed = settle(cut_strings(docs, wanted))
     n_strings = packed.filter(~F.col("many")).count()
     bucket = F.pmod(F.xxhash64("minimiser"), F.lit(-(-n_strings // BUCKET_STRINGS) or 1))
