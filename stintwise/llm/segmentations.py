@@ -156,8 +156,9 @@ class Lattices:
             weight[edge] += np.where(last[edge], 0.0, beyond[start[edge] + length[edge]])
             beyond[states] = np.logaddexp.reduceat(weight[edge], np.cumsum(n_edges) - n_edges)
         logp = weight - beyond[start]
-        total = np.cumsum(np.exp(logp))
-        upto = total - np.concatenate([[0.0], total])[first[start]]
+        # Long floats and rounding: a part's numbers must not depend on what else is in the batch.
+        total = np.concatenate([[0.0], np.cumsum(np.exp(logp), dtype=np.longdouble)])
+        upto = np.round((total[1:] - total[first[start]]).astype(float), 12)
         upto[first[1:] - 1] = 2.0  # the last edge takes what is left
         ids = np.repeat(piece, n_ids)
         id_at = np.cumsum(n_ids) - n_ids
@@ -238,9 +239,9 @@ def left_aside(lat: Lattices, paths: list[tuple[Search, dict]], k: int) -> list[
         owner = np.repeat(np.arange(len(todo)), size)
         begin = np.cumsum(size) - size
         at = np.arange(len(chosen)) - begin[owner] + start[todo][owner]
-        run = np.concatenate([[0.0], np.cumsum(lat.logp[chosen])])
-        before = phi[todo][owner] + run[:-1] - run[begin][owner]
-        phi[todo] += run[begin + size] - run[begin]
+        run = np.concatenate([[0.0], np.cumsum(lat.logp[chosen], dtype=np.longdouble)])
+        before = phi[todo][owner] + (run[:-1] - run[begin][owner]).astype(float)
+        phi[todo] += (run[begin + size] - run[begin]).astype(float)
         seed = uniform(np.array([paths[i][0].seed for i in todo], dtype=U)[owner], np.array([paths[i][1]["number"] for i in todo])[owner], at)
         top = before - np.log(-np.log(seed))  # the largest number of each place
         seed = (seed * 2.0**53).astype(U)
@@ -395,7 +396,7 @@ def segmentations(docs: DataFrame, model: str, k: int = 2, keep_ids: bool = Fals
             for rank, p in enumerate(s.samples):
                 ids = lat.ids_of(p["edges"])
                 back = decode(lat, ids)
-                row = (int(key) if ok else None, rank + 1, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), p["phi"], p["value"], s.log_inclusion(p["phi"]), zlib.crc32(back), back == want)
+                row = (int(key) if ok else None, rank + 1, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), round(p["phi"], 9), round(p["value"], 9), round(s.log_inclusion(p["phi"]), 9), zlib.crc32(back), back == want)
                 out.append((*row, ids.tolist()) if keep_ids else row)
         return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")]).astype({"doc_id": "Int64"})
 
