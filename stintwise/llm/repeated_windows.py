@@ -245,6 +245,7 @@ def removals(docs: DataFrame) -> DataFrame:
         .unionByName(one_by_one(packed.filter("many")))
     )
     verdict = owned.join(masks, ["minimiser", "digest"], "left").select("minimiser", "digest", "owner", "last", F.coalesce("mask", F.lit(0)).alias("mask")).filter("mask <> 0 or last > owner")
+    verdict = settle(verdict)  # so that the join below deals both sides anew and can split a frequent string
     every = F.expr("shiftleft(1L, cast(at % 64 as int)) - 1")
     gone = shared.join(verdict, ["minimiser", "digest"]).select("doc", "tk", F.floor(F.col("at") / 64).alias("start"), F.when(F.col("doc") > F.col("owner"), every).otherwise(F.col("mask")).alias("mask"))
     return gone.filter("mask <> 0").groupBy(F.col("doc").alias("doc_id"), "tk").agg(F.collect_set(F.struct("start", "mask")).alias("cuts"))
