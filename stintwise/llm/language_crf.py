@@ -33,9 +33,9 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class FieldSpec:
-    per_language: int = 300
+    per_language: int = 120
     most_languages: int = 64
-    rounds: int = 40
+    rounds: int = 30
     stretch: int = 24  # words of one document in a row in the training text
     decay: float = 1e-4
     rate: float = 0.3
