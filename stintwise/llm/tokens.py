@@ -9,85 +9,142 @@ two generations, so that the frequent ones stay).
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
 KEEP = 600_000
 SPACE_RUN = re.compile(r"\s ")
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"
 LOOSE_LINE = re.compile(r"^\s|\s\s|\s$")
 
 
+#: How byte-level models write bytes: visible ones as they are, the others as characters from 256 on.
+VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_SIGNS = {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - set(VISIBLE)))}
+
+
 class PieceEncoder:
-    def __init__(self, path: str, width: type, space_joins: bool):
+    def __init__(self, path: str, width: str, space_joins: bool):
         """space_joins: a single space belongs to the word behind it, else spaces are dropped."""
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.width, self.space_joins = width, space_joins
-        self.young: dict[str, bytes] = {}
+        self.code, self.space_joins = {2: "H", 4: "I"}[np.dtype(width).itemsize], space_joins
+        self.model = self.tokenizer.model
+        self.young: dict[str, bytes] = {}  # by a piece, as it is behind a space
         self.old: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}  # by what is encoded as it stands
 
     def raw(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.width).tobytes() for e in found]
+        return [array(self.code, e.ids).tobytes() for e in found]
 
-    def learn(self, pieces: list[str]) -> None:
-        """Keeps the ids of these pieces. A new piece is parted further, at single line ends and
-        before a last full stop or comma behind a letter, where pre-tokens end too: its words
-        are mostly known."""
-        if len(self.young) > KEEP:
-            self.old, self.young = self.young, {}
-        if len(self.stems) > KEEP:
-            self.stems = {}
-        parted: dict[str, list[str]] = {}
-        for p in set(pieces).difference(self.young):
-            if (kept := self.old.get(p)) is not None:
-                self.young[p] = kept
-                continue
-            lines = p.split("\n") if "\n" in p and not LOOSE_LINE.search(p) else [p]
-            parts, before = [], " " if self.space_joins else ""
-            for line in lines:
-                if line[-1] in ".," and line[-2:-1].lower().isalpha():
-                    parts += [before + line[:-1], line[-1]]
-                else:
-                    parts.append(before + line)
-                before = "\n" if self.space_joins else ""
-            parted[p] = parts
-        stems = self.stems
-        unknown = list({s for parts in parted.values() for s in parts}.difference(stems))
-        for at in range(0, len(unknown), 20_000):
-            some = unknown[at : at + 20_000]
-            stems.update(zip(some, self.raw(some)))
-        for p, parts in parted.items():
-            self.young[p] = b"".join([stems[s] for s in parts])
+    def fill(self, into: dict[str, bytes], missing: list[str], before: str = "") -> None:
+        for at in range(0, len(missing), 20_000):
+            some = missing[at : at + 20_000]
+            into.update(zip(some, self.raw([before + p for p in some] if before else some)))
+
+    def fill_words(self, words: list[str]) -> None:
+        """Words of letters alone are one pre-token each, so Latin ones go to the model itself,
+        written in its byte signs; the steps before it would cost as much again."""
+        rest, young, code, tokenize = [], self.young, self.code, self.model.tokenize
+        for w in words:
+            if max(w) < "\u0250" and "\u0130" not in w:
+                form = " " + w if self.space_joins else w.lower()
+                signs = form.encode().decode("latin-1").translate(BYTE_SIGNS)
+                young[w] = array(code, [t.id for t in tokenize(signs)]).tobytes()
+            else:
+                rest.append(w)
+        self.fill(young, rest, " " if self.space_joins else "")
+
+    def parted(self, piece: str) -> list[tuple[bool, str]]:
+        """(behind a space, text) of what a piece consists of: lines, and the signs behind a
+        line's last letter, begin pre-tokens of their own."""
+        out = []
+        bare = False
+        for line in piece.split("\n") if "\n" in piece and not LOOSE_LINE.search(piece) else [piece]:
+            core = line.rstrip(SIGNS)
+            if not core or len(core) == len(line) or not core[-1].lower().isalpha():
+                core = line
+            out.append((bare, ("\n" + core) if bare else core))
+            if len(core) < len(line):
+                out.append((True, line[len(core) :]))
+            bare = self.space_joins
+        return out
+
+    def learn(self, pieces: set[str]) -> None:
+        """Keeps the ids of new pieces. Their words are mostly known."""
+        young, old, bare = self.young, self.old, self.bare
+        words, made = set(), []
+        for p in pieces:
+            if (kept := old.get(p)) is not None:
+                young[p] = kept
+            elif p.isalpha():
+                words.add(p)
+            else:
+                made.append((p, self.parted(p)))
+        if len(bare) > KEEP:
+            bare.clear()
+        rest = set()
+        for _, parts in made:
+            for is_bare, x in parts:
+                if is_bare:
+                    if x not in bare:
+                        rest.add(x)
+                elif x not in young:
+                    words.add(x)
+        letters = {w for w in words if w.isalpha()}
+        self.fill_words(list(letters))
+        self.fill(young, list(words - letters), " " if self.space_joins else "")
+        self.fill(bare, list(rest))
+        for p, parts in made:
+            if len(parts) > 1:
+                young[p] = b"".join([bare[x] if is_bare else young[x] for is_bare, x in parts])
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, packed in `width`."""
-        out: list[bytes | None] = [None] * len(texts)
-        cut: list[tuple[int, list[str]]] = []
+        """The ids of each text, packed in `width`. Copies are encoded once."""
+        different = list(dict.fromkeys(texts))
+        if len(different) < len(texts):
+            found = dict(zip(different, self.ids(different)))
+            return [found[t] for t in texts]
+        if len(self.young) > KEEP:
+            self.old, self.young = self.young, {}
+        self.young[""] = b""
+        out: list[bytes] = [b""] * len(texts)
+        get = self.young.get
         odd: list[int] = []
+        late: list[tuple[int, list[str], list]] = []
+        new: set[str] = set()
+        heads: list[str] = []
         for i, t in enumerate(texts):
-            if self.space_joins and (SPACE_RUN.search(t) or t[:1] == " " or t[-1:] == " "):
-                odd.append(i)  # a run of spaces is parted otherwise
+            if self.space_joins:
+                if SPACE_RUN.search(t) or t[:1] == " " or t[-1:] == " ":
+                    odd.append(i)  # a run of spaces is parted otherwise
+                    continue
+                head, _, t = t.partition(" ")
+                heads.append(head)
+            pieces = t.split(" ")
+            values = list(map(get, pieces))
+            if None in values:
+                new.update([p for p, v in zip(pieces, values) if v is None])
+                late.append((i, pieces, values))
             else:
-                cut.append((i, t.split(" ")))
-        first = self.space_joins
-        self.learn([p for _, pieces in cut for p in pieces[first:] if p])
-        get = self.young.get
-        for i, pieces in cut:
-            body = b"".join([get(p, b"") for p in pieces[first:]])
-            out[i] = body
-        if first:
-            heads = self.raw([pieces[0] for _, pieces in cut])
-            for (i, _), h in zip(cut, heads):
+                out[i] = b"".join(values)
+        self.learn(new)
+        known = self.young
+        for i, pieces, values in late:
+            out[i] = b"".join([known[p] if v is None else v for p, v in zip(pieces, values)])
+        if self.space_joins:
+            whole = set(odd)
+            for i, h in zip([i for i in range(len(texts)) if i not in whole], self.raw(heads)):
                 out[i] = h + out[i]
-            tails = [re.split(r"(?<=\S)(?= )", texts[i]) for i in odd]
-            flat = self.raw([p for pieces in tails for p in pieces])
+            cut = [re.split(r"(?<=\S)(?= )", texts[i]) for i in odd]
+            flat = self.raw([p for pieces in cut for p in pieces])
             at = 0
-            for i, pieces in zip(odd, tails):
+            for i, pieces in zip(odd, cut):
                 out[i] = b"".join(flat[at : at + len(pieces)])
                 at += len(pieces)
         return out
@@ -95,7 +152,7 @@ class PieceEncoder:
 
 @lru_cache(maxsize=4)
 def encoder(path: str, width: str, space_joins: bool) -> PieceEncoder:
-    return PieceEncoder(path, np.dtype(width).type, space_joins)
+    return PieceEncoder(path, width, space_joins)
 
 
 def in_batches(texts: list[str], chars: int = 4_000_000):
