@@ -5,11 +5,12 @@ for all their copies. Independent trees split the classes: a node branches by mi
 chosen by the node itself, so similar sets tend to go the same way, and a node that has become
 small is compared exhaustively. Pairs that a sketch of 128 bits rules out by far are dropped;
 the others are confirmed on the full sets. Links only have to connect, so pairs inside a component
-already found need no confirming: the likeliest pair of each document goes first, then the
-likeliest between components, until none is left.
+already found need no confirming: the likeliest pair of each document goes first, then all that
+are left between components.
 
-A node that stays large is a group of much alike sets. Its members are compared with PIVOTS of
-them, which links nearly all; those left outside are compared with the whole node, in blocks.
+A large node that keeps half of the rows it comes from is a group of much alike sets. Its members
+are compared with PIVOTS of them, which links nearly all that are linked; those left outside are
+compared with the whole node on their full sets, in blocks.
 
 At similarity 0.8 a tree loses a pair with probability 0.2 a level where a node branches once;
 most nodes are small after one or two levels, so TREES trees lose about 1 pair in a million. The
@@ -24,6 +25,7 @@ ignored or, in `one_of_each`, kept whatever their names.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -148,29 +150,33 @@ def leaf_pairs(small: DataFrame, percent: int) -> DataFrame:
 def tree_pairs(classes: DataFrame, spec: SetSpec) -> tuple[DataFrame, DataFrame | None]:
     """Candidate pairs of the trees' small nodes, and the rows of nodes that stayed large."""
     doc = F.struct("rep", "n", "bits_a", "bits_b").alias("doc")
-    level = classes.select(doc, F.posexplode("roots").alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "doc")
-    found = []
+    level = classes.select(doc, F.posexplode("roots").alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "doc", F.lit(None).cast("long").alias("before"))
+    found, alike = [], []
     for depth in range(LEVELS + 1):
         sizes = level.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
         level = level.join(sizes, "node")
         if depth:
             level = settle(level)
         found.append(leaf_pairs(level.filter(F.col("size") <= SMALL), spec.percent))
-        large = level.filter(F.col("size") > SMALL).select("node", "doc")
+        large = level.filter(F.col("size") > SMALL)
         if depth == 0:
             large = settle(large)
-        if large.isEmpty():
-            return union(found), None
-        if depth == LEVELS:
-            return union(found), large
+        # A node that keeps half of the rows it comes from, or is large at the last level, holds
+        # sets that are much alike: branching would only copy them.
+        keeps = F.lit(True) if depth == LEVELS else F.coalesce(F.col("size") * 2 >= F.col("before"), F.lit(False))
+        alike.append(large.filter(keeps).select("node", "doc"))
+        large = large.filter(~keeps)
+        if depth == LEVELS or large.isEmpty():
+            dense = settle(union(alike))
+            return union(found), None if dense.isEmpty() else dense
         # One branch, or two in a quarter of the nodes: 1 / 0.8 on average.
         twice = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(4)) == 0
         which = F.pmod(F.xxhash64("node", F.lit(2)), F.lit(DEEPER)).cast("int")
         other = F.pmod(which + 1 + F.pmod(F.xxhash64("node", F.lit(3)), F.lit(DEEPER - 1)).cast("int"), F.lit(DEEPER)).cast("int")
         chosen = F.when(twice, F.array(which, other)).otherwise(F.array(which))
         tokens = classes.select(F.col("rep").alias("_rep"), "deeper")
-        spread = large.join(tokens, F.col("doc.rep") == F.col("_rep")).select("node", "doc", "deeper", F.explode(chosen).alias("which"))
-        level = spread.select(F.xxhash64("node", "which", F.get("deeper", F.col("which"))).alias("node"), "doc")
+        spread = large.join(tokens, F.col("doc.rep") == F.col("_rep")).select("node", "doc", "size", "deeper", F.explode(chosen).alias("which"))
+        level = spread.select(F.xxhash64("node", "which", F.get("deeper", F.col("which"))).alias("node"), "doc", F.col("size").alias("before"))
     raise AssertionError
 
 
@@ -182,45 +188,78 @@ def union(frames: list[DataFrame]) -> DataFrame:
 
 
 def pivots_of(large: DataFrame) -> DataFrame:
-    """PIVOTS members of each large node."""
-    picks = [F.min_by("doc", F.xxhash64("doc.rep", "node", F.lit(j))).alias(f"p{j}") for j in range(PIVOTS)]
-    return large.groupBy("node").agg(F.count("*").alias("size"), *picks)
+    """PIVOTS members of each large node: in each of as many parts of it, the member most like
+    the node's average, which is linked to most others."""
+    bit = lambda c, i: F.shiftrightunsigned(F.col(f"doc.{c}"), i).bitwiseAND(F.lit(1))
+    names = ("bits_a", "bits_b")
+    sums = large.groupBy("node").agg(F.count("*").alias("size"), *[F.sum(bit(c, i)).alias(f"{c}{i}") for c in names for i in range(64)])
+    most = lambda c: reduce(Column.bitwiseOR, [F.when(F.col(f"{c}{i}") * 2 > F.col("size"), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")) for i in range(64)])
+    middle = settle(sums.select("node", "size", F.struct(*[most(c).alias(c) for c in names]).alias("middle")))
+    rank = F.struct(likeness(F.col("doc"), F.col("middle")), F.xxhash64("doc.rep", "node"))
+    slot = F.pmod(F.xxhash64("doc.rep"), F.lit(PIVOTS))
+    picks = [F.max_by("doc", F.when(slot == j, rank)).alias(f"p{j}") for j in range(PIVOTS)]
+    return large.join(middle, "node").groupBy("node", "size").agg(*picks, F.max_by("doc", rank).alias("best"))
 
 
 def pivot_pairs(large: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
-    spread = pivots.select("node", F.explode(F.array_distinct(F.array(*[f"p{j}" for j in range(PIVOTS)]))).alias("x"))
-    both = large.join(spread, "node").filter((F.col("x.rep") != F.col("doc.rep")) & may_link(F.col("x"), F.col("doc"), percent))
+    spread = pivots.select("node", F.explode(F.array_compact(F.array_distinct(F.array(*[f"p{j}" for j in range(PIVOTS)])))).alias("x"))
+    both = large.join(settle(spread), "node").filter((F.col("x.rep") != F.col("doc.rep")) & may_link(F.col("x"), F.col("doc"), percent))
     return both.select(*pair_columns(F.col("x"), F.col("doc")))
 
 
-def outside_pairs(large: DataFrame, pivots: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Members of large nodes that are not in the component of the node's first pivot, against
-    the whole node, in blocks of BLOCK by BLOCK."""
+def set_table(texts: DataFrame, spec: SetSpec) -> DataFrame:
+    """(rep, shingles) with the hashes of the full set."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"rep": pdf["doc_id"], "shingles": [shingles(t, spec.words).tobytes() for t in pdf["text"]]})
+
+    return texts.mapInPandas(run, "rep long, shingles binary")
+
+
+def outside_links(large: DataFrame, pivots: DataFrame, labels: DataFrame, texts: DataFrame, spec: SetSpec) -> DataFrame:
+    """Links (a, b) between components (ca, cb) for the members of large nodes that are not in
+    the component of the node's best pivot. Each is compared with the whole node, in blocks of
+    BLOCK by BLOCK, on the full sets; a block gives one link for each component it links to."""
+    named_by = lambda c: labels.select(F.col("node").alias("_n"), F.col("component").alias(c))
     rep = F.col("doc.rep")
-    named = large.join(labels.withColumnRenamed("node", "_n"), rep == F.col("_n"), "left").select("node", "doc", F.coalesce("component", rep).alias("component"))
-    main = pivots.select("node", "size", F.col("p0.rep").alias("_p")).join(labels.withColumnRenamed("node", "_n"), F.col("_p") == F.col("_n"), "left")
-    main = main.select("node", "size", F.coalesce("component", "_p").alias("main"))
-    both = named.join(main, "node")
-    out = settle(both.filter("component <> main").select("node", "doc", "component", "size"))
-    n_out = out.groupBy("node").agg(F.count("*").alias("n_out"))
+    named = large.join(named_by("component"), rep == F.col("_n"), "left").select("node", "doc", F.coalesce("component", rep).alias("component"))
+    best = F.col("best.rep")
+    main = pivots.join(named_by("main"), best == F.col("_n"), "left").select("node", "size", F.coalesce("main", best).alias("main"))
+    both = settle(named.join(settle(main), "node"))
+    out = both.filter("component <> main")
+    n_out = settle(out.groupBy("node").agg(F.count("*").alias("n_out")))
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
     out_parts = F.ceil(F.col("n_out") / BLOCK).cast("int")
-    left = out.join(n_out, "node").select("node", "doc", "component", F.pmod(F.xxhash64(rep), out_parts).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("j"))
-    right = both.join(n_out, "node").select("node", "doc", "component", F.explode(F.sequence(F.lit(0), out_parts - 1)).alias("i"), F.pmod(F.xxhash64(rep), parts).cast("int").alias("j"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    one = lambda n: F.pmod(F.xxhash64(rep), n).cast("int")
+    sets_of = set_table(texts, spec)
     flat = ["node", "i", "j", "component", "doc.rep", "doc.n", "doc.bits_a", "doc.bits_b"]
+    whole = lambda rows: rows.join(sets_of, "rep")
+    left = whole(out.join(n_out, "node").select("node", "doc", "component", one(out_parts).alias("i"), every(parts).alias("j")).select(*flat))
+    right = whole(both.join(n_out, "node").select("node", "doc", "component", every(out_parts).alias("i"), one(parts).alias("j")).select(*flat))
 
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        result = []
+        result = {}
         yn, ya, yb = y["n"].to_numpy(), y["bits_a"].to_numpy(), y["bits_b"].to_numpy()
+        yc, yrep = y["component"].to_numpy(), y["rep"].to_numpy()
+        unpacked = lambda raw: frozenset(np.frombuffer(raw, dtype=U).tolist())
+        others = [unpacked(raw) for raw in y["shingles"]]
         for r in x.itertuples(index=False):
             like = 128 - np.bitwise_count(ya ^ r.bits_a).astype(int) - np.bitwise_count(yb ^ r.bits_b).astype(int)
-            ok = (like >= LEAST_BITS) & (np.minimum(yn, r.n) * 100 >= np.maximum(yn, r.n) * percent) & (y["component"].to_numpy() != r.component)
-            other = y["rep"].to_numpy()[ok]
-            result.append(pd.DataFrame({"a": np.minimum(other, r.rep), "b": np.maximum(other, r.rep), "like": like[ok]}))
-        return pd.concat(result) if result else pd.DataFrame({"a": [], "b": [], "like": []}).astype("int64")
+            ok = (like >= LEAST_BITS) & (np.minimum(yn, r.n) * 100 >= np.maximum(yn, r.n) * spec.percent) & (yc != r.component)
+            own = unpacked(r.shingles)
+            for at in np.nonzero(ok)[0]:
+                key = (r.component, yc[at])
+                if key not in result:
+                    common = len(own & others[at])
+                    if 100 * common >= spec.percent * (r.n + yn[at] - common):
+                        result[key] = (r.rep, yrep[at], *key)
+        return pd.DataFrame(list(result.values()), columns=["a", "b", "ca", "cb"]).astype("int64")
 
     key = ["node", "i", "j"]
-    return left.select(*flat).groupBy(*key).cogroup(right.select(*flat).groupBy(*key)).applyInPandas(run, "a long, b long, like int")
+    right = right.toDF(*right.columns)
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(run, "a long, b long, ca long, cb long")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, spec: SetSpec) -> DataFrame:
@@ -243,32 +282,37 @@ def confirmed(pairs: DataFrame, texts: DataFrame, spec: SetSpec) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
 
 
-def connect(pairs: DataFrame, texts: DataFrame, links: DataFrame | None, labels: DataFrame | None, spec: SetSpec):
-    """Confirms as many of `pairs` as it takes to connect all that are linked. The likeliest pair
-    of each document goes first; then, between components, the likeliest 8, 64 and at last all."""
-    take = 1
-    while True:
-        if labels is not None:
-            at = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-            pairs = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left")
-            pairs = pairs.withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b")).filter("ca <> cb")
-            pairs = settle(pairs.select("a", "b", "like", F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")))
-            if pairs.isEmpty():
-                return links, labels
-        if labels is None or take == 1:
-            best = lambda c: pairs.groupBy(c).agg(F.max_by(F.struct("a", "b"), F.struct("like", F.xxhash64("a", "b"))).alias("p")).select("p.a", "p.b")
-            chosen = best("b").unionByName(best("a")).distinct()
-        elif take <= 64:
-            slots = F.pmod(F.xxhash64("a", "b"), F.lit(take))  # a pair from each slot, so nothing is ranked in one place
-            chosen = pairs.groupBy("ca", "cb", slots.alias("slot")).agg(F.max_by(F.struct("a", "b"), F.struct("like", F.xxhash64("a", "b"))).alias("p")).select("p.a", "p.b")
-        else:
-            chosen = pairs.select("a", "b")
-        chosen = settle(chosen)
-        fresh = settle(confirmed(chosen, texts, spec))
-        links = fresh if links is None else links.unionByName(fresh)
-        labels = components(links)
-        pairs = settle(pairs.select(*PAIR).join(chosen, ["a", "b"], "left_anti"))
-        take *= 8
+def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components (ca, cb)."""
+    at = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    named = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left")
+    return named.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).filter("ca <> cb")
+
+
+def merged(labels: DataFrame, pairs: DataFrame, texts: DataFrame, spec: SetSpec) -> DataFrame:
+    """The labels once all of `pairs` between components are confirmed or dropped."""
+    apart = settle(between(pairs, labels))
+    if apart.isEmpty():
+        return labels
+    return renamed(labels, confirmed(apart.select("a", "b"), texts, spec).join(apart, ["a", "b"]))
+
+
+def renamed(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels once the components that `links` joins (ca, cb) are one."""
+    links = links.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    joined = components(links)
+    moved = labels.join(joined.select(F.col("node").alias("component"), F.col("component").alias("now")), "component", "left")
+    fresh = joined.join(labels, "node", "left_anti").select("node", "component")
+    return settle(moved.select("node", F.coalesce("now", "component").alias("component")).unionByName(fresh))
+
+
+def connected(pairs: DataFrame, texts: DataFrame, spec: SetSpec) -> DataFrame:
+    """(node, component) by the candidate pairs: each document's likeliest pair first, which
+    leaves few pairs between components to confirm."""
+    likeliest = F.max_by(F.struct("a", "b"), F.struct("like", F.xxhash64("a", "b"))).alias("p")
+    best = [pairs.groupBy(c).agg(likeliest).select("p.a", "p.b") for c in ("a", "b")]
+    labels = components(confirmed(best[0].unionByName(best[1]).distinct(), texts, spec))
+    return merged(labels, pairs, texts, spec)
 
 
 def similar_classes(docs: DataFrame, spec: SetSpec) -> tuple[DataFrame, DataFrame]:
@@ -284,7 +328,6 @@ def similar_classes(docs: DataFrame, spec: SetSpec) -> tuple[DataFrame, DataFram
     found, large = tree_pairs(classes, spec)
     pairs = [found]
     if large is not None:
-        large = settle(large)
         pivots = settle(pivots_of(large))
         pairs.append(pivot_pairs(large, pivots, spec.percent))
     candidates = settle(union(pairs).distinct())
@@ -292,11 +335,10 @@ def similar_classes(docs: DataFrame, spec: SetSpec) -> tuple[DataFrame, DataFram
     ends = candidates.select(F.col("a").alias("doc_id")).unionByName(candidates.select(F.col("b").alias("doc_id"))).distinct()
     if large is not None:
         ends = ends.unionByName(large.select(F.col("doc.rep").alias("doc_id"))).distinct()
-    texts = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ends, "doc_id", "left_semi"))
-    links, labels = connect(candidates, texts, None, None, spec)
+    texts = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ends.hint("merge"), "doc_id", "left_semi"))
+    labels = connected(candidates, texts, spec)
     if large is not None:
-        more = settle(outside_pairs(large, pivots, labels, spec.percent).distinct())
-        links, labels = connect(more, texts, links, labels, spec)
+        labels = renamed(labels, outside_links(large, pivots, labels, texts, spec))
     return rows, labels
 
 

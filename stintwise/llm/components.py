@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from stintwise.operators.lookup import settle
@@ -18,9 +18,9 @@ def components(links: DataFrame) -> DataFrame:
         near = pairs.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("beyond"))
-        stepped = settle(
-            lower.join(jump, "component", "left").select("node", "was", F.least("component", F.coalesce("beyond", "component")).alias("component"))
-        )
+        seen = Observation()
+        stepped = lower.join(jump, "component", "left").select("node", "was", F.least("component", F.coalesce("beyond", "component")).alias("component"))
+        stepped = settle(stepped.observe(seen, F.count_if(F.col("component") != F.col("was")).alias("changed")))
         labels = stepped.select("node", "component")
-        if stepped.filter("component <> was").isEmpty():
+        if not seen.get["changed"]:
             return labels
