@@ -155,15 +155,16 @@ def a18_age(spark, d):
 
 
 @query("a19_counts_per_round", """
-SELECT round_number, stint_compound AS tire_compound, count(*) AS n_laps, count(*) FILTER (WHERE coalesce(regexp_matches(track_status, '[4-7]'), false)) AS n_caution
-FROM slaps GROUP BY 1, 2""")
+SELECT season, round_number, stint_compound AS tire_compound, count(*) AS n_laps, count(*) FILTER (WHERE coalesce(regexp_matches(track_status, '[4-7]'), false)) AS n_caution
+FROM slaps GROUP BY 1, 2, 3""")
 def a19(spark, d):
     return Q.round_counts(lap_rows(spark, d))
 
 
 @query("a20_age_histogram", """
 SELECT circuit, CASE WHEN tyre_life <= 0 THEN NULL WHEN tyre_life <= 5 THEN '1-5' WHEN tyre_life <= 10 THEN '6-10' WHEN tyre_life <= 15 THEN '11-15'
- WHEN tyre_life <= 20 THEN '16-20' ELSE '21+' END AS age_bracket, count(*) AS n_laps FROM vlaps WHERE is_valid_lap GROUP BY 1, 2""")
+ WHEN tyre_life <= 20 THEN '16-20' WHEN tyre_life <= 25 THEN '21-25' WHEN tyre_life <= 30 THEN '26-30' WHEN tyre_life <= 35 THEN '31-35'
+ WHEN tyre_life <= 40 THEN '36-40' WHEN tyre_life <= 100 THEN '41+' END AS age_bracket, count(*) AS n_laps FROM vlaps WHERE is_valid_lap GROUP BY 1, 2""")
 def a20(spark, d):
     return Q.age_histogram(E.valid_rows(lap_rows(spark, d)), ["circuit"])
 
@@ -234,6 +235,9 @@ _BEST = f"""SELECT {SES}, driver, stint FROM (SELECT {SES}, driver, stint, count
  WHERE is_valid_lap AND stint_compound IN ('SOFT', 'MEDIUM', 'HARD') GROUP BY {SES}, driver, stint ORDER BY n DESC, {SES}, driver, stint LIMIT 5)"""
 
 
+_BEST_N = _BEST.replace(f"SELECT {SES}, driver, stint FROM", f"SELECT {SES}, driver, stint, n FROM", 1)
+
+
 @query("t2_cleanest_stints", f"""
 SELECT {SES}, driver AS driver_code, stint AS stint_number, tyre_life AS tire_age_laps, {r('lap_time_s')}, {r('lap_time_delta_s')}, is_valid_lap
 FROM tlaps SEMI JOIN ({_BEST}) b USING ({SES}, driver, stint)""")
@@ -244,6 +248,20 @@ def t2(spark, d):
     return rounded(picked.select(*Q.STINT_KEYS, "tire_age_laps", "lap_time_s", "lap_time_delta_s", "is_valid_lap"))
 
 
+@query("t2_stint_list", f"SELECT {SES}, driver AS driver_code, stint AS stint_number, n AS n_valid FROM ({_BEST_N})")
+def t2_list(spark, d):
+    return Q.cleanest_stints(lap_rows(spark, d), 5)
+
+
+@query("t2_best_stint_laps", f"""
+SELECT {SES}, driver AS driver_code, stint AS stint_number, tyre_life AS tire_age_laps, {r('lap_time_s')}, {r('lap_time_delta_s')}, is_valid_lap
+FROM tlaps SEMI JOIN (SELECT * FROM ({_BEST_N}) ORDER BY n DESC, {SES}, driver, stint LIMIT 1) b USING ({SES}, driver, stint)""")
+def t2_best(spark, d):
+    rows = settle(lap_rows(spark, d))
+    picked = Q.laps_of_stints(rows, Q.cleanest_stints(rows, 1))
+    return rounded(picked.select(*Q.STINT_KEYS, "tire_age_laps", "lap_time_s", "lap_time_delta_s", "is_valid_lap"))
+
+
 # --- polynomial models --------------------------------------------------------------------
 
 

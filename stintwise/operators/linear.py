@@ -362,7 +362,7 @@ def fit_single_feature(train: DataFrame, feature: str, s: Settings = DEFAULTS) -
     scale = grams.select(
         COMPOUND,
         (F.col("g_0_1") / F.col("n_rows")).alias("age_mean"),
-        F.sqrt(F.col("g_1_1") / F.col("n_rows") - F.pow(F.col("g_0_1") / F.col("n_rows"), 2)).alias("age_scale"),
+        F.sqrt(F.greatest(F.col("g_1_1") / F.col("n_rows") - F.pow(F.col("g_0_1") / F.col("n_rows"), 2), F.lit(0.0))).alias("age_scale"),
     )
     raw = solve(grams, ("r0", "r1", "r2", "r3")).join(F.broadcast(scale), COMPOUND)
     m, w = F.col("age_mean"), F.col("age_scale")
@@ -382,7 +382,7 @@ def fit_single_feature(train: DataFrame, feature: str, s: Settings = DEFAULTS) -
 
 def predict_single_feature(coefs: DataFrame, feature: str, df: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     table, pinned = pin_small(coefs.drop("n_rows"), s)
-    u = (F.col(AGE) - F.col("age_mean")) / F.col("age_scale")
+    u = F.coalesce((F.col(AGE) - F.col("age_mean")) / F.nullif("age_scale", F.lit(0.0)), F.lit(0.0))  # one age: no slope
     f = (F.col(feature) - F.col("f_mean")) / F.col("f_scale")
     value = F.col("intercept") + F.col("age_std") * u + F.col("age_std_x_f") * u * f + F.col("f_std") * f
     joined = join_pinned(df, table, pinned, [COMPOUND])

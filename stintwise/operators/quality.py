@@ -28,8 +28,8 @@ def delta_summary(df: DataFrame, by: list[str], c: str = "lap_time_delta_s") ->
 
 
 def round_counts(df: DataFrame) -> DataFrame:
-    """Laps and caution laps per round and compound."""
-    return df.groupBy("round_number", "tire_compound").agg(
+    """Laps and caution laps per round of a season and compound."""
+    return df.groupBy("season", "round_number", "tire_compound").agg(
         F.count("*").alias("n_laps"), F.count_if("is_safety_car_lap").alias("n_caution")
     )
 
@@ -91,9 +91,7 @@ def laps_of_stints(df: DataFrame, stints: DataFrame, s: Settings = DEFAULTS) ->
 
 def one_hot(train: DataFrame, df: DataFrame, column: str, s: Settings = DEFAULTS) -> DataFrame:
     """Indicator columns for the values of training; a value it never saw sets none."""
-    values, pinned = pin_small(train.select(column).filter(F.col(column).isNotNull()).distinct(), s)
-    if not pinned:
-        raise ValueError(f"{column} has too many values for indicator columns")
-    names = [row[0] for row in values.orderBy(column).collect()]
+    values = train.select(column).filter(F.col(column).isNotNull()).distinct()
+    names = [row[0] for row in values.orderBy(column).collect()]  # one per column of the result
     hot = {f"is_{v.lower()}": F.coalesce(F.col(column) == v, F.lit(False)).cast("double") for v in names}
     return df.withColumns(hot)

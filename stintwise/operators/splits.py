@@ -26,21 +26,26 @@ def holdout_count(n_races: int, share: float) -> int:
 
 
 def at_or_after(keys: list[str], values: list) -> Column:
-    """Lexicographic (keys) >= (values) as plain comparisons, which prune partitions."""
-    *head, last = list(zip(keys, values))
-    cond = F.col(last[0]) >= F.lit(last[1])
-    return reduce(
-        lambda acc, kv: (F.col(kv[0]) > F.lit(kv[1])) | ((F.col(kv[0]) == F.lit(kv[1])) & acc),
-        reversed(head),
-        cond,
-    )
+    """Lexicographic (keys) >= (values) as plain comparisons, which prune partitions. A null
+    comes before every value, as in ascending order, so the condition is never null."""
+
+    def compared(key: str, value) -> tuple[Column, Column, Column]:
+        c = F.col(key)
+        if value is None:
+            return c.isNotNull(), c.isNull(), F.lit(True)
+        v = F.lit(value)
+        return F.coalesce(c > v, F.lit(False)), F.coalesce(c == v, F.lit(False)), F.coalesce(c >= v, F.lit(False))
+
+    *head, last = [compared(k, v) for k, v in zip(keys, values)]
+    return reduce(lambda acc, x: x[0] | (x[1] & acc), reversed(head), last[2])
 
 
 def split_chronological(
     df: DataFrame, share: float = 0.2, keys: list[str] = SESSION, s: Settings = DEFAULTS
 ) -> tuple[DataFrame, DataFrame]:
     """The most recent races are the test side. Finds the first test race, then both sides
-    are filters on the race key, so nothing is joined."""
+    are filters on the race key, so nothing is joined. Rows with a null in the key belong to the
+    race so keyed, which is on one side like any other."""
     races, _ = pin_small(race_keys(df, keys), s)
     n = races.count()
     first_test = races.orderBy(*keys).offset(n - holdout_count(n, share)).first()

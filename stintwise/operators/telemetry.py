@@ -101,6 +101,8 @@ def with_pairs(cleaned: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     if "drs" in cleaned.columns:
         is_open = F.coalesce(F.col("drs").isin(*DRS_OPEN), F.lit(False))
         extra["drs_opens"] = is_open & ~F.coalesce(F.lead(is_open).over(backward()), F.lit(False))
+    else:
+        extra["drs_opens"] = F.lit(None).cast("boolean")
     return cleaned.withColumns(extra)
 
 
@@ -165,5 +167,5 @@ def motion_aggregates(s: Settings = DEFAULTS) -> list[Column]:
 
 
 def drs_aggregate() -> Column:
-    """Number of unbroken runs of open DRS in a lap."""
-    return F.count_if("drs_opens").cast("int").alias("num_drs_zones")
+    """Number of unbroken runs of open DRS in a lap; null without a DRS channel."""
+    return F.sum(F.col("drs_opens").cast("int")).cast("int").alias("num_drs_zones")

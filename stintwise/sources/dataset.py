@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stintwise.functions.laps import session_key
+from stintwise.operators.lookup import settle
 from stintwise.schema import LAP_FEATURES, SESSION, to_schema
 
 MANIFEST = T.StructType([f for f in LAP_FEATURES.fields if f.name in SESSION])
@@ -95,9 +96,9 @@ def build_pending(
     pending = pending_sessions(sessions, load_manifest(spark, manifest_path), force)
     if pending.isEmpty():
         return pending
-    write_sessions(build(pending), dataset_path)
-    stored = load_dataset(spark, dataset_path).select(*SESSION).distinct()
-    mark_built(stored.join(pending, SESSION, "left_semi"), manifest_path)
+    built = settle(build(pending))
+    write_sessions(built, dataset_path)
+    mark_built(built.select(*SESSION).distinct().join(pending, SESSION, "left_semi"), manifest_path)
     return pending
 
 

@@ -24,12 +24,12 @@ def stream_sessions(
     """Process what has landed and stop.
 
     The unit is a whole session, so a batch only says which sessions arrived; their rows are
-    rebuilt from the stored inputs. A batch that is replayed finds its sessions marked, or
-    overwrites them with the same rows.
+    rebuilt from the stored inputs, also when more of a session that was built before has landed.
+    A batch that is replayed overwrites its sessions with the same rows.
     """
 
     def on_batch(batch: DataFrame, _batch_id: int) -> None:
-        build_pending(batch.select(*SESSION).distinct(), build, dataset_path, manifest_path)
+        build_pending(batch.select(*SESSION).distinct(), build, dataset_path, manifest_path, force=True)
 
     return (
         spark.readStream.schema(schema)
