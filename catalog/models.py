@@ -64,7 +64,12 @@ def d1(spark, d):
     return sides[0].unionByName(sides[1])
 
 
-@query("d2_split_random")
+@query("d2_split_random", f"""
+SELECT count(DISTINCT ({SES})) FILTER (NOT held) AS train_races, count(DISTINCT ({SES})) FILTER (held) AS test_races,
+ count(*) FILTER (NOT held) AS train_laps, count(*) FILTER (held) AS test_laps
+FROM (SELECT *, ({SES}) IN (SELECT ({SES}) FROM (SELECT DISTINCT {SES} FROM tlaps)
+  ORDER BY md5(concat_ws('|', '42', season, round_number, session_name)), {SES}
+  LIMIT (SELECT round_even(0.3 * count(DISTINCT ({SES})), 0)::bigint FROM tlaps)) AS held FROM tlaps)""")
 def d2(spark, d):
     train, test = splits.split_random(lap_rows(spark, d), 0.3, seed=42)
     return splits.split_summary(train, test)

@@ -79,17 +79,16 @@ def split_random(
     """Races in an order drawn from the seed; the first ones are the test side."""
     races, _ = pin_small(race_keys(df, keys), s)
     n_test = holdout_count(races.count(), share)
-    drawn = races.orderBy(F.xxhash64(F.lit(seed), *keys), *keys)
-    test_keys, _ = pin_small(drawn.limit(n_test), s)
-    train_keys, _ = pin_small(races.join(test_keys, keys, "left_anti"), s)
-    return split_by_keys(df, train_keys, keys), split_by_keys(df, test_keys, keys)
+    named = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in keys])
+    test_keys, _ = pin_small(races.orderBy(F.md5(named), *keys).limit(n_test), s)
+    return split_by_keys(df, test_keys, keys, listed=False), split_by_keys(df, test_keys, keys)
 
 
-def split_by_keys(df: DataFrame, race: DataFrame, keys: list[str] = SESSION) -> DataFrame:
-    """Rows of the listed races; a null key part equals a null key part."""
+def split_by_keys(df: DataFrame, race: DataFrame, keys: list[str] = SESSION, listed: bool = True) -> DataFrame:
+    """Rows of the listed races, or of all others; a null key part equals a null key part."""
     k = race.select(*[F.col(c).alias(f"_k_{c}") for c in keys]).distinct()
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys])
-    return df.join(k, same, "left_semi")
+    return df.join(k, same, "left_semi" if listed else "left_anti")
 
 
 def split_by_season(df: DataFrame, train_seasons: list[int], test_seasons: list[int]) -> tuple[DataFrame, DataFrame]:

@@ -19,9 +19,9 @@ def test_null_race_keys_are_on_one_side(spark):
     keys = [(2023, 1, "R"), (2023, None, "R"), (None, 2, "R"), (2024, 1, None), (2024, 1, "R"), (2024, 2, "R")]
     df = races(spark, keys)
     for share in (0.2, 0.5, 0.9):
-        train, test = splits.split_chronological(df, share)
-        assert sorted(r["n"] for r in train.unionByName(test).collect()) == list(range(6))
-        assert test.select(*SESSION).distinct().count() == splits.holdout_count(6, share)
+        for train, test in (splits.split_chronological(df, share), splits.split_random(df, share, seed=3)):
+            assert sorted(r["n"] for r in train.unionByName(test).collect()) == list(range(6))
+            assert test.select(*SESSION).distinct().count() == splits.holdout_count(6, share)
 
 
 def test_indicator_columns_have_no_size_limit(spark):
