@@ -1,7 +1,8 @@
 """Quality scores by nearest-neighbour voting among latent-semantic vectors.
 
 A document's terms are its words and the shapes of its words (which signs and cases they hold),
-hashed into fixed buckets, and the count of words that repeat the one before. Document frequencies
+hashed into fixed buckets; a word that repeats the one before counts as one more term, repetition,
+instead. Document frequencies
 are counted over all documents. A bounded sample of labelled documents (`per_class` of each
 label) gives the latent space, by a truncated singular value decomposition, and the labelled
 vectors, which are broadcast: their size depends on the parameters alone. Every document's cosine
@@ -37,8 +38,9 @@ SHAPE_OF = bytes.maketrans(
 class VoteSpec:
     per_class: int = 1500
     dims: int = 64
-    neighbours: int = 25
-    sharpness: float = 4.0
+    neighbours: int = 10
+    sharpness: float = 16.0
+    repetition: float = 4.0  # weight of the repetition term among the others
     threshold: float = 0.3
 
 
@@ -64,9 +66,10 @@ def term_counts(texts) -> np.ndarray:
         words = byte_words(t)
         if words:
             code = np.fromiter(map(CODES.__getitem__, words), dtype=np.int64, count=len(words))
-            out[i, :WORDS] = np.bincount(code // SHAPES, minlength=WORDS)
-            out[i, WORDS:-1] = np.bincount(code % SHAPES, minlength=SHAPES)
-            out[i, -1] = (code[1:] == code[:-1]).sum()
+            again = np.concatenate([[False], code[1:] == code[:-1]])
+            out[i, :WORDS] = np.bincount(code[~again] // SHAPES, minlength=WORDS)
+            out[i, WORDS:-1] = np.bincount(code[~again] % SHAPES, minlength=SHAPES)
+            out[i, -1] = again.sum()
     return out
 
 
@@ -99,6 +102,7 @@ class Voters:
 
     def __init__(self, texts: list[str], labels: list[int], n_docs: int, df: np.ndarray, prior: float, spec: VoteSpec):
         self.idf = np.log((1 + n_docs) / (1 + df)).astype(np.float32) + 1
+        self.idf[-1] *= spec.repetition
         self.prior, self.spec = prior, spec
         self.labels = np.array(labels, dtype=np.float32)
         x = self.weighted(texts)

@@ -86,7 +86,7 @@ def test_votes_by_brute_force(docs_of):
     rows = [(i, " ".join(rnd.choice(["good", "fine", "words"] if i % 2 else ["###", "spam", "$$"]) for _ in range(20))) for i in range(60)]
     docs = docs_of(rows)
     labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("quality"))
-    voters = neighbours.fit(docs, labels, neighbours.VoteSpec(neighbours=5, dims=4))
+    voters = neighbours.fit(docs, labels, neighbours.VoteSpec(neighbours=5, dims=4, sharpness=4.0))
     texts = [t for _, t in rows]
     v = voters.latent(voters.weighted(texts))
     for i, s in enumerate(voters.score(texts)):
