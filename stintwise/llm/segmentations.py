@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 SPACE_SIGN = "▁"
 PARTS = re.compile(f"\n|{SPACE_SIGN}+[^{SPACE_SIGN}\n]*|[^{SPACE_SIGN}\n]+")
 BYTE_WEIGHT = -12.0  # of each byte of a character without a piece
+KEEP = 150_000  # words whose lattices are kept, in some 100 MB
 NEAR = 18.0
 CHUNK = 64  # places of a path that are looked at in one go
 U = np.uint64
@@ -100,8 +101,8 @@ class Lattices:
         self.split: dict[str, list[str]] = {}
         self.root: dict[str, int] = {}
         self.first = np.zeros(1, dtype=np.int64)  # first edge of each state
-        self.target, self.logp, self.upto = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
-        self.id_at, self.ids = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.uint16)
+        self.target, self.logp, self.upto = np.zeros(0, np.int32), np.zeros(0), np.zeros(0)
+        self.id_at, self.ids = np.zeros(1, dtype=np.int32), np.zeros(0, dtype=np.uint16)
 
     def cut(self, part: str) -> list[str]:
         if part.lstrip(SPACE_SIGN).isalpha():
@@ -165,14 +166,14 @@ class Lattices:
         for e in spelled:
             ids[id_at[e] : id_at[e] + n_ids[e]] = [self.byte_ids[b] for b in raw[int(code[start[e]])]]
         self.first = np.concatenate([self.first, first[1:] + len(self.target)])
-        self.target = np.concatenate([self.target, np.where(last, -1, base + start + length)])
+        self.target = np.concatenate([self.target, np.where(last, -1, base + start + length).astype(np.int32)])
         self.logp, self.upto = np.concatenate([self.logp, logp]), np.concatenate([self.upto, upto])
-        self.id_at = np.concatenate([self.id_at, self.id_at[-1] + np.cumsum(n_ids)])
+        self.id_at = np.concatenate([self.id_at, (self.id_at[-1] + np.cumsum(n_ids)).astype(np.int32)])
         self.ids = np.concatenate([self.ids, ids.astype(np.uint16)])
 
     def roots(self, texts: list[str]) -> tuple[np.ndarray, list[int]]:
         """The root states of the parts of all texts, and how many each text has."""
-        if len(self.split) > 300_000:
+        if len(self.split) > KEEP:
             self.clear()
         words = [parts_of(t) for t in texts]
         split = self.split
