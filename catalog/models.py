@@ -496,39 +496,39 @@ def f8(spark, d):
 
 # --- forest -------------------------------------------------------------------------------
 
-FOREST = RF.ForestSpec(trees=20, depth=6)
+# The combinations the sweep tries.
+GRID = {"trees": [200, 400], "depth": [4, 6, 8, 10, 12], "min_leaf": [5, 10, 20]}
 
 
 @query("m13_m14_forest_prediction")
 def m13(spark, d):
     train, test = condition_split(spark, d)
-    return rounded(RF.predict_forest(RF.fit_forest(train, FOREST), test).select(*LAP_KEYS, "predicted"))
+    return rounded(RF.predict_forest(RF.fit_forest(train), test).select(*LAP_KEYS, "predicted"))
 
 
 @query("m14_forest_metrics")
 def m14(spark, d):
     train, test = condition_split(spark, d)
-    return rounded(E.metrics(RF.predict_forest(RF.fit_forest(train, FOREST), E.valid_rows(test))))
+    return rounded(E.metrics(RF.predict_forest(RF.fit_forest(train), E.valid_rows(test))))
 
 
 @query("m15_leaf_support")
 def m15(spark, d):
     train, test = condition_split(spark, d)
-    return rounded(RF.leaf_support(RF.fit_forest(train, FOREST), test, LAP_KEYS))
+    return rounded(RF.leaf_support(RF.fit_forest(train), test, LAP_KEYS))
 
 
 @query("m16_t7_forest_importances")
 def m16(spark, d):
     train, _ = condition_split(spark, d)
-    return rounded(RF.importances(RF.fit_forest(train, FOREST)))
+    return rounded(RF.importances(RF.fit_forest(train)))
 
 
 @query("m17_t6_forest_sweep")
 def m17(spark, d):
     train, test = condition_split(spark, d)
     tune, validation = splits.split_chronological(train)
-    grid = {"trees": [10, 20], "depth": [4, 6], "min_leaf": [5, 20]}
-    best = RF.best(RF.tune(tune, E.valid_rows(validation), grid, FOREST))
+    best = RF.best(RF.tune(tune, E.valid_rows(validation), GRID))
     scored = RF.predict_forest(RF.fit_forest(train, best), E.valid_rows(test))
     chosen = {"trees": best.trees, "depth": best.depth, "min_leaf": best.min_leaf}
     return rounded(E.metrics(scored).withColumns({k: F.lit(v) for k, v in chosen.items()}))
@@ -537,7 +537,6 @@ def m17(spark, d):
 @query("m18_row_folds_against_race_folds")
 def m18(spark, d):
     rows = settle(condition_rows(spark, d))
-    small = RF.ForestSpec(trees=10, depth=6)
-    r2 = {"race": RF.fold_r2(rows, SESSION, 3, small), "lap": RF.fold_r2(rows, LAP_KEYS, 3, small)}
+    r2 = {"race": RF.fold_r2(rows, SESSION, 3), "lap": RF.fold_r2(rows, LAP_KEYS, 3)}
     named = F.array(*[F.struct(F.lit(k).alias("fold_by"), F.lit(float(v)).alias("r2")) for k, v in r2.items()])
     return rounded(rows.agg(F.count("*").alias("n_rows")).withColumn("f", F.explode(named)).select("n_rows", "f.*"))

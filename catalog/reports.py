@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalog.models import FOREST, condition_rows, condition_split, lap_split
+from catalog.models import condition_rows, condition_split, lap_split
 from catalog.registry import query, rounded, tables
 from catalog.sql import DEF_NUM, SES, crossing, r
 from stintwise.operators import forest as RF
@@ -157,7 +157,7 @@ def t5(spark, d):
 def _forest(spark, d):
     rows = settle(condition_rows(spark, d))
     train, _ = splits.split_chronological(rows)
-    return RF.fit_forest(train, FOREST), rows
+    return RF.fit_forest(train), rows
 
 
 @query("d9_wear_curves")

@@ -40,6 +40,7 @@ class ForestSpec:
     depth: int | None = 10
     min_leaf: int = 5
     seed: int = 42
+    bins: int = 64  # thresholds per input: every whole age and every fuel step has its own
 
     @property
     def features(self) -> tuple[str, ...]:
@@ -84,6 +85,7 @@ def _stages(spec: ForestSpec) -> list:
             numTrees=spec.trees,
             maxDepth=spec.depth or MAX_DEPTH,
             minInstancesPerNode=spec.min_leaf,
+            maxBins=spec.bins,
             featureSubsetStrategy="all",
             seed=spec.seed,
         ),
