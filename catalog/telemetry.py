@@ -14,42 +14,46 @@ from stintwise.schema import LAP, LAP_FEATURES, SESSION, TEL_LAP, candidate_feat
 from stintwise.sources import driver_tables as D
 
 
+# The key as the SQL selects it: in these tables a driver's telemetry belongs to one session.
+NAMED = ["driver", "lap_number"]
+
+
 def _pairs(spark, d):
     return T.with_pairs(T.clean(D.telemetry(spark, d)))
 
 
 @query("w1_dedupe_samples", f"SELECT {TEL}, time_s, seq FROM deduped")
 def w1(spark, d):
-    return T.dedupe_samples(D.telemetry(spark, d)).select(*TEL_LAP, "time_s", "seq")
+    return T.dedupe_samples(D.telemetry(spark, d)).select(*NAMED, "time_s", "seq")
 
 
 @query("w2_gap_fill", f"SELECT {TEL}, time_s, rn, {r('speed')}, {r('throttle')}, {r('brake')}, {r('n_gear')} FROM filled")
 def w2(spark, d):
     filled = T.fill_gaps(T.dedupe_samples(D.telemetry(spark, d)))
     filled = filled.withColumn("rn", F.col("rn").cast("long"))
-    return rounded(filled.select(*TEL_LAP, "time_s", "rn", "speed", "throttle", "brake", "n_gear"))
+    return rounded(filled.select(*NAMED, "time_s", "rn", "speed", "throttle", "brake", "n_gear"))
 
 
 @query("w3_clip_speed", f"SELECT {TEL}, time_s, {r('speed')} FROM cleaned")
 def w3(spark, d):
-    return rounded(T.clean(D.telemetry(spark, d)).select(*TEL_LAP, "time_s", "speed"))
+    return rounded(T.clean(D.telemetry(spark, d)).select(*NAMED, "time_s", "speed"))
 
 
 @query("w4_monotone_distance", f"SELECT {TEL}, time_s, {r('distance')} FROM cleaned")
 def w4(spark, d):
-    return rounded(T.monotone_distance(T.dedupe_samples(D.telemetry(spark, d))).select(*TEL_LAP, "time_s", "distance"))
+    return rounded(T.monotone_distance(T.dedupe_samples(D.telemetry(spark, d))).select(*NAMED, "time_s", "distance"))
 
 
 @query("w5_acceleration", f"SELECT {TEL}, time_s, {r('accel')} FROM pairs")
 def w5(spark, d):
-    return rounded(_pairs(spark, d).select(*TEL_LAP, "time_s", "accel"))
+    return rounded(_pairs(spark, d).select(*NAMED, "time_s", "accel"))
 
 
 @query("w6_braking", f"SELECT {TEL}, count(*) FILTER (WHERE braking) AS n_braking, count(*) AS n_samples FROM pairs GROUP BY {TEL}")
 def w6(spark, d):
     return _pairs(spark, d).groupBy(*TEL_LAP).agg(
         F.count_if("braking").alias("n_braking"), F.count("*").alias("n_samples")
-    )
+    ).drop(*SESSION)
 
 
 _SEG = """SELECT p.driver, p.lap_number, CASE WHEN x = distance THEN speed ELSE speed + (to_speed - speed) * (x - distance) / (to_distance - distance) END AS speed,
@@ -70,13 +74,13 @@ def w7(spark, d):
             F.min("distance").alias("first_m"), F.max("distance").alias("last_m"),
             F.avg("speed").alias("avg_speed"), F.min("speed").alias("min_speed"), F.max("speed").alias("max_speed"),
             F.avg("throttle").alias("avg_throttle"),
-        )
+        ).drop(*SESSION)
     )
 
 
 @query("w8_speed_at_corner", f"SELECT {TEL}, number, {r('speed_at_corner')} FROM at_corner")
 def w8(spark, d):
-    return rounded(C.speed_at_corners(_pairs(spark, d), D.corners(spark, d)))
+    return rounded(C.speed_at_corners(_pairs(spark, d), D.corners(spark, d)).drop(*SESSION))
 
 
 @query(
@@ -87,13 +91,13 @@ def w8(spark, d):
 def j6(spark, d):
     windows = C.corner_windows(_pairs(spark, d), D.corners(spark, d))
     known = windows.filter(F.coalesce("entry_speed", "apex_speed", "exit_speed").isNotNull())
-    return rounded(known.select(*TEL_LAP, "number", "entry_speed", "apex_speed", "exit_speed"))
+    return rounded(known.select(*NAMED, "number", "entry_speed", "apex_speed", "exit_speed"))
 
 
 def _motion(name, columns):
     @query(name, f"SELECT {TEL}, {', '.join(r(c) for c in columns)} FROM motion")
     def run(spark, d):
-        return rounded(_pairs(spark, d).groupBy(*TEL_LAP).agg(*T.motion_aggregates()).select(*TEL_LAP, *columns))
+        return rounded(_pairs(spark, d).groupBy(*TEL_LAP).agg(*T.motion_aggregates()).select(*NAMED, *columns))
 
 
 _motion("a8_lap_speed_and_throttle", ["avg_speed_kph", "max_speed_kph", "avg_throttle_pct"])
@@ -107,7 +111,7 @@ SELECT m.driver, m.lap_number, {r('corner_entry_speed_kph')}, {r('apex_speed_kph
 FROM motion m LEFT JOIN corner_means c ON m.driver = c.driver AND m.lap_number = c.lap_number""")
 def a12(spark, d):
     out = C.motion_summary(_pairs(spark, d), D.corners(spark, d))
-    return rounded(out.select(*TEL_LAP, "corner_entry_speed_kph", "apex_speed_kph", "corner_exit_speed_kph"))
+    return rounded(out.select(*NAMED, "corner_entry_speed_kph", "apex_speed_kph", "corner_exit_speed_kph"))
 
 
 @query("a13_track_summary", f"SELECT {SES}, num_corners, {r('avg_corner_speed_kph')}, is_high_speed_circuit, num_drs_zones FROM track")
@@ -117,13 +121,13 @@ def a13(spark, d):
 
 @query("a14_drs_zones", "SELECT tel_driver AS driver, tel_lap AS lap_number, num_drs_zones FROM tel_track")
 def a14(spark, d):
-    return _pairs(spark, d).groupBy(*TEL_LAP).agg(T.drs_aggregate())
+    return _pairs(spark, d).groupBy(*TEL_LAP).agg(T.drs_aggregate()).drop(*SESSION)
 
 
 @query("f4_fast_circuit", f"SELECT tel_driver AS driver, tel_lap AS lap_number, avg_corner_speed_kph >= 200.0e0 AS is_fast FROM tel_track")
 def f4(spark, d):
     track = C.track_summary(_pairs(spark, d), D.corners(spark, d))
-    return track.select(*TEL_LAP, L.is_fast_circuit(F.col("avg_corner_speed_kph")).alias("is_fast"))
+    return track.select(*NAMED, L.is_fast_circuit(F.col("avg_corner_speed_kph")).alias("is_fast"))
 
 
 @query("f6_units", f"""
@@ -133,7 +137,7 @@ def f6(spark, d):
     return rounded(
         T.clean(D.telemetry(spark, d)).groupBy(*TEL_LAP).agg(
             F.max(v).alias("max_speed_ms"), (F.max(0.5 * 860.0 * v * v) / 1000.0).alias("peak_kinetic_kj")
-        )
+        ).drop(*SESSION)
     )
 
 
@@ -142,9 +146,9 @@ SELECT l.season, l.round_number, l.session_name, l.driver, l.lap_number, {r('m.a
 FROM laps l LEFT JOIN motion m ON l.tel_driver = m.driver AND l.tel_lap = m.lap_number""")
 def j3(spark, d):
     features = _pairs(spark, d).groupBy(*TEL_LAP).agg(*T.motion_aggregates()).select(
-        F.col("driver").alias("tel_driver"), F.col("lap_number").alias("tel_lap"), "avg_speed_kph", F.lit(True).alias("has_telemetry")
+        *[F.col(c).alias(n) for c, n in zip(TEL_LAP, R.TEL_NAMES)], "avg_speed_kph", F.lit(True).alias("has_telemetry")
     )
-    joined = D.laps(spark, d).join(features, ["tel_driver", "tel_lap"], "left")
+    joined = D.laps(spark, d).join(features, R.TEL_NAMES, "left")
     return rounded(joined.select(*LAP, "avg_speed_kph", F.coalesce("has_telemetry", F.lit(False)).alias("has_telemetry")))
 
 

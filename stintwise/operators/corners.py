@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from stintwise.operators import telemetry as tel
 from stintwise.operators.lookup import join_pinned, pin_small
-from stintwise.schema import TEL_LAP
+from stintwise.schema import lap_key
 from stintwise.settings import DEFAULTS, Settings
 
 LAP_MARK, ENTRY, APEX, EXIT, AT = "lap", "entry", "apex", "exit", "at"
@@ -95,7 +95,7 @@ def speed_by_mark(points: DataFrame, *lap_aggregates: Column) -> DataFrame:
     Entry and exit lie between two grid points; with either missing or unknown so are they.
     """
     below, above = F.floor("rel"), F.ceil("rel")
-    grouped = points.groupBy(*TEL_LAP, "number", "part").agg(
+    grouped = points.groupBy(*lap_key(points), "number", "part").agg(
         F.min("v").alias("_low"),
         F.max(F.when(F.col("k") == below, F.col("v"))).alias("_v0"),
         F.max(F.when(F.col("k") == above, F.col("v"))).alias("_v1"),
@@ -113,7 +113,7 @@ def speed_by_mark(points: DataFrame, *lap_aggregates: Column) -> DataFrame:
 def corner_windows(pairs: DataFrame, corners: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """Entry, apex and exit speed of each corner of each lap."""
     by_mark = speed_by_mark(marked_points(pairs, corners, WINDOWS, s)).filter(F.col("part") != LAP_MARK)
-    return by_mark.groupBy(*TEL_LAP, "number").agg(
+    return by_mark.groupBy(*lap_key(by_mark), "number").agg(
         *[F.max(F.when(F.col("part") == p, F.col("mark_speed"))).alias(f"{p}_speed") for p in WINDOWS]
     )
 
@@ -121,7 +121,7 @@ def corner_windows(pairs: DataFrame, corners: DataFrame, s: Settings = DEFAULTS)
 def speed_at_corners(pairs: DataFrame, corners: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """Speed at each corner mark inside the lap's distance range: (lap, number, speed)."""
     by_mark = speed_by_mark(marked_points(pairs, corners, (AT,), s))
-    return by_mark.filter(F.col("part") == AT).select(*TEL_LAP, "number", F.col("mark_speed").alias("speed_at_corner"))
+    return by_mark.filter(F.col("part") == AT).select(*lap_key(by_mark), "number", F.col("mark_speed").alias("speed_at_corner"))
 
 
 def lap_summary(
@@ -130,8 +130,8 @@ def lap_summary(
     """One row per lap: the lap aggregates, and for each (mark, name) of `means` the mean
     speed over the lap's corners."""
     by_mark = speed_by_mark(marked_points(pairs, corners, tuple(means), s), *lap_aggregates)
-    of_lap = [c for c in by_mark.columns if c not in (*TEL_LAP, "number", "part", "mark_speed")]
-    return by_mark.groupBy(*TEL_LAP).agg(
+    of_lap = [c for c in by_mark.columns if c not in (*lap_key(by_mark), "number", "part", "mark_speed")]
+    return by_mark.groupBy(*lap_key(by_mark)).agg(
         *[F.max(F.when(F.col("part") == LAP_MARK, F.col(c))).alias(c) for c in of_lap],
         *[F.avg(F.when(F.col("part") == p, F.col("mark_speed"))).alias(name) for p, name in means.items()],
     )

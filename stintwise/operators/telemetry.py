@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from stintwise.functions.laps import kph_to_ms
-from stintwise.schema import TEL_LAP, require_columns
+from stintwise.schema import lap_key, require_columns
 from stintwise.settings import DEFAULTS, Settings
 
 # Channels every lap must carry, channels whose gaps are filled, and the DRS
@@ -25,21 +25,21 @@ DRS_OPEN = (10, 12, 14)
 UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
 
 
-def of_lap() -> WindowSpec:
-    return Window.partitionBy(*TEL_LAP)
+def of_lap(tel: DataFrame) -> WindowSpec:
+    return Window.partitionBy(*lap_key(tel))
 
 
-def forward() -> WindowSpec:
-    return of_lap().orderBy("time_s")
+def forward(tel: DataFrame) -> WindowSpec:
+    return of_lap(tel).orderBy("time_s")
 
 
-def backward() -> WindowSpec:
-    return of_lap().orderBy(F.col("time_s").desc())
+def backward(tel: DataFrame) -> WindowSpec:
+    return of_lap(tel).orderBy(F.col("time_s").desc())
 
 
 def dedupe_samples(tel: DataFrame) -> DataFrame:
     """First sample of every timestamp; `seq` orders samples that share one."""
-    recorded = of_lap().orderBy("time_s", "seq")
+    recorded = of_lap(tel).orderBy("time_s", "seq")
     return (
         tel.filter(F.col("driver").isNotNull() & F.col("lap_number").isNotNull())
         .withColumn("_last_time", F.lag("time_s").over(recorded))
@@ -53,9 +53,10 @@ def fill_gaps(tel: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     left edge; the rest of a longer gap stays null. Adds the sample position `rn`."""
     channels = [c for c in FILLED if c in tel.columns]
     known = {c: F.when(F.col(c).isNotNull(), F.struct("rn", F.col(c).cast("double").alias("v"))) for c in channels}
-    out = tel.withColumn("rn", F.row_number().over(forward()))
-    out = out.withColumns({f"_p_{c}": F.last(known[c], True).over(forward().rowsBetween(*UP_TO_HERE)) for c in channels})
-    out = out.withColumns({f"_n_{c}": F.last(known[c], True).over(backward().rowsBetween(*UP_TO_HERE)) for c in channels})
+    ahead, back = forward(tel), backward(tel)
+    out = tel.withColumn("rn", F.row_number().over(ahead))
+    out = out.withColumns({f"_p_{c}": F.last(known[c], True).over(ahead.rowsBetween(*UP_TO_HERE)) for c in channels})
+    out = out.withColumns({f"_n_{c}": F.last(known[c], True).over(back.rowsBetween(*UP_TO_HERE)) for c in channels})
     return out.withColumns({c: _filled(c, s) for c in channels}).drop(
         *[f"_{side}_{c}" for side in "pn" for c in channels]
     )
@@ -77,30 +78,31 @@ def clip_speed(tel: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
 
 def monotone_distance(tel: DataFrame) -> DataFrame:
     d = F.col("distance")
-    return tel.withColumn("distance", F.when(d.isNotNull(), F.max(d).over(forward().rowsBetween(*UP_TO_HERE))))
+    return tel.withColumn("distance", F.when(d.isNotNull(), F.max(d).over(forward(tel).rowsBetween(*UP_TO_HERE))))
 
 
 def clean(tel: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """De-duplicate, fill short gaps, clip speed, make distance non-decreasing."""
-    require_columns(tel, (*TEL_LAP, "seq", *REQUIRED))
+    require_columns(tel, (*lap_key(tel), "seq", *REQUIRED))
     return clip_speed(fill_gaps(monotone_distance(dedupe_samples(tel)), s), s)
 
 
 def with_pairs(cleaned: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """Each sample with its neighbours: `accel` from the previous one, `to_speed` and
     `to_distance` of the next one, and whether the DRS flap opens here."""
+    back = backward(cleaned)
     # In reverse order the sample before in time comes after in the window.
-    dt = F.col("time_s") - F.lead("time_s").over(backward())
-    dv = kph_to_ms(F.col("speed")) - kph_to_ms(F.lead("speed").over(backward()))
+    dt = F.col("time_s") - F.lead("time_s").over(back)
+    dv = kph_to_ms(F.col("speed")) - kph_to_ms(F.lead("speed").over(back))
     extra = {
         "braking": F.coalesce(F.col("brake") > 0, F.lit(False)),
         "accel": F.when(dt > s.min_dt_s, dv / dt),
-        "to_speed": F.lag("speed").over(backward()),
-        "to_distance": F.lag("distance").over(backward()),
+        "to_speed": F.lag("speed").over(back),
+        "to_distance": F.lag("distance").over(back),
     }
     if "drs" in cleaned.columns:
         is_open = F.coalesce(F.col("drs").isin(*DRS_OPEN), F.lit(False))
-        extra["drs_opens"] = is_open & ~F.coalesce(F.lead(is_open).over(backward()), F.lit(False))
+        extra["drs_opens"] = is_open & ~F.coalesce(F.lead(is_open).over(back), F.lit(False))
     else:
         extra["drs_opens"] = F.lit(None).cast("boolean")
     return cleaned.withColumns(extra)
@@ -110,7 +112,7 @@ def with_grid(pairs: DataFrame, step: float) -> DataFrame:
     """Grid cells a sample covers on the lap's even distance grid: indices `k_lo`..`k_hi`
     of the grid points in [distance, to_distance). The grid starts at the lap's smallest
     distance and excludes its largest."""
-    start = F.min("distance").over(of_lap())
+    start = F.min("distance").over(of_lap(pairs))
     out = pairs.withColumn("grid_start", start)
     lo = F.ceil((F.col("distance") - F.col("grid_start")) / F.lit(step))
     hi = F.ceil((F.col("to_distance") - F.col("grid_start")) / F.lit(step)) - 1
@@ -130,9 +132,10 @@ def resample(cleaned: DataFrame, step: float | None = None, s: Settings = DEFAUL
     grid points it contains, so there is no join of grid and samples."""
     step = s.resample_m if step is None else step
     channels = [c for c in FILLED if c in cleaned.columns]
+    back = backward(cleaned)
     ahead = cleaned.withColumns(
-        {f"_to_{c}": F.lag(c).over(backward()) for c in channels}
-        | {"to_distance": F.lag("distance").over(backward())}
+        {f"_to_{c}": F.lag(c).over(back) for c in channels}
+        | {"to_distance": F.lag("distance").over(back)}
     )
     cells = (
         with_grid(ahead, step)
@@ -141,7 +144,7 @@ def resample(cleaned: DataFrame, step: float | None = None, s: Settings = DEFAUL
         .withColumn("_x", F.col("grid_start") + F.col("k") * F.lit(step))
     )
     return cells.select(
-        *TEL_LAP,
+        *lap_key(cleaned),
         "k",
         *[at_distance(F.col("_x"), F.col(c), F.col(f"_to_{c}")).alias(c) for c in channels],
         F.col("_x").alias("distance"),

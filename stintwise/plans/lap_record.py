@@ -20,7 +20,9 @@ from stintwise.settings import DEFAULTS, Settings
 @dataclass(frozen=True)
 class SessionTables:
     """Inputs of a build, keyed by session; `laps` names each lap's telemetry by
-    (tel_driver, tel_lap) and its corners by `circuit`."""
+    (tel_driver, tel_lap) in the lap's own session, or in the one that tel_season, tel_round
+    and tel_session name, and its corners by `circuit`. Telemetry without session columns
+    is that of the only session in `laps`."""
 
     laps: DataFrame
     weather: DataFrame
@@ -33,6 +35,29 @@ class SessionTables:
         return cls(*[nan_to_null(t) for t in tables])
 
 
+# What a lap calls the key of its telemetry, in the order of TEL_LAP.
+TEL_NAMES = ["tel_season", "tel_round", "tel_session", "tel_driver", "tel_lap"]
+
+
+def with_tel_session(laps: DataFrame) -> DataFrame:
+    """Laps with the session of their telemetry: their own where they name none."""
+    return laps.withColumns({n: F.col(c) for n, c in zip(TEL_NAMES, SESSION) if n not in laps.columns})
+
+
+def samples_by_session(t: SessionTables) -> DataFrame:
+    """Telemetry with its session. Without one it is clear only if there is one session."""
+    missing = [c for c in SESSION if c not in t.telemetry.columns]
+    if not missing:
+        return t.telemetry
+    keys = with_tel_session(t.laps).select(*TEL_NAMES[: len(SESSION)]).distinct().take(2)
+    if len(keys) > 1:
+        raise ValueError(f"telemetry of several sessions lacks {missing}")
+    only = keys[0] if keys else [None] * len(SESSION)
+    types = [t.laps.schema[c].dataType for c in SESSION]
+    named = {c: F.lit(v).cast(kind) for c, v, kind in zip(SESSION, only, types) if c in missing}
+    return t.telemetry.withColumns(named)
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     floats = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
     return df.withColumns({c: F.nanvl(c, F.lit(None)) for c in floats}) if floats else df
@@ -43,14 +68,13 @@ def reference_laps(laps: DataFrame) -> DataFrame:
     (driver, lap)."""
     timed = laps.filter(~L.is_deleted() & F.col("lap_time_s").isNotNull())
     order = F.struct("lap_time_s", "driver", "lap_number")
-    picked = F.struct("circuit", "driver", "lap_number", "tel_driver", "tel_lap", "lap_time_s")
-    return timed.groupBy(*SESSION).agg(F.min_by(picked, order).alias("p")).select(
+    picked = F.struct("circuit", "driver", "lap_number", *TEL_NAMES, "lap_time_s")
+    return with_tel_session(timed).groupBy(*SESSION).agg(F.min_by(picked, order).alias("p")).select(
         *SESSION,
         "p.circuit",
         F.col("p.driver").alias("ref_driver"),
         F.col("p.lap_number").alias("ref_lap"),
-        "p.tel_driver",
-        "p.tel_lap",
+        *[f"p.{n}" for n in TEL_NAMES],
         F.col("p.lap_time_s").alias("ref_time_s"),
     )
 
@@ -59,15 +83,13 @@ def track_features(t: SessionTables, s: Settings = DEFAULTS) -> DataFrame:
     """Corner count, mean corner speed, speed class and DRS zones of each session, read from
     its reference lap. One row per session; only the reference laps' samples are cleaned."""
     ref, pinned = pin_small(reference_laps(t.laps), s)
-    wanted = ref.select(F.col("tel_driver").alias("driver"), F.col("tel_lap").alias("lap_number")).distinct()
-    samples = join_pinned(t.telemetry, wanted, pinned, TEL_LAP, "inner")
+    wanted = ref.select(*[F.col(n).alias(c) for n, c in zip(TEL_NAMES, TEL_LAP)]).distinct()
+    samples = join_pinned(samples_by_session(t), wanted, pinned, TEL_LAP, "inner")
     pairs = T.with_pairs(T.clean(samples, s), s)
-    per_lap = C.track_summary(pairs, t.corners, s).withColumnsRenamed(
-        {"driver": "tel_driver", "lap_number": "tel_lap"}
-    )
+    per_lap = C.track_summary(pairs, t.corners, s).withColumnsRenamed(dict(zip(TEL_LAP, TEL_NAMES)))
     counts = t.corners.groupBy("circuit").agg(F.count("*").cast("int").alias("num_corners"))
     return (
-        ref.join(per_lap, ["tel_driver", "tel_lap"], "left")
+        ref.join(per_lap, TEL_NAMES, "left")
         .join(counts, "circuit", "left")
         .withColumn("is_high_speed_circuit", L.is_fast_circuit(F.col("avg_corner_speed_kph"), s))
         .select(
@@ -118,7 +140,5 @@ def lap_conditions(t: SessionTables, s: Settings = DEFAULTS) -> DataFrame:
 
 def lap_records(t: SessionTables, s: Settings = DEFAULTS) -> DataFrame:
     """The full record. A lap without telemetry keeps its row with null features."""
-    features = telemetry_features(t.telemetry, t.corners, s).withColumnsRenamed(
-        {"driver": "tel_driver", "lap_number": "tel_lap"}
-    )
-    return to_schema(lap_conditions(t, s).join(features, ["tel_driver", "tel_lap"], "left"))
+    features = telemetry_features(samples_by_session(t), t.corners, s).withColumnsRenamed(dict(zip(TEL_LAP, TEL_NAMES)))
+    return to_schema(with_tel_session(lap_conditions(t, s)).join(features, TEL_NAMES, "left"))

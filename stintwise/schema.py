@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 SESSION = ["season", "round_number", "session_name"]
 LAP = [*SESSION, "driver", "lap_number"]
 STINT = [*SESSION, "driver", "stint"]
-TEL_LAP = ["driver", "lap_number"]
+TEL_LAP = [*SESSION, "driver", "lap_number"]
 
 # Names and types of the published lap feature table.
 LAP_FEATURES = T.StructType(
@@ -93,6 +93,12 @@ def to_schema(df: DataFrame, schema: T.StructType = LAP_FEATURES) -> DataFrame:
     )
 
 
+def lap_key(tel: DataFrame) -> list[str]:
+    """Columns that name a lap in telemetry. Samples of a single session may come without
+    the session's."""
+    return [c for c in TEL_LAP if c in tel.columns or c not in SESSION]
+
+
 def require_columns(df: DataFrame, columns) -> None:
     missing = sorted(set(columns) - set(df.columns))
     if missing:

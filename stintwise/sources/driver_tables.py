@@ -25,6 +25,10 @@ def race_index(ts: str) -> Column:
     return F.floor((F.dayofmonth(ts) - 1) / 3.0).cast("int")
 
 
+def season_of(r: Column) -> Column:
+    return F.when(r >= 5, 2024).otherwise(2023)
+
+
 def laps(spark: SparkSession, sf_dir: str, s: Settings = DEFAULTS) -> DataFrame:
     events = table(spark, sf_dir, "events").select(
         "event_id",
@@ -42,7 +46,7 @@ def laps(spark: SparkSession, sf_dir: str, s: Settings = DEFAULTS) -> DataFrame:
     d, r, event_id = F.col("d"), F.col("r"), F.col("event_id")
     mix = (d + F.col("stint") + r) % 3
     return n.select(
-        F.when(r >= 5, 2024).otherwise(2023).alias("season"),
+        season_of(r).alias("season"),
         (r % 5 + 1).alias("round_number"),
         F.lit("R").alias("session_name"),
         F.concat(F.lit("C"), r.cast("string")).alias("circuit"),
@@ -68,6 +72,10 @@ def laps(spark: SparkSession, sf_dir: str, s: Settings = DEFAULTS) -> DataFrame:
         .alias("track_status"),
         F.when(event_id % 37 == 0, True).when(event_id % 53 == 0, None).otherwise(False).alias("deleted"),
         "lap_end_us",
+        # The eleventh weekend of a month reads the telemetry of the first.
+        season_of(r % 10).alias("tel_season"),
+        (r % 5 + 1).alias("tel_round"),
+        F.lit("R").alias("tel_session"),
         F.concat(F.lit("S"), (r + 10 * (d % 10)).cast("string")).alias("tel_driver"),
         (F.col("lap_number") % 8 + 1).cast("int").alias("tel_lap"),
     )
@@ -77,7 +85,7 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").filter(F.col("event_type") == "view")
     r = race_index("ts")
     return e.select(
-        F.when(r >= 5, 2024).otherwise(2023).alias("season"),
+        season_of(r).alias("season"),
         (r % 5 + 1).alias("round_number"),
         F.lit("R").alias("session_name"),
         micros("ts").alias("w_us"),
@@ -91,7 +99,11 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.dayofyear("l_shipdate") - 1
     part = F.col("l_partkey")
+    r = (F.col("l_suppkey") % 10).cast("int")
     return table(spark, sf_dir, "lineitem").select(
+        season_of(r).alias("season"),
+        (r % 5 + 1).alias("round_number"),
+        F.lit("R").alias("session_name"),
         F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("driver"),
         (F.year("l_shipdate") - 1994).alias("lap_number"),
         F.concat(F.lit("C"), (F.col("l_suppkey") % 10).cast("string")).alias("circuit"),
