@@ -16,7 +16,7 @@ from stintwise.operators.lookup import scratch_path as scratch
 from stintwise.operators.lookup import settle
 from stintwise.plans import lap_record as R
 from stintwise.plans import report as P
-from stintwise.schema import LAP_FEATURES, SESSION, to_schema
+from stintwise.schema import SESSION
 from stintwise.sources import dataset as DS
 from stintwise.sources import driver_tables as D
 
@@ -213,7 +213,7 @@ def _stored_counts(df: DataFrame) -> DataFrame:
 
 def _stored(spark, d) -> str:
     path = scratch(spark)
-    DS.write_sessions(to_schema(condition_rows(spark, d), LAP_FEATURES), f"{path}/laps")
+    DS.write_sessions(R.lap_records(tables(spark, d)), f"{path}/laps")
     return f"{path}/laps"
 
 
@@ -230,7 +230,7 @@ def io1(spark, d):
 @query("io3_rewrite_one_season", _STORED)
 def io3(spark, d):
     """Writing one season again leaves the other in place and doubles nothing."""
-    rows = settle(to_schema(condition_rows(spark, d), LAP_FEATURES))
+    rows = settle(R.lap_records(tables(spark, d)))
     path = scratch(spark)
     DS.write_sessions(rows, path)
     DS.write_sessions(rows.filter(F.col("season") == 2024), path)
@@ -244,8 +244,7 @@ def io5_build(spark, d):
     path = scratch(spark)
 
     def build(sessions):
-        wanted = R.SessionTables(splits.split_by_keys(t.laps, sessions), t.weather, t.telemetry, t.corners)
-        return R.lap_conditions(wanted)
+        return R.lap_records(R.of_sessions(t, sessions))
 
     everything = splits.race_keys(t.laps)
     DS.build_pending(everything.filter(F.col("season") == 2023), build, f"{path}/laps", f"{path}/manifest")

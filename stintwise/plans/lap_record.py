@@ -12,6 +12,7 @@ from stintwise.operators import corners as C
 from stintwise.operators import telemetry as T
 from stintwise.operators.asof import nearest_join
 from stintwise.operators.lookup import join_pinned, pin_small
+from stintwise.operators.splits import split_by_keys
 from stintwise.operators.stints import stint_laps
 from stintwise.schema import SESSION, TEL_LAP, to_schema
 from stintwise.settings import DEFAULTS, Settings
@@ -58,6 +59,16 @@ def samples_by_session(t: SessionTables) -> DataFrame:
     return t.telemetry.withColumns(named)
 
 
+def of_sessions(t: SessionTables, sessions: DataFrame) -> SessionTables:
+    """The tables cut to some sessions, and to the telemetry that their laps name."""
+    laps = with_tel_session(split_by_keys(t.laps, sessions))
+    telemetry = t.telemetry
+    if set(SESSION) <= set(telemetry.columns):
+        named = laps.select(*[F.col(n).alias(c) for n, c in zip(TEL_NAMES, SESSION)]).distinct()
+        telemetry = telemetry.join(named, SESSION, "left_semi")
+    return SessionTables(laps, split_by_keys(t.weather, sessions), telemetry, t.corners)
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     floats = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
     return df.withColumns({c: F.nanvl(c, F.lit(None)) for c in floats}) if floats else df
