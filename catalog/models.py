@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,15 @@ def condition_rows(spark, d) -> DataFrame:
     return R.lap_conditions(tables(spark, d))
 
 
+def record_rows(spark, d) -> DataFrame:
+    """Whole records, for fits on the features of the lap's own telemetry."""
+    return R.lap_records(tables(spark, d))
+
+
+def record_split(spark, d):
+    return splits.split_chronological(settle(record_rows(spark, d)))
+
+
 def condition_split(spark, d):
     return splits.split_chronological(settle(condition_rows(spark, d)))
 
@@ -534,6 +545,33 @@ def m17(spark, d):
     return rounded(E.metrics(scored).withColumns({k: F.lit(v) for k, v in chosen.items()}))
 
 
+# The inputs that describe the driver, and the depths tried with them.
+DRIVER_INPUTS = ("avg_braking_decel_ms2", "peak_braking_decel_ms2", "avg_throttle_pct", "driver_consistency_std_s")
+DRIVER_DEPTHS = (8, 10, 12)
+
+
+def driver_trials() -> list[tuple[bool, RF.ForestSpec]]:
+    base = RF.ForestSpec(trees=200)
+    wide = replace(base, continuous=RF.CONTINUOUS + DRIVER_INPUTS)
+    return [(False, base), *[(True, replace(wide, depth=n)) for n in DRIVER_DEPTHS]]
+
+
+@query("m17_driver_features")
+def m17_driver(spark, d):
+    """Validation metrics without the driver's inputs, and with them at each depth."""
+    train, _ = record_split(spark, d)
+    tune, validation = splits.split_chronological(train)
+    out = None
+    for wide, spec in driver_trials():
+        scored = RF.predict_forest(RF.fit_forest(tune, spec), E.valid_rows(validation))
+        one = E.metrics(scored).withColumns({
+            "driver_features": F.lit(wide), "depth": F.lit(spec.depth),
+            "n_training": F.lit(RF.training_frame(tune, spec).count()),
+        })
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
+
+
 @query("m18_row_folds_against_race_folds")
 def m18(spark, d):
     rows = settle(condition_rows(spark, d))

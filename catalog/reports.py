@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalog.models import condition_rows, condition_split, lap_split
+from catalog.models import condition_rows, condition_split, lap_split, record_rows
 from catalog.registry import query, rounded, tables
 from catalog.sql import DEF_NUM, SES, crossing, r
 from stintwise.operators import forest as RF
@@ -160,18 +160,31 @@ def _forest(spark, d):
     return RF.fit_forest(train), rows
 
 
+# The exported model: no fuel load, the driver's braking and throttle, fitted on every race.
+EXPORT = RF.ForestSpec(continuous=RF.EXPORT_CONTINUOUS, trees=200, depth=10)
+
+
+def _exported(spark, d):
+    rows = settle(record_rows(spark, d))
+    return RF.fit_forest(rows, EXPORT), rows
+
+
+def export_defaults(rows: DataFrame) -> DataFrame:
+    return P.default_table(rows, [c for c in EXPORT.continuous if c != M.AGE], list(EXPORT.boolean))
+
+
 @query("d9_wear_curves")
 def d9(spark, d):
-    model, rows = _forest(spark, d)
-    curves = P.wear_curves(model, requests(spark, d), defaults(rows))
+    model, rows = _exported(spark, d)
+    curves = P.wear_curves(model, requests(spark, d), export_defaults(rows))
     curves = P.beyond_observed(curves, P.max_age_by_circuit(rows))
     return rounded(curves.select(*REQUEST, "tire_age_laps", "delta_s", "low_support", "beyond_observed_age"))
 
 
 @query("d9_curve_summary")
 def d9_summary(spark, d):
-    model, rows = _forest(spark, d)
-    return rounded(P.curve_summary(P.wear_curves(model, requests(spark, d), defaults(rows))))
+    model, rows = _exported(spark, d)
+    return rounded(P.curve_summary(P.wear_curves(model, requests(spark, d), export_defaults(rows))))
 
 
 @query("d9_rejected_requests", "SELECT request_id, circuit FROM requests WHERE circuit NOT IN (SELECT circuit FROM slaps)")
@@ -189,9 +202,9 @@ def d8_forest(spark, d):
 
 @query("d10_report_inputs")
 def d10(spark, d):
-    model, rows = _forest(spark, d)
-    known, _ = P.split_known(requests(spark, d), defaults(rows))
-    out = P.predictions_at(model, known, defaults(rows), [1, 5, 10, 15, 20, 30, 40, 50, 60])
+    model, rows = _exported(spark, d)
+    known, _ = P.split_known(requests(spark, d), export_defaults(rows))
+    out = P.predictions_at(model, known, export_defaults(rows), [1, 5, 10, 15, 20, 30, 40, 50, 60])
     return rounded(out.select(*REQUEST, "tire_age_laps", "air_temp_c", "is_raining", "predicted"))
 
 
