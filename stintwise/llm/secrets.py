@@ -44,12 +44,15 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]{14,}"),
     Rule("hex", r"[0-9a-f]{16,}"),
 )
+#: Parts of a private key in PEM form.
+BEGIN, BODY, END = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", r"[A-Za-z0-9+/=\s]*", r"-----END [A-Z ]{0,20}PRIVATE KEY-----"
 MORE = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]*(-----END [A-Z ]{0,20}PRIVATE KEY-----)?"),
+    # An encrypted key's header lines end at a blank line; where there is none, the END line ends all.
+    Rule("private_key", rf"{BEGIN}(?:\s*[A-Za-z][A-Za-z0-9-]*:[\s\S]*?(?:\n[\x20\t\r]*\n{BODY}(?:{END})?|{END})|{BODY}(?:{END})?)", version=2),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("url_password", r"[a-z][a-z0-9+]{1,15}://[^\x00-\x20/@:]{1,64}:[^\x00-\x20/@]{1,64}@"),
+    Rule("url_password", r"[a-z][a-z0-9+]{1,15}://[^\x00-\x20/@:]{1,}:[^\x00-\x20/@]{1,}@", version=2),
 )
 RULES = BASE + MORE
 
