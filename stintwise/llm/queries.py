@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stintwise.llm import chosen_path, exact_topk, language_crf, neighbours, packing, quality_rules, record_files, repeated_windows, secrets, segmentations
+from stintwise.llm import chosen_path, exact_topk, importance, language_crf, merkle, mixing, neighbours, packing, quality_rules, record_files, repeated_windows, secrets, segmentations
 from stintwise.llm.text import documents
 
 
@@ -68,6 +68,20 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    spec = importance.ImportanceSpec(shortest=1, longest=1, buckets=10_000, least_words=20, percent=10, seed=2024)
+    return importance.ranks(documents(spark, sf_dir), target, spec).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.amounts(documents(spark, sf_dir), mixing.MixSpec(weights=(3, 1, 2), percent=150, ceiling=2))
+
+
+def op13_time_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(documents(spark, sf_dir))
+
+
 def queries() -> dict:
     return {
         "op1_chosen_path": op1_chosen_path,
@@ -80,6 +94,9 @@ def queries() -> dict:
         "op8_exact_topk": op8_exact_topk,
         "op9_super_kmers": op9_super_kmers,
         "op10_secret_scans": op10_secret_scans,
+        "op11_importance": op11_importance,
+        "op12_splitting_tree": op12_splitting_tree,
+        "op13_time_forward": op13_time_forward,
     }
 
 
