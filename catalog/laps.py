@@ -91,6 +91,22 @@ def a1(spark, d):
     return table.join(lists, STINT_KEYS).select(*STINT_KEYS, "compound", "stint_laps", "lap_numbers", "is_complete")
 
 
+@query("a1_laps_listed_twice", f"""
+SELECT {', '.join('s.' + k.strip() for k in STINT.split(','))}, s.stint_laps, s.first_lap, s.last_lap, s.is_complete, l.n_laps, {r('l.sum_time', 'sum_time')}
+FROM stints s LEFT JOIN (SELECT {STINT}, count(*) AS n_laps, sum(lap_time_s) AS sum_time FROM slaps GROUP BY {STINT}) l USING ({STINT})""")
+def a1_twice(spark, d):
+    """Every third lap listed again, later and slower: stints and laps are those of the first copies."""
+    laps = D.laps(spark, d)
+    again = laps.filter(F.col("lap_number") % 3 == 0).withColumns(
+        {"lap_end_us": F.col("lap_end_us") + 1_000_000, "lap_time_s": F.col("lap_time_s") + 50.0}
+    )
+    listed = laps.unionByName(again)
+    sums = stints.with_stints(listed).groupBy(*STINT_KEYS).agg(F.count("*").alias("n_laps"), F.sum("lap_time_s").alias("sum_time"))
+    table = stints.stint_table(listed).withColumn("stint_laps", F.col("stint_laps").cast("long"))
+    return rounded(table.join(sums, STINT_KEYS, "left").select(*STINT_KEYS, "stint_laps", "first_lap", "last_lap", "is_complete", "n_laps", "sum_time"))
+
+
+
 @query("a2_mixed_compound_drivers", f"SELECT {STINT}, stint_laps FROM stints WHERE is_mixed")
 def a2(spark, d):
     return stints.mixed_stint_drivers(D.laps(spark, d)).withColumn("stint_laps", F.col("stint_laps").cast("long"))

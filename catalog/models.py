@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalog.registry import query, rounded, tables
+from catalog.registry import query, rounded, stored_once, tables
 from catalog.sql import ALPHAS, METRICS, SES, gram, r
 from stintwise.functions import laps as L
 from stintwise.operators import evaluate as E
@@ -511,28 +511,36 @@ def f8(spark, d):
 GRID = {"trees": [200, 400], "depth": [4, 6, 8, 10, 12], "min_leaf": [5, 10, 20]}
 
 
+def forest(spark, d) -> RF.ForestModel:
+    """The forest of the training races, fitted once and read back from where it is stored."""
+    path = stored_once(spark, d, "forest", lambda: RF.fit_forest(condition_split(spark, d)[0]), RF.save)
+    return RF.load(spark, path)
+
+
 @query("m13_m14_forest_prediction")
 def m13(spark, d):
-    train, test = condition_split(spark, d)
-    return rounded(RF.predict_forest(RF.fit_forest(train), test).select(*LAP_KEYS, "predicted"))
+    model = forest(spark, d)
+    _, test = condition_split(spark, d)
+    return rounded(RF.predict_forest(model, test).select(*LAP_KEYS, "predicted"))
 
 
 @query("m14_forest_metrics")
 def m14(spark, d):
-    train, test = condition_split(spark, d)
-    return rounded(E.metrics(RF.predict_forest(RF.fit_forest(train), E.valid_rows(test))))
+    model = forest(spark, d)
+    _, test = condition_split(spark, d)
+    return rounded(E.metrics(RF.predict_forest(model, E.valid_rows(test))))
 
 
 @query("m15_leaf_support")
 def m15(spark, d):
-    train, test = condition_split(spark, d)
-    return rounded(RF.leaf_support(RF.fit_forest(train), test, LAP_KEYS))
+    model = forest(spark, d)
+    _, test = condition_split(spark, d)
+    return rounded(RF.leaf_support(model, test, LAP_KEYS))
 
 
 @query("m16_t7_forest_importances")
 def m16(spark, d):
-    train, _ = condition_split(spark, d)
-    return rounded(RF.importances(RF.fit_forest(train)))
+    return rounded(RF.importances(forest(spark, d)))
 
 
 @query("m17_t6_forest_sweep")
@@ -561,12 +569,13 @@ def m17_driver(spark, d):
     """Validation metrics without the driver's inputs, and with them at each depth."""
     train, _ = record_split(spark, d)
     tune, validation = splits.split_chronological(train)
+    trials = driver_trials()
+    fits = RF.side_by_side([lambda spec=spec: RF.fit_forest(tune, spec) for _, spec in trials])
     out = None
-    for wide, spec in driver_trials():
-        scored = RF.predict_forest(RF.fit_forest(tune, spec), E.valid_rows(validation))
-        one = E.metrics(scored).withColumns({
+    for (wide, spec), model in zip(trials, fits):
+        one = E.metrics(RF.predict_forest(model, E.valid_rows(validation))).withColumns({
             "driver_features": F.lit(wide), "depth": F.lit(spec.depth),
-            "n_training": F.lit(RF.training_frame(tune, spec).count()),
+            "n_training": F.lit(model.nodes.filter("tree = 0").agg(F.sum("rows")).first()[0]),
         })
         out = one if out is None else out.unionByName(one)
     return rounded(out)
@@ -575,6 +584,6 @@ def m17_driver(spark, d):
 @query("m18_row_folds_against_race_folds")
 def m18(spark, d):
     rows = settle(condition_rows(spark, d))
-    r2 = {"race": RF.fold_r2(rows, SESSION, 3), "lap": RF.fold_r2(rows, LAP_KEYS, 3)}
+    r2 = RF.fold_r2(rows, {"race": SESSION, "lap": LAP_KEYS}, 3)
     named = F.array(*[F.struct(F.lit(k).alias("fold_by"), F.lit(float(v)).alias("r2")) for k, v in r2.items()])
     return rounded(rows.agg(F.count("*").alias("n_rows")).withColumn("f", F.explode(named)).select("n_rows", "f.*"))

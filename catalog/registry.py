@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalog.sql import sql as with_tables
+from stintwise.operators.lookup import scratch_path
 from stintwise.plans.lap_record import SessionTables
 from stintwise.sources import driver_tables as D
 
@@ -41,3 +42,18 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
             for f in df.schema.fields
         ]
     )
+
+
+_STORED: dict[tuple, str] = {}
+
+
+def stored_once(spark: SparkSession, sf_dir: str, name: str, fit: Callable, write: Callable) -> str:
+    """Where `write(fit(), path)` put its result: once a session for the tables of a folder, so that
+    queries which score with the same model do not fit it again."""
+    key = (spark, sf_dir, name)
+    if key not in _STORED:
+        made = fit()
+        path = scratch_path(spark)
+        write(made, path)
+        _STORED[key] = path
+    return _STORED[key]

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalog.models import condition_rows, condition_split, lap_split, record_rows
-from catalog.registry import query, rounded, tables
+from catalog.models import condition_rows, forest, lap_split, record_rows
+from catalog.registry import query, rounded, stored_once, tables
 from catalog.sql import DEF_NUM, SES, crossing, r
 from stintwise.operators import forest as RF
 from stintwise.operators import life
@@ -83,6 +83,21 @@ def io9(spark, d):
     return rounded(out.select("circuit", "tire_compound", "avg_corner_speed_kph", "max_age_laps"))
 
 
+_EXPORTED = ("track_temp_c", "air_temp_c", "avg_braking_decel_ms2", "peak_braking_decel_ms2", "avg_throttle_pct")
+
+
+@query("io9_export_model", f"""
+SELECT c.circuit, c.tire_compound, c.n_rows, {', '.join(r(f'c.{x}', x) for x in _EXPORTED)}, c.is_raining, m.max_age_laps, 200 AS trees
+FROM (SELECT circuit, tire_compound, count(*) AS n_rows, {', '.join(f'avg({x}) AS {x}' for x in _EXPORTED)},
+       sum(CASE WHEN is_raining THEN 1 WHEN NOT is_raining THEN -1 END) > 0 AS is_raining FROM rec GROUP BY 1, 2) c
+JOIN (SELECT circuit, max(tire_age_laps) AS max_age_laps FROM rec GROUP BY circuit) m ON c.circuit = m.circuit""")
+def io9_model(spark, d):
+    """What scoring jobs read back from the export: the model's size, and its lookups."""
+    e = exported(spark, d)
+    pairs = e.defaults.filter(F.col("level") == "pair").join(e.circuits, "circuit").join(e.max_age, "circuit")
+    return rounded(pairs.select("circuit", "tire_compound", "n_rows", *_EXPORTED, "is_raining", "max_age_laps", F.lit(len(e.model.parts[0].roots)).alias("trees")))
+
+
 # --- life ---------------------------------------------------------------------------------
 
 _LIN_SWEPT = """(SELECT q.*, coalesce(o.b0, g.b0) + coalesce(o.b1, g.b1) * q.tire_age_laps AS predicted
@@ -154,37 +169,32 @@ def t5(spark, d):
 # --- forest answers -----------------------------------------------------------------------
 
 
-def _forest(spark, d):
-    rows = settle(condition_rows(spark, d))
-    train, _ = splits.split_chronological(rows)
-    return RF.fit_forest(train), rows
-
-
 # The exported model: no fuel load, the driver's braking and throttle, fitted on every race.
 EXPORT = RF.ForestSpec(continuous=RF.EXPORT_CONTINUOUS, trees=200, depth=10)
 
 
-def _exported(spark, d):
-    rows = settle(record_rows(spark, d))
-    return RF.fit_forest(rows, EXPORT), rows
+def exported(spark, d) -> P.Exported:
+    """The exported model, read back: made once, then only loaded."""
 
+    def fit():
+        rows = settle(record_rows(spark, d))
+        return RF.fit_forest(rows, EXPORT), rows
 
-def export_defaults(rows: DataFrame) -> DataFrame:
-    return P.default_table(rows, [c for c in EXPORT.continuous if c != M.AGE], list(EXPORT.boolean))
+    path = stored_once(spark, d, "export", fit, lambda made, path: P.export_model(*made, path))
+    return P.load_export(spark, path)
 
 
 @query("d9_wear_curves")
 def d9(spark, d):
-    model, rows = _exported(spark, d)
-    curves = P.wear_curves(model, requests(spark, d), export_defaults(rows))
-    curves = P.beyond_observed(curves, P.max_age_by_circuit(rows))
+    e = exported(spark, d)
+    curves = P.beyond_observed(P.wear_curves(e.model, requests(spark, d), e.defaults), e.max_age)
     return rounded(curves.select(*REQUEST, "tire_age_laps", "delta_s", "low_support", "beyond_observed_age"))
 
 
 @query("d9_curve_summary")
 def d9_summary(spark, d):
-    model, rows = _exported(spark, d)
-    return rounded(P.curve_summary(P.wear_curves(model, requests(spark, d), export_defaults(rows))))
+    e = exported(spark, d)
+    return rounded(P.curve_summary(P.wear_curves(e.model, requests(spark, d), e.defaults)))
 
 
 @query("d9_rejected_requests", "SELECT request_id, circuit FROM requests WHERE circuit NOT IN (SELECT circuit FROM slaps)")
@@ -195,30 +205,33 @@ def d9_rejected(spark, d):
 
 @query("d8_forest_report")
 def d8_forest(spark, d):
-    model, rows = _forest(spark, d)
-    report = P.forest_report(model, requests(spark, d), defaults(rows))
+    model = forest(spark, d)
+    report = P.forest_report(model, requests(spark, d), defaults(condition_rows(spark, d)))
     return rounded(report.select("request_id", "compound", "circuit", "life_laps", "starts_above", "avg_leaf_rows", "is_extrapolating"))
 
 
 @query("d10_report_inputs")
 def d10(spark, d):
-    model, rows = _exported(spark, d)
-    known, _ = P.split_known(requests(spark, d), export_defaults(rows))
-    out = P.predictions_at(model, known, export_defaults(rows), [1, 5, 10, 15, 20, 30, 40, 50, 60])
+    e = exported(spark, d)
+    known, _ = P.split_known(requests(spark, d), e.defaults)
+    out = P.predictions_at(e.model, known, e.defaults, [1, 5, 10, 15, 20, 30, 40, 50, 60])
     return rounded(out.select(*REQUEST, "tire_age_laps", "air_temp_c", "is_raining", "predicted"))
 
 
 # --- the stored dataset -------------------------------------------------------------------
 
+# Columns of the record that come from a lap's own telemetry.
+_OWN = ("avg_speed_kph", "avg_throttle_pct", "avg_braking_decel_ms2", "apex_speed_kph")
 _STORED = f"""SELECT season, round_number, session_name, count(*) AS n_rows, count(*) FILTER (WHERE is_valid_lap) AS n_valid,
- {r('sum(lap_time_s)', 'sum_lap_time_s', 4)} FROM cond GROUP BY {SES}"""
+ {r('sum(lap_time_s)', 'sum_lap_time_s', 4)}, {', '.join(f"count({c}) AS n_{c}, {r(f'sum({c})', f'sum_{c}', 4)}" for c in _OWN)} FROM rec GROUP BY {SES}"""
 
 
 def _stored_counts(df: DataFrame) -> DataFrame:
+    own = [x for c in _OWN for x in (F.count(c).alias(f"n_{c}"), F.sum(c).alias(f"sum_{c}"))]
     return rounded(
         df.groupBy(*SESSION).agg(
             F.count("*").alias("n_rows"), F.count_if("is_valid_lap").alias("n_valid"),
-            F.sum("lap_time_s").alias("sum_lap_time_s"),
+            F.sum("lap_time_s").alias("sum_lap_time_s"), *own,
         ),
         4,
     )

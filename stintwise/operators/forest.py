@@ -1,8 +1,14 @@
-"""Random-forest wear model on Spark ML, with the training evidence behind each prediction."""
+"""Random-forest wear model on Spark ML, with the training evidence behind each prediction.
+
+Spark ML fits the trees; their nodes are then kept as a table (`nodes`), by which rows are scored,
+leaf support is looked up and shallower or smaller forests are compared without fitting them.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+import json
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import asdict, dataclass, replace
 from functools import reduce
 from itertools import product
 
@@ -11,12 +17,11 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stintwise.operators.evaluate import PREDICTED, TARGET, evaluate, training_rows
-from stintwise.operators.lookup import join_pinned, pin_small
+from stintwise.operators import nodes as N
+from stintwise.operators.evaluate import PREDICTED, TARGET, metrics, training_rows
 from stintwise.schema import require_columns
 from stintwise.settings import DEFAULTS, Settings
 
@@ -41,6 +46,7 @@ class ForestSpec:
     min_leaf: int = 5
     seed: int = 42
     bins: int = 64  # thresholds per input: every whole age and every fuel step has its own
+    memory_mb: int = 512  # sums that a task holds in one pass over the rows
 
     @property
     def features(self) -> tuple[str, ...]:
@@ -50,13 +56,15 @@ class ForestSpec:
 @dataclass(frozen=True)
 class ForestModel:
     spec: ForestSpec
-    pipeline: PipelineModel
-    leaf_rows: DataFrame  # training rows per (tree, leaf)
-    leaf_rows_pinned: bool
+    encoder: PipelineModel
+    nodes: DataFrame  # as `nodes.node_table`, with the training rows that end at each
+    parts: list[N.Run]  # the same, as tasks read it
 
     @property
-    def forest(self):
-        return self.pipeline.stages[-1]
+    def leaf_rows(self) -> DataFrame:
+        """Training rows per (tree, leaf)."""
+        leaves = self.nodes.filter(F.col("left").isNull())
+        return leaves.select("tree", F.col("node").alias("leaf"), F.col("rows").alias("leaf_rows"))
 
 
 def _numbers(df: DataFrame, spec: ForestSpec) -> DataFrame:
@@ -77,15 +85,16 @@ def _stages(spec: ForestSpec) -> list:
     return [
         StringIndexer(inputCols=cats, outputCols=index, handleInvalid="keep", stringOrderType="alphabetAsc"),
         OneHotEncoder(inputCols=index, outputCols=hot, dropLast=True),
-        VectorAssembler(inputCols=hot + rest, outputCol="_features"),
+        VectorAssembler(inputCols=hot + rest, outputCol="_vector"),
         RandomForestRegressor(
-            featuresCol="_features",
+            featuresCol="_vector",
             labelCol=TARGET,
             predictionCol=PREDICTED,
             numTrees=spec.trees,
             maxDepth=spec.depth or MAX_DEPTH,
             minInstancesPerNode=spec.min_leaf,
             maxBins=spec.bins,
+            maxMemoryInMB=spec.memory_mb,
             featureSubsetStrategy="all",
             seed=spec.seed,
         ),
@@ -98,118 +107,162 @@ def training_frame(train: DataFrame, spec: ForestSpec) -> DataFrame:
     return _numbers(rows, spec).select(*[f"_in_{c}" for c in spec.features], TARGET)
 
 
-def _leaves(pipeline: PipelineModel, rows: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per row and tree with the leaf it falls in."""
-    *encode, forest = pipeline.stages
-    encoded = reduce(lambda d, stage: stage.transform(d), encode, rows)
-    with_leaves = forest.copy().setLeafCol("_leaves").transform(encoded)
-    return with_leaves.select(*keep, F.posexplode(vector_to_array("_leaves")).alias("tree", "leaf"))
+def dealt(frame: DataFrame) -> DataFrame:
+    """The rows of a fit, evenly over all cores and kept: every level of the trees reads them."""
+    return frame.repartition(frame.sparkSession.sparkContext.defaultParallelism).persist()
 
 
-def fit_forest(train: DataFrame, spec: ForestSpec = ForestSpec(), s: Settings = DEFAULTS) -> ForestModel:
-    """Fit, and count the training rows in every leaf.
+def encode(encoder: PipelineModel, rows: DataFrame, keep: list) -> DataFrame:
+    """`keep` with the inputs as the vector of a fit and as the array of the node table."""
+    return encoder.transform(rows).select(*keep, "_vector", vector_to_array("_vector").alias(N.FEATURES))
 
-    The leaf table has at most trees x 2^depth rows whatever the data size; it is pinned
-    when that bound is moderate.
-    """
-    rows = training_frame(train, spec)
-    pipeline = Pipeline(stages=_stages(spec)).fit(rows)
-    counts = _leaves(pipeline, rows, []).groupBy("tree", "leaf").agg(F.count("*").alias("leaf_rows"))
-    bound = spec.trees * 2 ** (spec.depth or MAX_DEPTH)
-    room = replace(s, lookup_max_rows=min(max(bound, s.lookup_max_rows), 1_000_000))
-    table, pinned = pin_small(counts, room)
-    return ForestModel(spec, pipeline, table, pinned)
+
+def fit_forest(train: DataFrame, spec: ForestSpec = ForestSpec(), s: Settings = DEFAULTS) -> ForestModel:
+    """Fit, and count the training rows in every leaf."""
+    frame = dealt(training_frame(train, spec))
+    try:
+        *steps, forest = _stages(spec)
+        encoder = Pipeline(stages=steps).fit(frame)
+        encoded = encode(encoder, frame, [TARGET])
+        table = N.node_table(forest.fit(encoded))
+        table = N.with_rows(table, N.runs(table), encoded)
+    finally:
+        frame.unpersist()
+    return ForestModel(spec, encoder, table, N.runs(table))
 
 
 def is_complete(spec: ForestSpec) -> Column:
     return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in spec.features])
 
 
-def predict_forest(model: ForestModel, df: DataFrame) -> DataFrame:
-    """Adds `predicted`; a row that lacks an input stays, with a null prediction."""
+def predict_with_support(model: ForestModel, df: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """Adds `predicted`, `avg_leaf_rows`, the mean number of training rows in the leaves a row falls
+    in, and whether that is too few. A row that lacks an input stays, with nulls. One projection:
+    the rows do not move."""
     require_columns(df, model.spec.features)
-    scored = model.pipeline.transform(_numbers(df, model.spec))
-    value = F.when(is_complete(model.spec), F.col(PREDICTED))
-    return scored.withColumn(PREDICTED, value).select(*df.columns, PREDICTED)
+    whole = is_complete(model.spec)
+    rows = encode(model.encoder, _numbers(df, model.spec), [*df.columns, whole.alias("_whole")])
+    scored = N.score(rows, model.parts)
+    value = lambda c: F.when(F.col("_whole"), c)
+    return scored.select(
+        *df.columns,
+        value(F.col("_value")).alias(PREDICTED),
+        value(F.col("_rows")).alias("avg_leaf_rows"),
+        value(F.col("_rows") < s.min_leaf_support).alias("low_support"),
+    )
 
 
-def leaf_support(model: ForestModel, df: DataFrame, keys: list[str], s: Settings = DEFAULTS) -> DataFrame:
-    """Per row, named by `keys`: mean number of training rows in the leaves it falls in over
-    all trees, and whether that is too few. Rows that lack an input have neither."""
-    complete = df.filter(is_complete(model.spec))
-    leaves = _leaves(model.pipeline, _numbers(complete, model.spec), keys)
-    counted = join_pinned(leaves, model.leaf_rows, model.leaf_rows_pinned, ["tree", "leaf"])
-    return counted.groupBy(*keys).agg(
-        F.avg(F.coalesce("leaf_rows", F.lit(0))).alias("avg_leaf_rows")
-    ).withColumn("low_support", F.col("avg_leaf_rows") < s.min_leaf_support)
+def predict_forest(model: ForestModel, df: DataFrame) -> DataFrame:
+    """Adds `predicted`; a row that lacks an input stays, with a null prediction."""
+    return predict_with_support(model, df).drop("avg_leaf_rows", "low_support")
 
 
-def predict_with_support(model: ForestModel, df: DataFrame, keys: list[str], s: Settings = DEFAULTS) -> DataFrame:
-    """Prediction and leaf support together, for rows already spread by (part of) `keys`."""
-    scored = predict_forest(model, df)
-    return scored.join(leaf_support(model, df, keys, s), keys, "left")
+def leaf_support(model: ForestModel, df: DataFrame, keys: list[str], s: Settings = DEFAULTS) -> DataFrame:
+    """`keys`, `avg_leaf_rows` and `low_support` of the rows that lack no input."""
+    scored = predict_with_support(model, df.filter(is_complete(model.spec)), s)
+    return scored.select(*keys, "avg_leaf_rows", "low_support")
 
 
 def importances(model: ForestModel) -> DataFrame:
     """Importance per source feature; the indicators of a category are summed."""
     spec = model.spec
-    labels = model.pipeline.stages[0].labelsArray
-    owner = [c for c, seen in zip(spec.categorical, labels) for _ in seen]
+    owner = [c for c, seen in zip(spec.categorical, model.encoder.stages[0].labelsArray) for _ in seen]
     owner += list(spec.continuous + spec.boolean)
-    values = model.forest.featureImportances.toArray().tolist()
-    spark = model.leaf_rows.sparkSession
-    rows = spark.createDataFrame(list(zip(owner, values)), "feature string, importance double")
-    return rows.groupBy("feature").agg(F.sum("importance").alias("importance")).orderBy(
-        F.col("importance").desc(), "feature"
-    )
+    names = model.nodes.sparkSession.createDataFrame(list(enumerate(owner)), "feature int, name string")
+    values = names.join(N.importance_by_feature(model.nodes), "feature", "left")
+    summed = values.groupBy(F.col("name").alias("feature")).agg(F.sum(F.coalesce("importance", F.lit(0.0))).alias("importance"))
+    return summed.orderBy(F.col("importance").desc(), "feature")
+
+
+def side_by_side(jobs: list, at_once: int = 3) -> list:
+    """Results of independent fits, a few at a time: what the driver does between the passes of
+    one leaves the cluster to the others."""
+    with ThreadPoolExecutor(at_once) as pool:
+        return [f.result() for f in [pool.submit(job) for job in jobs]]
 
 
 def tune(
     train: DataFrame, validation: DataFrame, grid: dict[str, list], spec: ForestSpec = ForestSpec()
 ) -> list[tuple[ForestSpec, float]]:
-    """Validation R2 of every combination; each fit is a distributed job of its own."""
-    frame = training_frame(train, spec)
-    frame.persist()
-    results = []
+    """Validation R2 of every combination of `grid`.
+
+    Depths and numbers of trees need no fit of their own: the deepest and largest forest ends
+    earlier in the tree, or after fewer trees. So there is one fit for each combination of the
+    other settings. Its first trees are a forest of that size, but not the one that a fit of that
+    size draws from the same seed.
+    """
+    depths = [d or MAX_DEPTH for d in grid.get("depth", [spec.depth])]
+    counts = list(grid.get("trees", [spec.trees]))
+    others = {k: v for k, v in grid.items() if k not in ("depth", "trees")}
+    largest = replace(spec, depth=max(depths), trees=max(counts))
+    trials = [replace(largest, **dict(zip(others, combo))) for combo in product(*others.values())]
+    frame = dealt(training_frame(train, spec))
     try:
-        for combo in product(*grid.values()):
-            trial = replace(spec, **dict(zip(grid, combo)))
-            pipeline = Pipeline(stages=_stages(trial)).fit(frame)
-            scored = pipeline.transform(_numbers(validation.filter(is_complete(trial)), trial))
-            results.append((trial, evaluate(scored).r2))
+        encoder = Pipeline(stages=_stages(spec)[:-1]).fit(frame)
+        encoded = encode(encoder, frame, [TARGET]).persist()
+        fits = side_by_side([lambda t=t: N.node_table(_stages(t)[-1].fit(encoded)) for t in trials])
+        encoded.unpersist()
     finally:
         frame.unpersist()
-    return results
+    tested = encode(encoder, _numbers(validation.filter(is_complete(spec)), spec), [TARGET])
+    shapes = list(product(depths, counts))
+    found = {}
+    for trial, table in zip(trials, fits):
+        values = N.score_shorter(tested, N.runs(table), depths, counts)
+        each = values.select(TARGET, F.posexplode("_values").alias("shape", PREDICTED))
+        for row in metrics(each, ["shape"]).collect():  # a row per depth and number of trees
+            depth, trees = shapes[row["shape"]]
+            found[replace(trial, depth=depth, trees=trees)] = row["r2"]
+    chosen = [replace(spec, **dict(zip(grid, combo))) for combo in product(*grid.values())]
+    return [(c, found[replace(c, depth=c.depth or MAX_DEPTH)]) for c in chosen]
 
 
 def best(results: list[tuple[ForestSpec, float]]) -> ForestSpec:
     return max(results, key=lambda r: r[1])[0]
 
 
-def fold_r2(df: DataFrame, fold_by: list[str], folds: int = 3, spec: ForestSpec = ForestSpec()) -> float:
-    """Mean cross-validated R2 with folds drawn over `fold_by`: whole races keep a race on
-    one side, single laps let the model see the stints it is tested on."""
+def fold_r2(df: DataFrame, fold_by: dict[str, list[str]], folds: int = 3, spec: ForestSpec = ForestSpec()) -> dict[str, float]:
+    """Mean cross-validated R2 by name, with folds drawn over the columns named: whole races keep a
+    race on one side, single laps let the model see the stints it is tested on. Every fold's
+    rows are encoded and fitted apart from the ones it is tested on; all fits read one frame."""
     rows = training_rows(df, [*spec.features, TARGET])
-    fold = F.pmod(F.xxhash64(F.lit(spec.seed), *fold_by), F.lit(folds)).cast("int").alias("_fold")
-    frame = _numbers(rows, spec).select(*[f"_in_{c}" for c in spec.features], TARGET, fold)
-    cv = CrossValidator(
-        estimator=Pipeline(stages=_stages(spec)),
-        estimatorParamMaps=ParamGridBuilder().build(),
-        evaluator=RegressionEvaluator(labelCol=TARGET, predictionCol=PREDICTED, metricName="r2"),
-        numFolds=folds,
-        foldCol="_fold",
-    )
-    return cv.fit(frame).avgMetrics[0]
+    fold = lambda by: F.pmod(F.xxhash64(F.lit(spec.seed), *by), F.lit(folds)).cast("int")
+    parts = {f"_fold_{name}": fold(by) for name, by in fold_by.items()}
+    frame = dealt(_numbers(rows, spec).select(*[f"_in_{c}" for c in spec.features], TARGET, *[c.alias(n) for n, c in parts.items()]))
+    score = RegressionEvaluator(labelCol=TARGET, predictionCol=PREDICTED, metricName="r2")
 
+    def one(column: str, k: int) -> float:
+        fitted = Pipeline(stages=_stages(spec)).fit(frame.filter(F.col(column) != k))
+        return score.evaluate(fitted.transform(frame.filter(F.col(column) == k)))
 
-def save(model: ForestModel, path: str) -> None:
-    """Pipeline and leaf table under one folder, for scoring jobs that do not refit."""
-    model.pipeline.write().overwrite().save(f"{path}/pipeline")
-    model.leaf_rows.write.mode("overwrite").parquet(f"{path}/leaf_rows")
+    try:
+        frame.count()  # kept before the fits start
+        values = side_by_side([lambda c=c, k=k: one(c, k) for c in parts for k in range(folds)])
+    finally:
+        frame.unpersist()
+    return {name: sum(values[i * folds : (i + 1) * folds]) / folds for i, name in enumerate(fold_by)}
 
 
-def load(spark, path: str, spec: ForestSpec, s: Settings = DEFAULTS) -> ForestModel:
-    bound = spec.trees * 2 ** (spec.depth or MAX_DEPTH)
-    room = replace(s, lookup_max_rows=min(max(bound, s.lookup_max_rows), 1_000_000))
-    table, pinned = pin_small(spark.read.parquet(f"{path}/leaf_rows"), room)
-    return ForestModel(spec, PipelineModel.load(f"{path}/pipeline"), table, pinned)
+VERSION = 2
+
+
+def save(model: ForestModel, path: str) -> None:
+    """Encoder, nodes and settings under one folder, for scoring jobs that do not refit. The
+    settings come last: a folder without them is not a model."""
+    spark = model.nodes.sparkSession
+    model.encoder.write().overwrite().save(f"{path}/encoder")
+    model.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+    settings = json.dumps({"version": VERSION, "spec": asdict(model.spec)})
+    spark.createDataFrame([(settings,)], "settings string").coalesce(1).write.mode("overwrite").parquet(f"{path}/settings")
+
+
+def load(spark: SparkSession, path: str, spec: ForestSpec | None = None) -> ForestModel:
+    """The model that `save` wrote; an error where it was fitted with another spec than asked for."""
+    stored = json.loads(spark.read.parquet(f"{path}/settings").first()["settings"])
+    if stored["version"] != VERSION:
+        raise ValueError(f"stored model has version {stored['version']}, not {VERSION}")
+    found = ForestSpec(**{k: tuple(v) if isinstance(v, list) else v for k, v in stored["spec"].items()})
+    if spec is not None and spec != found:
+        raise ValueError(f"stored model was fitted with {found}")
+    nodes = spark.read.parquet(f"{path}/nodes")
+    return ForestModel(found, PipelineModel.load(f"{path}/encoder"), nodes, N.runs(nodes))

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stintwise.operators.evaluate import PREDICTED, TARGET, training_rows
@@ -62,34 +62,56 @@ def _collect_fit(coefs: DataFrame, names: tuple[str, ...], s: Settings, stats=No
 # --- polynomials of tire age -------------------------------------------------------------
 
 
+def _moments(rows: DataFrame, by: list[str], inputs: dict[str, Column]) -> DataFrame:
+    """n, the means and the centred products (divided by n) of `inputs` per group: one pass, combined
+    before it shuffles."""
+    names = list(inputs)
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    return rows.groupBy(*by).agg(
+        F.count("*").alias("n_rows"),
+        *[F.avg(c).alias(f"m_{n}") for n, c in inputs.items()],
+        *[F.covar_pop(inputs[a], inputs[b]).alias(f"s_{a}{b}") for a, b in pairs],
+    )
+
+
+def _pooled_moments(cells: DataFrame, names: list[str]) -> DataFrame:
+    """The moments of all rows from those of their groups: what lies within groups, and between
+    their means. The laps are not read again."""
+    every = Window.partitionBy()  # a row per group
+    n = F.col("n_rows").cast("double")
+    share = n / F.sum(n).over(every)
+    means = cells.withColumns({f"_a_{k}": F.sum(F.col(f"m_{k}") * share).over(every) for k in names} | {"_share": share})
+    off = lambda k: F.col(f"m_{k}") - F.col(f"_a_{k}")
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    return means.agg(
+        F.sum("n_rows").alias("n_rows"),
+        *[F.first(f"_a_{k}").alias(f"m_{k}") for k in names],
+        *[F.sum(F.col("_share") * (F.col(f"s_{a}{b}") + off(a) * off(b))).alias(f"s_{a}{b}") for a, b in pairs],
+    ).filter("n_rows > 0")
+
+
 def polynomial_coefficients(train: DataFrame, degree: int) -> DataFrame:
-    """b0, b1 (and b2) per compound and pooled, from built-in centred moments in one pass."""
+    """b0, b1 (and b2) per compound and pooled, from centred moments in one pass over the laps;
+    the pooled ones are merged from the compounds'."""
+    if degree not in (1, 2):
+        raise ValueError("degree must be 1 or 2")
     rows = training_rows(train, [TARGET, AGE, COMPOUND])
-    x, y = F.col(AGE).cast("double"), F.col(TARGET)
-    by = rows.rollup(COMPOUND)
-    label = F.grouping(COMPOUND).cast("boolean").alias("is_pooled")
-    n = F.count("*").alias("n_rows")
+    x = F.col(AGE).cast("double")
+    inputs = {"x": x, "y": F.col(TARGET)} if degree == 1 else {"x": x, "q": x * x, "y": F.col(TARGET)}
+    cells = _moments(rows, [COMPOUND], inputs)
+    pooled = _pooled_moments(cells, list(inputs)).withColumns({COMPOUND: F.lit(None).cast("string"), "is_pooled": F.lit(True)})
+    moments = cells.withColumn("is_pooled", F.lit(False)).unionByName(pooled)
+    c = F.col
     if degree == 1:
-        fitted = by.agg(label, n, F.regr_intercept(y, x).alias("b0"), F.regr_slope(y, x).alias("b1"))
-    elif degree == 2:
-        moments = by.agg(
-            label,
-            n,
-            F.avg(x).alias("mx"), F.avg(x * x).alias("mq"), F.avg(y).alias("my"),
-            F.var_pop(x).alias("sxx"), F.var_pop(x * x).alias("sqq"), F.covar_pop(x, x * x).alias("sxq"),
-            F.covar_pop(x, y).alias("sxy"), F.covar_pop(x * x, y).alias("sqy"),
-        )
-        det = F.nullif(F.col("sxx") * F.col("sqq") - F.col("sxq") * F.col("sxq"), F.lit(0.0))
-        fitted = (
-            moments.withColumn("b1", (F.col("sxy") * F.col("sqq") - F.col("sqy") * F.col("sxq")) / det)
-            .withColumn("b2", (F.col("sqy") * F.col("sxx") - F.col("sxy") * F.col("sxq")) / det)
-            .withColumn("b0", F.col("my") - F.col("b1") * F.col("mx") - F.col("b2") * F.col("mq"))
-            .select(COMPOUND, "is_pooled", "n_rows", "b0", "b1", "b2")
-        )
+        slopes = {"b1": c("s_xy") / F.nullif(c("s_xx"), F.lit(0.0))}
     else:
-        raise ValueError("degree must be 1 or 2")
+        det = F.nullif(c("s_xx") * c("s_qq") - c("s_xq") * c("s_xq"), F.lit(0.0))
+        slopes = {"b1": (c("s_xy") * c("s_qq") - c("s_qy") * c("s_xq")) / det, "b2": (c("s_qy") * c("s_xx") - c("s_xy") * c("s_xq")) / det}
+    fitted = moments.withColumns(slopes)
+    b0 = c("m_y") - c("b1") * c("m_x") - (c("b2") * c("m_q") if degree == 2 else F.lit(0.0))
+    out = fitted.select(COMPOUND, "is_pooled", "n_rows", b0.alias("b0"), *slopes)
     # Too few rows, or an age that never varies, leave a compound without its own fit.
-    return fitted.filter((F.col("n_rows") >= degree + 1) & F.col("b1").isNotNull())
+    return out.filter((F.col("n_rows") >= degree + 1) & F.col("b1").isNotNull())
 
 
 def fit_per_group(df: DataFrame, by: list[str]) -> DataFrame:

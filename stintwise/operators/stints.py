@@ -18,17 +18,27 @@ def of_stint() -> WindowSpec:
     return Window.partitionBy(*STINT)
 
 
+def first_copies(laps: DataFrame) -> DataFrame:
+    """Of a lap listed more than once the first copy, by its end, then its time, then all else.
+    Laps are dealt by stint, so what is grouped by stint afterwards does not move them again.
+    Laps without a stint belong to none and are left out."""
+    copies = Window.partitionBy(*STINT, "lap_number").orderBy("lap_end_us", "lap_time_s", F.xxhash64(*laps.columns))
+    dealt = laps.filter(F.col("stint").isNotNull()).repartition(*STINT)
+    return dealt.withColumn("_copy", F.row_number().over(copies)).filter("_copy = 1").drop("_copy")
+
+
 def stint_table(laps: DataFrame) -> DataFrame:
     """One row per stint: length, first and last lap, whether a later stint followed, whether
-    it mixes compounds, whether any stint of the driver does.
+    it mixes compounds, whether any stint of the driver does. A lap listed twice is one lap."""
+    return _table(first_copies(laps))
+
 
-    Algebraic aggregates over numbers, combined in hash tables before they shuffle: compounds
-    are compared by hash, as strings would force a sort. Laps without a stint belong to none.
-    """
+def _table(laps: DataFrame) -> DataFrame:
+    """The stints of laps that are listed once. Compounds are compared by hash, as strings would
+    force a sort."""
     code = F.when(F.col("compound").isNotNull(), F.xxhash64("compound"))
     stints = (
-        laps.filter(F.col("stint").isNotNull())
-        .groupBy(*STINT)
+        laps.groupBy(*STINT)
         .agg(
             F.count("*").cast("int").alias("stint_laps"),
             F.min("lap_number").alias("first_lap"),
@@ -49,7 +59,7 @@ def stint_table(laps: DataFrame) -> DataFrame:
 def stint_lap_lists(laps: DataFrame) -> DataFrame:
     """Stints with their compound and their lap numbers as an ordered list."""
     return (
-        laps.filter(F.col("stint").isNotNull())
+        first_copies(laps)
         .groupBy(*STINT)
         .agg(
             F.coalesce(F.min("compound"), F.lit("UNKNOWN")).alias("compound"),
@@ -71,19 +81,13 @@ def duplicate_laps(laps: DataFrame) -> DataFrame:
 def with_stints(laps: DataFrame) -> DataFrame:
     """Laps with their stint's attributes; drivers with a mixed-compound stint are left out,
     and of a lap listed twice the first copy counts."""
-    stints = stint_table(laps).filter(~F.col("driver_has_mixed"))
-    copies = Window.partitionBy(*STINT, "lap_number").orderBy("lap_end_us", "lap_time_s")
-    return (
-        laps.join(stints.select(*STINT, "is_complete"), STINT)
-        .withColumn("_copy", F.row_number().over(copies))
-        .filter("_copy = 1")
-        .withColumns(
-            {
-                "stint_laps": F.count("*").over(of_stint()).cast("int"),
-                "stint_compound": F.coalesce(F.min("compound").over(of_stint()), F.lit("UNKNOWN")),
-            }
-        )
-        .drop("_copy")
+    once = first_copies(laps)
+    stints = _table(once).filter(~F.col("driver_has_mixed"))
+    return once.join(stints.select(*STINT, "is_complete"), STINT).withColumns(
+        {
+            "stint_laps": F.count("*").over(of_stint()).cast("int"),
+            "stint_compound": F.coalesce(F.min("compound").over(of_stint()), F.lit("UNKNOWN")),
+        }
     )
 
 

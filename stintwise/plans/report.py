@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stintwise.functions.laps import fuel_load_at_age
@@ -13,6 +13,7 @@ from stintwise.operators import life
 from stintwise.operators import linear as M
 from stintwise.operators.lookup import join_pinned, pin_small
 from stintwise.settings import DEFAULTS, Settings
+from stintwise.sources.dataset import export_lookups
 
 COMPOUNDS = ("SOFT", "MEDIUM", "HARD")  # fixed values: what a request compares by default
 LEVELS = ("pair", "circuit", "compound", "all")
@@ -131,7 +132,7 @@ def wear_curves(
     asked = forest_requests(model, known, defaults, s)
     keys = ["request_id", "tire_compound"]
     swept = life.sweep(asked, keys, life.whole_lap_ages(s), age_inputs(model, s))
-    scored = RF.predict_with_support(model, swept, [*keys, M.AGE], s)
+    scored = RF.predict_with_support(model, swept, s)
     return scored.withColumn("delta_s", F.round(M.PREDICTED, 3))
 
 
@@ -183,3 +184,26 @@ def beyond_observed(curves: DataFrame, ceilings: DataFrame, s: Settings = DEFAUL
     return join_pinned(curves, table, pinned, ["circuit"]).withColumn(
         "beyond_observed_age", F.coalesce(F.col(M.AGE) > F.col("max_age_laps"), F.lit(False))
     )
+
+
+@dataclass(frozen=True)
+class Exported:
+    """What a scoring job reads instead of the laps."""
+
+    model: RF.ForestModel
+    defaults: DataFrame
+    circuits: DataFrame
+    max_age: DataFrame
+
+
+def export_model(model: RF.ForestModel, records: DataFrame, path: str) -> None:
+    """The model with the defaults of its inputs, the circuits it has seen and their oldest
+    ages. The model's settings are written last, so a folder that loads is whole."""
+    inputs = [c for c in model.spec.continuous if c not in (M.AGE, "fuel_load_estimate_kg")]
+    export_lookups(records, default_table(records, inputs, list(model.spec.boolean)), path)
+    RF.save(model, f"{path}/model")
+
+
+def load_export(spark: SparkSession, path: str) -> Exported:
+    read = {n: spark.read.parquet(f"{path}/{n}") for n in ("defaults", "circuits", "max_age")}
+    return Exported(RF.load(spark, f"{path}/model"), **read)

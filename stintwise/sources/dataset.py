@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stintwise.functions.laps import session_key
-from stintwise.operators.lookup import settle
+from stintwise.operators.lookup import join_pinned, pin_small, settle
 from stintwise.schema import LAP_FEATURES, SESSION, to_schema
+from stintwise.settings import DEFAULTS, Settings
 
 MANIFEST = T.StructType([f for f in LAP_FEATURES.fields if f.name in SESSION])
 
@@ -30,6 +31,13 @@ def load_dataset(spark: SparkSession, path: str) -> DataFrame:
     return _read_or_empty(spark, path, LAP_FEATURES)
 
 
+def load_built(spark: SparkSession, path: str, manifest_path: str, s: Settings = DEFAULTS) -> DataFrame:
+    """The rows of sessions that the manifest names. Marking a session is what commits it: rows
+    that a build wrote before it was stopped are in neither, and the next build replaces them."""
+    keys, pinned = pin_small(load_manifest(spark, manifest_path), s)
+    return join_pinned(load_dataset(spark, path), keys, pinned, SESSION, "left_semi")
+
+
 def load_session(spark: SparkSession, path: str, season: int, round_number: int, session_name: str) -> DataFrame:
     """Rows of one session; the key prunes partitions."""
     key = {"season": season, "round_number": round_number, "session_name": session_name}
@@ -42,12 +50,12 @@ def load_session(spark: SparkSession, path: str, season: int, round_number: int,
 def write_sessions(records: DataFrame, path: str) -> None:
     """Replace the sessions present in `records`, and only those.
 
-    Rows are spread by session and driver first, so a session is written by many tasks and
-    a task opens few files.
+    Rows are gathered by session into files of about the advisory partition size: a small session
+    is one file, a large one is cut into several by as many tasks.
     """
     (
         to_schema(records)
-        .repartition(*SESSION, "driver_code")
+        .hint("rebalance", *[F.col(c) for c in SESSION])
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*SESSION)
