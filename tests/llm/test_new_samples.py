@@ -265,13 +265,11 @@ def test_audit_equals_a_plain_tree(rich, rows):
     assert Counter(map(tuple, got)) == plain_audit(rows)
 
 
-def test_three_rounds_of_blocks(rich, monkeypatch):
-    monkeypatch.setattr(merkle, "HEIGHT", 2)
-    rows = [(i, "t", "de" if i % 5 else None, "s", i) for i in range(150)]
+def test_three_rounds_of_blocks(rich):
+    rows = [(i, "t", "de" if i % 200 else None, "s", i) for i in range(66_500)]
     assert Counter(map(tuple, merkle.audit(rich(full(rows))).collect())) == plain_audit(rows)
 
 
-def test_more_trees_than_a_block(rich, monkeypatch):
-    monkeypatch.setattr(merkle, "HEIGHT", 2)
-    rows = [(i, "t", f"l{i % 23}", "s", None) for i in range(60)]
+def test_more_trees_than_a_block(rich):
+    rows = [(i, "t", f"l{i % 300}", "s", None) for i in range(700)]
     assert Counter(map(tuple, merkle.audit(rich(full(rows))).collect())) == plain_audit(rows)
