@@ -9,21 +9,23 @@ already found need no confirming: the likeliest pair of each document goes first
 are left between components.
 
 A large node that keeps half of the rows it comes from is a group of much alike sets. Its members
-are compared with PIVOTS of them, which links nearly all that are linked; those left outside are
-compared with the whole node on their full sets, in blocks.
+are compared with the likeliest of PIVOTS of them, which links nearly all that are linked; those
+left outside are compared with the whole node on their full sets, in blocks.
 
 At similarity 0.8 a tree loses a pair with probability 0.2 a level where a node branches once;
 most nodes are small after one or two levels, so TREES trees lose about 1 pair in a million. The
-sketch rules out a pair of similarity 0.8 about 15 times in 100,000, and more alike ones far less.
+sketch's bound follows from the similarity asked for: it rules out a pair of just that similarity
+about 10 times in 100,000, and in the last comparison of large nodes 1 time in 10 million.
 
 Defined results: null and empty texts have an empty set and are linked with nothing; rows without
 an id are linked with nothing, have no component and are kept; rows that repeat an id are one
-document; ties go to the smaller id; an empty table gives an empty result; other columns are
+document, which links whatever its texts are like; ties go to the smaller id; an empty table gives an empty result; other columns are
 ignored or, in `one_of_each`, kept whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -33,13 +35,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stintwise.llm.components import components
-from stintwise.llm.repeated_windows import BASE_1, BASE_2, U, hashed, mixed
+from stintwise.llm.repeated_windows import BASE_1, BASE_2, U, hashed, mixed, text_key
 from stintwise.operators.lookup import settle
 
 TREES, DEEPER = 16, 32  # minwise functions that branch roots, and those for deeper nodes
 FUNCTIONS = 128
 SMALL, LEVELS, PIVOTS, BLOCK = 40, 4, 8, 1024
-LEAST_BITS = 102  # of 128 equal bits: 115 are expected at similarity 0.8, with a deviation of 3.4
 BATCH_SHINGLES = 400_000
 
 
@@ -48,6 +49,14 @@ class SetSpec:
     words: int = 5
     percent: int = 80
 
+    def least_bits(self, deviations: float) -> int:
+        """Equal bits of 128 that a pair of just this similarity has, less so many deviations."""
+        equal = (1 + self.percent / 100) / 2
+        return math.floor(FUNCTIONS * equal - deviations * math.sqrt(FUNCTIONS * equal * (1 - equal)))
+
+
+CANDIDATES, LAST_LOOK = 4.0, 5.5  # deviations that candidate pairs, and pairs compared at last, may be short of
+
 
 def shingles(text: str | None, width: int) -> np.ndarray:
     """Distinct hashes of the word shingles; of the whole sequence if it is shorter."""
@@ -73,7 +82,7 @@ def minwise(sets: list[np.ndarray]) -> np.ndarray:
     return mixed(out)
 
 
-SETS = "doc_id long, n_shingles long, set_a long, set_b long, bits_a long, bits_b long, roots array<int>, deeper array<int>"
+SETS = "doc_id long, tk long, n_shingles long, set_a long, set_b long, bits_a long, bits_b long, roots array<int>, deeper array<int>"
 
 
 def sets(docs: DataFrame, spec: SetSpec) -> DataFrame:
@@ -81,12 +90,11 @@ def sets(docs: DataFrame, spec: SetSpec) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            ids = pdf["doc_id"].tolist()
-            todo, size = [], 0
+            size = 0
             found = []
-            for doc_id, text in zip(ids, pdf["text"]):
+            for doc_id, tk, text in zip(pdf["doc_id"].tolist(), pdf["tk"].tolist(), pdf["text"]):
                 s = shingles(text, spec.words)
-                found.append((doc_id, s))
+                found.append((doc_id, tk, s))
                 size += len(s)
                 if size > BATCH_SHINGLES:
                     yield rows(found)
@@ -95,10 +103,11 @@ def sets(docs: DataFrame, spec: SetSpec) -> DataFrame:
                 yield rows(found)
 
     def rows(found):
-        full = [s for _, s in found if len(s)]
+        full = [s for *_, s in found if len(s)]
         out = {c.split()[0]: [None] * len(found) for c in SETS.split(", ")}
-        out["doc_id"] = [d for d, _ in found]
-        out["n_shingles"] = [len(s) for _, s in found]
+        out["doc_id"] = [d for d, *_ in found]
+        out["tk"] = [tk for _, tk, _ in found]
+        out["n_shingles"] = [len(s) for *_, s in found]
         if full:
             m = minwise(full)
             weights = U(1) << np.arange(64, dtype=U)
@@ -106,7 +115,7 @@ def sets(docs: DataFrame, spec: SetSpec) -> DataFrame:
             a, b = ((bits[:, k : k + 64] * weights).sum(1, dtype=U).view(np.int64) for k in (0, 64))
             tokens = (m >> U(32)).astype(np.uint32).view(np.int32)
             at = 0
-            for i, (_, s) in enumerate(found):
+            for i, (*_, s) in enumerate(found):
                 if len(s):
                     out["set_a"][i] = int(mixed(s).sum(dtype=U).astype(np.int64))
                     out["set_b"][i] = int(mixed(s ^ U(BASE_2)).sum(dtype=U).astype(np.int64))
@@ -116,7 +125,7 @@ def sets(docs: DataFrame, spec: SetSpec) -> DataFrame:
                     at += 1
         return pd.DataFrame(out).astype({c: "Int64" for c in ("doc_id", "set_a", "set_b", "bits_a", "bits_b")})
 
-    rows_of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows_of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("tk"), "text")
     return rows_of.mapInPandas(run, SETS)
 
 
@@ -125,10 +134,10 @@ def likeness(x: Column, y: Column) -> Column:
     return F.lit(128) - F.bit_count(x["bits_a"].bitwiseXOR(y["bits_a"])) - F.bit_count(x["bits_b"].bitwiseXOR(y["bits_b"]))
 
 
-def may_link(x: Column, y: Column, percent: int) -> Column:
+def may_link(x: Column, y: Column, spec: SetSpec) -> Column:
     """Neither the sizes nor the sketches rule the pair out."""
-    sizes = F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent
-    return sizes & (likeness(x, y) >= LEAST_BITS)
+    sizes = F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * spec.percent
+    return sizes & (likeness(x, y) >= spec.least_bits(CANDIDATES))
 
 
 PAIR = ["a", "b", "like"]
@@ -138,12 +147,12 @@ def pair_columns(x: Column, y: Column) -> list[Column]:
     return [F.least(x["rep"], y["rep"]).alias("a"), F.greatest(x["rep"], y["rep"]).alias("b"), likeness(x, y).alias("like")]
 
 
-def leaf_pairs(small: DataFrame, percent: int) -> DataFrame:
+def leaf_pairs(small: DataFrame, spec: SetSpec) -> DataFrame:
     """All pairs of small nodes that nothing rules out. A node holds SMALL rows at most."""
     nodes = small.groupBy("node").agg(F.sort_array(F.collect_list("doc")).alias("docs"))
     left = nodes.select("docs", F.posexplode("docs").alias("at", "x"))
     later = F.slice("docs", F.col("at") + 2, SMALL)
-    plausible = F.filter(later, lambda y: may_link(F.col("x"), y, percent))
+    plausible = F.filter(later, lambda y: may_link(F.col("x"), y, spec))
     return left.select("x", F.explode(plausible).alias("y")).select(*pair_columns(F.col("x"), F.col("y")))
 
 
@@ -157,7 +166,7 @@ def tree_pairs(classes: DataFrame, spec: SetSpec) -> tuple[DataFrame, DataFrame
         level = level.join(sizes, "node")
         if depth:
             level = settle(level)
-        found.append(leaf_pairs(level.filter(F.col("size") <= SMALL), spec.percent))
+        found.append(leaf_pairs(level.filter(F.col("size") <= SMALL), spec))
         large = level.filter(F.col("size") > SMALL)
         if depth == 0:
             large = settle(large)
@@ -201,9 +210,13 @@ def pivots_of(large: DataFrame) -> DataFrame:
     return large.join(middle, "node").groupBy("node", "size").agg(*picks, F.max_by("doc", rank).alias("best"))
 
 
-def pivot_pairs(large: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
-    spread = pivots.select("node", F.explode(F.array_compact(F.array_distinct(F.array(*[f"p{j}" for j in range(PIVOTS)])))).alias("x"))
-    both = large.join(settle(spread), "node").filter((F.col("x.rep") != F.col("doc.rep")) & may_link(F.col("x"), F.col("doc"), percent))
+def pivot_pairs(large: DataFrame, pivots: DataFrame, spec: SetSpec) -> DataFrame:
+    """Each member with the pivot of its node that it is most like. A node's pivots are one array,
+    so a member stays one row however many there are."""
+    every = pivots.select("node", F.array_compact(F.array(*[f"p{j}" for j in range(PIVOTS)])).alias("pivots"))
+    near = F.filter("pivots", lambda p: (p["rep"] != F.col("doc.rep")) & may_link(p, F.col("doc"), spec))
+    best = F.array_max(F.transform(near, lambda p: F.struct(likeness(p, F.col("doc")).alias("like"), p.alias("p"))))
+    both = large.join(settle(every), "node").select("doc", best["p"].alias("x")).filter("x is not null")
     return both.select(*pair_columns(F.col("x"), F.col("doc")))
 
 
@@ -247,7 +260,7 @@ def outside_links(large: DataFrame, pivots: DataFrame, labels: DataFrame, texts:
         others = [unpacked(raw) for raw in y["shingles"]]
         for r in x.itertuples(index=False):
             like = 128 - np.bitwise_count(ya ^ r.bits_a).astype(int) - np.bitwise_count(yb ^ r.bits_b).astype(int)
-            ok = (like >= LEAST_BITS) & (np.minimum(yn, r.n) * 100 >= np.maximum(yn, r.n) * spec.percent) & (yc != r.component)
+            ok = (like >= least) & (np.minimum(yn, r.n) * 100 >= np.maximum(yn, r.n) * spec.percent) & (yc != r.component)
             own = unpacked(r.shingles)
             for at in np.nonzero(ok)[0]:
                 key = (r.component, yc[at])
@@ -257,6 +270,7 @@ def outside_links(large: DataFrame, pivots: DataFrame, labels: DataFrame, texts:
                         result[key] = (r.rep, yrep[at], *key)
         return pd.DataFrame(list(result.values()), columns=["a", "b", "ca", "cb"]).astype("int64")
 
+    least = spec.least_bits(LAST_LOOK)
     key = ["node", "i", "j"]
     right = right.toDF(*right.columns)
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(run, "a long, b long, ca long, cb long")
@@ -315,38 +329,61 @@ def connected(pairs: DataFrame, texts: DataFrame, spec: SetSpec) -> DataFrame:
     return merged(labels, pairs, texts, spec)
 
 
-def similar_classes(docs: DataFrame, spec: SetSpec) -> tuple[DataFrame, DataFrame]:
-    """(rows, labels): (doc_id, n_shingles, rep) of all rows, and (node, component) of the linked
-    representatives. `rep` is the smallest id with the same set, null for empty sets."""
+def texts_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, text): a text of each wanted class, under the class's number."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_key(F.col("text")).alias("tk"), "text")
+    named = classes.join(wanted, "rep", "left_semi").select(F.col("rep").alias("doc_id"), F.col("first").alias("id"), "tk")
+    return rows.join(named.hint("merge"), ["id", "tk"]).select("doc_id", "text")
+
+
+def similar_classes(docs: DataFrame, spec: SetSpec) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, classes, labels): (doc_id, n_shingles, rep, first) of all rows, (rep, first) of the
+    classes of equal sets, and (node, component) of the linked ones. `rep` numbers the classes,
+    `first` is the smallest id of one; both are null for empty sets and rows without an id."""
     every = settle(sets(docs, spec))
     key = ["set_a", "set_b"]
     usable = every.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    first = usable.groupBy(*key).agg(F.min("doc_id").alias("rep"))
+    least = usable.groupBy(*key).agg(F.min(F.struct("doc_id", "tk")).alias("least"))
+    mine = (F.col("doc_id") == F.col("least.doc_id")) & (F.col("tk") == F.col("least.tk"))
+    one = usable.join(least, [*key]).filter(mine).dropDuplicates(key)
     classes = settle(
-        usable.join(first, [*key]).filter("doc_id = rep").dropDuplicates(["rep"]).select("rep", F.col("n_shingles").alias("n"), "bits_a", "bits_b", "roots", "deeper")
+        one.select(F.monotonically_increasing_id().alias("rep"), F.col("doc_id").alias("first"), "tk", *key, F.col("n_shingles").alias("n"), "bits_a", "bits_b", "roots", "deeper")
     )
     found, large = tree_pairs(classes, spec)
     pairs = [found]
     if large is not None:
         pivots = settle(pivots_of(large))
-        pairs.append(pivot_pairs(large, pivots, spec.percent))
+        pairs.append(pivot_pairs(large, pivots, spec))
     candidates = settle(union(pairs).distinct())
-    rows = every.join(first, key, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
-    ends = candidates.select(F.col("a").alias("doc_id")).unionByName(candidates.select(F.col("b").alias("doc_id"))).distinct()
+    numbers = classes.select(*key, "rep", "first")
+    with_id = every.join(numbers, key, "left").select("doc_id", "n_shingles", *[F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in ("rep", "first")])
+    ends = candidates.select(F.col("a").alias("rep")).unionByName(candidates.select(F.col("b").alias("rep")))
     if large is not None:
-        ends = ends.unionByName(large.select(F.col("doc.rep").alias("doc_id"))).distinct()
-    texts = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ends.hint("merge"), "doc_id", "left_semi"))
+        ends = ends.unionByName(large.select(F.col("doc.rep").alias("rep")))
+    texts = settle(texts_of(docs, classes, ends.distinct()).dropDuplicates(["doc_id"]))
     labels = connected(candidates, texts, spec)
     if large is not None:
         labels = renamed(labels, outside_links(large, pivots, labels, texts, spec))
-    return rows, labels
+    return with_id, classes.select("rep", "first"), joined_by_id(with_id, labels)
+
+
+def joined_by_id(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The labels once the classes of rows that repeat an id, which are one document, are one."""
+    spread = rows.filter("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").drop("z")
+    spread = settle(spread)
+    if spread.isEmpty():
+        return labels
+    links = rows.join(spread, "doc_id").filter("rep > a").select("a", F.col("rep").alias("b")).distinct()
+    return renamed(labels, between(links, labels))
 
 
 def group_documents(docs: DataFrame, spec: SetSpec = SetSpec()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
-    rows, labels = similar_classes(docs, spec)
-    joined = rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id")
+    rows, classes, labels = similar_classes(docs, spec)
+    named = labels.join(classes, labels["node"] == classes["rep"]).select("rep", "component", "first")
+    least = named.groupBy("component").agg(F.min("first").alias("least"))
+    joined = rows.join(named.join(least, "component").select("rep", "least"), "rep", "left")
+    component = F.coalesce("least", "first", "doc_id")
     return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
