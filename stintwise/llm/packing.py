@@ -69,7 +69,19 @@ def tighter_pair(counts: np.ndarray, fits: np.ndarray, gap: int, more_than: int)
 
 
 def plan(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
-    """(lengths of a sequence, how many such sequences). counts[n]: pieces of length n."""
+    """(lengths of a sequence, how many such sequences). counts[n]: pieces of length n.
+
+    Two for one fills a sequence better but spends short pieces that could fill later gaps, so it
+    is kept only where the whole plan needs no more sequences by it."""
+    exchanged = filled(counts, capacity, exchange=True)
+    size = lambda bins: sum(times for _, times in bins)
+    least = -(-int((counts * np.arange(capacity + 1)).sum()) // capacity)
+    if size(exchanged) <= least:
+        return exchanged
+    return min(exchanged, filled(counts, capacity, exchange=False), key=size)
+
+
+def filled(counts: np.ndarray, capacity: int, exchange: bool) -> list[tuple[list[int], int]]:
     counts = counts.astype(np.int64).copy()
     lengths = np.arange(capacity + 1)
     out = []
@@ -84,7 +96,7 @@ def plan(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
             left = left.copy() if left is counts else left
             left[n] -= take
             fits = longest_fit(lengths, left) if left[n] == 0 else fits
-        if gap and len(bin_) > 1:
+        if exchange and gap and len(bin_) > 1:
             smallest = bin_[-1]
             pair = tighter_pair(left, longest_fit(lengths, left), gap + smallest, smallest)
             if pair:
