@@ -50,9 +50,11 @@ class PieceEncoder:
     def fill_words(self, words: list[str]) -> None:
         """Words of letters alone are one pre-token each, so Latin ones go to the model itself,
         written in its byte signs; the steps before it would cost as much again."""
-        rest, young, code, tokenize = [], self.young, self.code, self.model.tokenize
+        rest, young, code, tokenize, lead = [], self.young, self.code, self.model.tokenize, chr(BYTE_SIGNS[32])
         for w in words:
-            if max(w) < "\u0250" and "\u0130" not in w:
+            if w.isascii():  # its letters are their own byte signs
+                young[w] = array(code, [t.id for t in tokenize(lead + w if self.space_joins else w.lower())]).tobytes()
+            elif max(w) < "\u0250" and "\u0130" not in w:
                 form = " " + w if self.space_joins else w.lower()
                 signs = form.encode().decode("latin-1").translate(BYTE_SIGNS)
                 young[w] = array(code, [t.id for t in tokenize(signs)]).tobytes()
@@ -63,9 +65,14 @@ class PieceEncoder:
     def parted(self, piece: str) -> list[tuple[bool, str]]:
         """(behind a space, text) of what a piece consists of: lines, and the signs behind a
         line's last letter, begin pre-tokens of their own."""
+        if "\n" not in piece:
+            core = piece.rstrip(SIGNS)
+            if not core or len(core) == len(piece) or not core[-1].lower().isalpha():
+                return [(False, piece)]
+            return [(False, core), (True, piece[len(core) :])]
         out = []
         bare = False
-        for line in piece.split("\n") if "\n" in piece and not LOOSE_LINE.search(piece) else [piece]:
+        for line in piece.split("\n") if not LOOSE_LINE.search(piece) else [piece]:
             core = line.rstrip(SIGNS)
             if not core or len(core) == len(line) or not core[-1].lower().isalpha():
                 core = line
