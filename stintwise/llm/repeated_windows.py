@@ -12,7 +12,9 @@ windows have equal minimisers, so:
    minimiser's bucket, where its windows are sorted, and each is given the smallest owner;
 5. a minimiser with very many different strings would crowd its bucket: its windows are grouped
    one by one by their hash instead, which combines before the shuffle;
-6. what was found is joined back by digest, and each document drops the words so covered.
+6. the shared super-k-mers of a document that follow each other form runs; each different run is
+   answered once, however many documents hold it, and each document takes its runs' answers and
+   drops the words so covered. Copies of a whole text have the same runs.
 
 Defined results: null and empty texts have no words; documents below SPAN words lose none; rows
 without an id neither lose words nor take them from others; rows that repeat an id are one
@@ -28,7 +30,7 @@ import re
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stintwise.llm.text import byte_words
@@ -39,6 +41,7 @@ GROUPS = SPAN - SHORT + 1  # word groups in a window, and windows in a super-k-m
 BATCH_WORDS = 300_000
 MANY = 5_000  # strings of a minimiser from which its windows are grouped one by one: 5,000 x 39 windows take 40 MB
 BUCKET_STRINGS = 4_000
+RUN_CUT = 16
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 U = np.uint64
@@ -229,7 +232,8 @@ def removals(docs: DataFrame) -> DataFrame:
     found = settle(pieces(docs))
     # Written, so that the join below deals both sides anew and can split a frequent minimiser.
     common = settle(found.groupBy("minimiser").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("minimiser"))
-    shared = settle(found.join(common, "minimiser", "left_semi"))
+    # A row that stands many times under one id counts once from here on.
+    shared = settle(found.join(common, "minimiser", "left_semi").distinct())
     owned = shared.groupBy("minimiser", "digest").agg(F.min(F.struct("doc", "tk", "at")).alias("first"), F.max("doc").alias("last"))
     owned = settle(owned.select("minimiser", "digest", F.col("first.doc").alias("owner"), F.col("first.tk").alias("tk"), F.col("first.at").alias("at"), "last"))
     different = owned.groupBy("minimiser").agg(F.count("*").alias("n"), F.min("owner").alias("lo"), F.max("owner").alias("hi")).filter("n > 1 and lo < hi")
@@ -246,9 +250,38 @@ def removals(docs: DataFrame) -> DataFrame:
     )
     verdict = owned.join(masks, ["minimiser", "digest"], "left").select("minimiser", "digest", "owner", "last", F.coalesce("mask", F.lit(0)).alias("mask")).filter("mask <> 0 or last > owner")
     verdict = settle(verdict)  # so that the join below deals both sides anew and can split a frequent string
-    every = F.expr("shiftleft(1L, cast(at % 64 as int)) - 1")
-    gone = shared.join(verdict, ["minimiser", "digest"]).select("doc", "tk", F.floor(F.col("at") / 64).alias("start"), F.when(F.col("doc") > F.col("owner"), every).otherwise(F.col("mask")).alias("mask"))
-    return gone.filter("mask <> 0").groupBy(F.col("doc").alias("doc_id"), "tk").agg(F.collect_set(F.struct("start", "mask")).alias("cuts"))
+    return cuts_of(runs(shared), verdict)
+
+
+def runs(shared: DataFrame) -> DataFrame:
+    """(doc, tk, start, run, content): the shared super-k-mers of each row in runs without a gap.
+    A run also ends after a digest divisible by RUN_CUT, wherever the passage stands, so texts that
+    differ in places still have most runs in common. `content` counts places from the run's start."""
+    order = Window.partitionBy("doc", "tk").orderBy("at")
+    reached = F.max(F.expr("at div 64 + at % 64")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    ends = F.lag(F.col("digest") % RUN_CUT == 0).over(order)
+    fresh = (F.expr("at div 64") > reached) | ends
+    marked = shared.withColumn("fresh", F.coalesce(fresh, F.lit(True)).cast("int")).withColumn("nr", F.sum("fresh").over(order))
+    one = marked.groupBy("doc", "tk", "nr").agg(F.sort_array(F.collect_list(F.struct("at", "minimiser", "digest"))).alias("p"))
+    start = F.expr("p[0].at div 64")
+    placed = one.select("doc", "tk", start.alias("start"), F.transform("p", lambda x: F.struct((x["at"] - start * 64).alias("at"), x["minimiser"].alias("minimiser"), x["digest"].alias("digest"))).alias("content"))
+    name = F.concat_ws(",", F.transform("content", lambda x: F.concat_ws(":", x["minimiser"].cast("string"), x["digest"].cast("string"))))
+    return settle(placed.withColumn("run", F.md5(name.cast("binary"))))
+
+
+def cuts_of(placed: DataFrame, verdict: DataFrame) -> DataFrame:
+    """The verdicts on the rows' runs. Each different run looks its super-k-mers up once, and a row
+    takes the answer whole: one row per place of a run, not per super-k-mer of every copy."""
+    kinds = placed.groupBy("run").agg(F.first("content").alias("content")).select("run", F.explode("content").alias("p")).select("run", "p.*")
+    hits = kinds.join(verdict, ["minimiser", "digest"]).groupBy("run").agg(F.collect_list(F.struct("at", "owner", "mask")).alias("hits"))
+    hits = settle(hits)  # so that the join below deals both sides anew and can split a frequent run
+    judged = placed.select("doc", "tk", "start", "run").join(hits, "run").selectExpr(
+        "doc",
+        "tk",
+        "filter(transform(hits, h -> struct(start + h.at div 64 as start,"
+        " if(doc > h.owner, shiftleft(1L, cast(h.at % 64 as int)) - 1, h.mask) as mask)), c -> c.mask <> 0) as cuts",
+    )
+    return judged.filter(F.size("cuts") > 0).groupBy(F.col("doc").alias("doc_id"), "tk").agg(F.flatten(F.collect_list("cuts")).alias("cuts"))
 
 
 def covered(n_words: int, cuts) -> np.ndarray:

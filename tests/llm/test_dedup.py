@@ -75,6 +75,26 @@ def test_strip_cuts_passages_and_nothing_else(docs_of, edge_docs, no_docs):
     assert repeated_windows.digests(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("cut", [1, 3, 10**6])
+def test_runs_do_not_change_the_result(docs_of, monkeypatch, cut):
+    monkeypatch.setattr(repeated_windows, "RUN_CUT", cut)  # 1: each super-k-mer is a run; 10**6: only gaps end one
+    texts = dict(passages(3))
+    rows = [(i, t) for i, t in texts.items()]
+    rows += [(200 + c, texts[0] + " " + texts[4]) for c in range(30)]  # many copies of one text
+    rows += [(300, texts[4]), (300, texts[4]), (300, texts[8]), (None, texts[4])]  # an id that repeats, and none
+    got = sorted((tuple(r) for r in repeated_windows.digests(docs_of(rows)).collect()), key=str)
+    assert got == brute_removal(rows)
+
+
+def test_copies_share_their_runs(docs_of):
+    text = " ".join(f"x{i * i % 977}" for i in range(600))
+    docs = docs_of([(i, text) for i in range(40)])
+    found = repeated_windows.pieces(docs).distinct()
+    placed = repeated_windows.runs(found)
+    assert placed.count() == 40 * placed.select("run").distinct().count() < found.count() / 4
+    assert placed.selectExpr("sum(size(content))").first()[0] == found.count()
+
+
 def shingle_set(text, n):
     w = [x for x in re.sub("[A-Z]", lambda m: m[0].lower(), text or "").split()]
     return frozenset(tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))) if w else frozenset()
