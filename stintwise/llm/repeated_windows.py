@@ -232,8 +232,7 @@ def removals(docs: DataFrame) -> DataFrame:
     found = settle(pieces(docs))
     # Written, so that the join below deals both sides anew and can split a frequent minimiser.
     common = settle(found.groupBy("minimiser").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("minimiser"))
-    # A row that stands many times under one id counts once from here on.
-    shared = settle(found.join(common, "minimiser", "left_semi").distinct())
+    shared = settle(found.join(common, "minimiser", "left_semi"))
     owned = shared.groupBy("minimiser", "digest").agg(F.min(F.struct("doc", "tk", "at")).alias("first"), F.max("doc").alias("last"))
     owned = settle(owned.select("minimiser", "digest", F.col("first.doc").alias("owner"), F.col("first.tk").alias("tk"), F.col("first.at").alias("at"), "last"))
     different = owned.groupBy("minimiser").agg(F.count("*").alias("n"), F.min("owner").alias("lo"), F.max("owner").alias("hi")).filter("n > 1 and lo < hi")
@@ -257,6 +256,7 @@ def runs(shared: DataFrame) -> DataFrame:
     """(doc, tk, start, run, content): the shared super-k-mers of each row in runs without a gap.
     A run also ends after a digest divisible by RUN_CUT, wherever the passage stands, so texts that
     differ in places still have most runs in common. `content` counts places from the run's start."""
+    shared = shared.dropDuplicates(["doc", "tk", "at"])  # a row that stands many times under one id counts once
     order = Window.partitionBy("doc", "tk").orderBy("at")
     reached = F.max(F.expr("at div 64 + at % 64")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     ends = F.lag(F.col("digest") % RUN_CUT == 0).over(order)
