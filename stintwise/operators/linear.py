@@ -180,11 +180,12 @@ def standardised(c: str, stats: dict) -> Column:
     return (F.col(c) - F.lit(stats[c]["mean"])) / F.lit(stats[c]["std"])
 
 
-def gram(rows: DataFrame, design: dict[str, Column], s: Settings = DEFAULTS) -> DataFrame:
+def gram(rows: DataFrame, design: dict[str, Column], s: Settings = DEFAULTS, ranged: tuple[str, ...] = ()) -> DataFrame:
     """Sums of products of the design columns and the target, per compound and pooled.
 
     Summed by (compound, circuit) first, which also counts circuits without a distinct
-    aggregate over the rows. Columns: n_rows, n_circuits, g_i_j (i <= j), h_i.
+    aggregate over the rows. Columns: n_rows, n_circuits, g_i_j (i <= j), h_i, and lo_c and hi_c
+    of each column of `ranged`.
     """
     x = list(design.values())
     k = len(x)
@@ -193,6 +194,7 @@ def gram(rows: DataFrame, design: dict[str, Column], s: Settings = DEFAULTS) ->
         F.count("*").alias("n"),
         *[F.sum(x[i] * x[j]).alias(f"g_{i}_{j}") for i in range(k) for j in range(i, k)],
         *[F.sum(x[i] * y).alias(f"h_{i}") for i in range(k)],
+        *[f(F.col(c).cast("double")).alias(f"{n}_{c}") for c in ranged for n, f in (("lo", F.min), ("hi", F.max))],
     )
     sums = [c for c in cells.columns if c[:2] in ("g_", "h_")]
     return cells.rollup(COMPOUND).agg(
@@ -200,11 +202,54 @@ def gram(rows: DataFrame, design: dict[str, Column], s: Settings = DEFAULTS) ->
         F.sum("n").cast("long").alias("n_rows"),
         F.count_distinct(CIRCUIT).alias("n_circuits"),
         *[F.sum(c).alias(c) for c in sums],
+        *[f(f"{n}_{c}").alias(f"{n}_{c}") for c in ranged for n, f in (("lo", F.min), ("hi", F.max))],
     )
 
 
-def solve(grams: DataFrame, names: tuple[str, ...], alphas: tuple[float, ...] = (0.0,)) -> DataFrame:
-    """Coefficients of each Gram row at each penalty; the first column is never penalised.
+# Sums are taken about these places, near the middle of what occurs, so that moving them to the
+# means, which are known only afterwards, loses few digits. Results do not depend on them.
+ORIGIN = {AGE: 0.0, "avg_corner_speed_kph": 150.0, "track_temp_c": 35.0}
+
+
+def plain_gram(rows: DataFrame, features: tuple[str, ...], s: Settings = DEFAULTS) -> DataFrame:
+    """The Gram sums of 1, age, age x feature and feature before anything is standardised: one pass,
+    from which both the statistics and every standardised Gram follow."""
+    age = F.col(AGE).cast("double") - ORIGIN[AGE]
+    f = [F.col(c).cast("double") - ORIGIN.get(c, 0.0) for c in features]
+    columns = [F.lit(1.0), age, *[age * x for x in f], *f]
+    return gram(rows, {str(i): c for i, c in enumerate(columns)}, s, (AGE, *features))
+
+
+def plain_stats(pooled, features: tuple[str, ...], s: Settings = DEFAULTS) -> dict[str, dict[str, float]]:
+    """The values of `feature_stats` for age and the features, from the pooled row of `plain_gram`."""
+    out = {}
+    for c, i in zip((AGE, *features), (1, *range(2 + len(features), 2 + 2 * len(features)))):
+        n, total, lo, hi = pooled["n_rows"], pooled[f"g_0_{i}"], pooled[f"lo_{c}"], pooled[f"hi_{c}"]
+        varies = n > 1 and lo < hi
+        std = np.sqrt(max(0.0, pooled[f"g_{i}_{i}"] - total * total / n) / (n - 1)) if varies else 0.0
+        out[c] = {"mean": ORIGIN.get(c, 0.0) + total / n, "std": float(std) if std > s.min_std else 1.0, "lo": lo, "hi": hi}
+    return out
+
+
+def standardising(stats: dict, features: tuple[str, ...], scaled_age: bool) -> np.ndarray:
+    """The matrix that turns the columns of `plain_gram` into 1, age, age x z(feature), z(feature)."""
+    k = len(features)
+    t = np.zeros((2 + 2 * k, 2 + 2 * k))
+    m, w = (stats[AGE]["mean"], stats[AGE]["std"]) if scaled_age else (0.0, 1.0)
+    m -= ORIGIN[AGE]
+    t[0, 0] = 1.0
+    t[1, :2] = -m / w, 1.0 / w
+    for i, f in enumerate(features):
+        c, v = stats[f]["mean"] - ORIGIN.get(f, 0.0), stats[f]["std"]
+        product, single = 2 + i, 2 + k + i
+        t[single, [0, single]] = -c / v, 1.0 / v
+        t[product, [0, 1, product, single]] = m * c / (w * v), -c / (w * v), 1.0 / (w * v), -m / (w * v)
+    return t
+
+
+def solve(grams: DataFrame, names: tuple[str, ...], alphas: tuple[float, ...] = (0.0,), change: np.ndarray | None = None) -> DataFrame:
+    """Coefficients of each Gram row at each penalty; the first column is never penalised. With
+    `change` the columns are turned by that matrix first.
 
     The systems are as wide as the design. A singular one takes its minimum-norm solution.
     """
@@ -219,6 +264,8 @@ def solve(grams: DataFrame, names: tuple[str, ...], alphas: tuple[float, ...] =
                     for j in range(i, k):
                         g[i, j] = g[j, i] = getattr(row, f"g_{i}_{j}")
                 h = np.array([getattr(row, f"h_{i}") for i in range(k)])
+                if change is not None:
+                    g, h = change @ g @ change.T, change @ h
                 for alpha in alphas:
                     ridge = np.diag([0.0] + [alpha] * (k - 1))
                     beta = np.linalg.pinv(g + ridge, rcond=1e-12, hermitian=True) @ h
@@ -270,22 +317,22 @@ def circuit_gram(train: DataFrame, stats: dict, scaled_age: bool, s: Settings =
 def fit_circuit_models(
     train: DataFrame, alphas: tuple[float, ...] | None = None, s: Settings = DEFAULTS
 ) -> list[CircuitModel]:
-    """One model per penalty, all from the same Gram sums; without penalties, plain least
-    squares on unscaled age. A compound on too few rows or circuits takes the pooled fit."""
+    """One model per penalty, all from the same Gram sums, in one pass over the rows; without
+    penalties, plain least squares on unscaled age. A compound on too few rows or circuits takes
+    the pooled fit."""
     if alphas is not None and any(a < 0 for a in alphas):
         raise ValueError("a penalty must not be negative")
     scaled = alphas is not None
-    rows = circuit_training(train)
-    columns = (AGE, *CIRCUIT_FEATURES) if scaled else CIRCUIT_FEATURES
-    stats = feature_stats(rows, columns, s)
-    if stats[CIRCUIT_FEATURES[0]]["mean"] is None:
+    grams, _ = pin_small(plain_gram(circuit_training(train), CIRCUIT_FEATURES, s), s)
+    pooled = grams.filter("is_pooled").first()
+    if pooled is None or not pooled.n_rows:
         raise ValueError("no usable training rows")
-    solved = solve(gram(rows, circuit_design(stats, scaled), s), NAMES, alphas if scaled else (0.0,))
-    table, _ = pin_small(solved, s)
-    pooled = table.filter("is_pooled").first()
     if pooled.n_circuits < s.min_circuits_own_fit:
         raise ValueError(f"{pooled.n_circuits} circuits in training, need {s.min_circuits_own_fit}")
-    kept = table.filter(F.col("is_pooled") | has_enough(s))
+    stats = plain_stats(pooled, CIRCUIT_FEATURES, s)
+    change = standardising(stats, CIRCUIT_FEATURES, scaled)
+    solved = solve(grams.filter(F.col("is_pooled") | has_enough(s)), NAMES, alphas if scaled else (0.0,), change)
+    kept, _ = pin_small(solved, s)
     return [
         CircuitModel(_collect_fit(kept.filter(F.col("alpha") == a), NAMES, s, stats), scaled, a)
         for a in (alphas if scaled else (0.0,))
@@ -376,17 +423,18 @@ def fit_single_feature(train: DataFrame, feature: str, s: Settings = DEFAULTS) -
 
     Fitted on unscaled age and converted: the two designs span the same space.
     """
-    rows = circuit_training(train)
-    stats = feature_stats(rows, (feature,), s)
-    age, f = F.col(AGE).cast("double"), standardised(feature, stats)
-    design = {"intercept": F.lit(1.0), "age": age, "age_x_f": age * f, "f": f}
-    grams, _ = pin_small(gram(rows, design, s).filter(~F.col("is_pooled") & has_enough(s)), s)
+    table, _ = pin_small(plain_gram(circuit_training(train), (feature,), s), s)
+    pooled = table.filter("is_pooled").first()
+    if pooled is None or not pooled.n_rows:
+        raise ValueError("no usable training rows")
+    stats = plain_stats(pooled, (feature,), s)
+    grams = table.filter(~F.col("is_pooled") & has_enough(s))
     scale = grams.select(
         COMPOUND,
         (F.col("g_0_1") / F.col("n_rows")).alias("age_mean"),
         F.sqrt(F.greatest(F.col("g_1_1") / F.col("n_rows") - F.pow(F.col("g_0_1") / F.col("n_rows"), 2), F.lit(0.0))).alias("age_scale"),
     )
-    raw = solve(grams, ("r0", "r1", "r2", "r3")).join(F.broadcast(scale), COMPOUND)
+    raw = solve(grams, ("r0", "r1", "r2", "r3"), change=standardising(stats, (feature,), False)).join(F.broadcast(scale), COMPOUND)
     m, w = F.col("age_mean"), F.col("age_scale")
     return raw.select(
         COMPOUND,

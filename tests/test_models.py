@@ -248,3 +248,47 @@ def test_importances_sum_to_one_by_source_feature(spark):
     rows = RF.importances(RF.fit_forest(forest_rows(spark), SPEC)).collect()
     assert {r.feature for r in rows} == set(SPEC.features) and sum(r.importance for r in rows) == pytest.approx(1.0)
     assert rows[0].importance == max(r.importance for r in rows)
+
+
+def test_statistics_and_designs_follow_from_plain_sums(spark):
+    df = circuits(spark)
+    rows = M.circuit_training(df)
+    pooled = M.plain_gram(rows, M.CIRCUIT_FEATURES).filter("is_pooled").first()
+    got, want = M.plain_stats(pooled, M.CIRCUIT_FEATURES), M.feature_stats(rows, (M.AGE, *M.CIRCUIT_FEATURES))
+    for c in want:
+        assert [got[c][k] for k in ("mean", "std", "lo", "hi")] == pytest.approx([want[c][k] for k in ("mean", "std", "lo", "hi")], rel=1e-10)
+    for scaled in (False, True):
+        direct = M.gram(rows, M.circuit_design(want, scaled)).filter("is_pooled").first()
+        plain = np.array([[pooled[f"g_{min(i, j)}_{max(i, j)}"] for j in range(6)] for i in range(6)])
+        t = M.standardising(want, M.CIRCUIT_FEATURES, scaled)
+        turned = t @ plain @ t.T
+        assert turned == pytest.approx(np.array([[direct[f"g_{min(i, j)}_{max(i, j)}"] for j in range(6)] for i in range(6)]), rel=1e-9, abs=1e-6)
+
+
+def test_a_feature_that_never_varies_and_one_row(spark):
+    df = circuits(spark).withColumn("track_temp_c", F.lit(31.7))
+    model = M.fit_circuit_aware(df)
+    assert model.stats["track_temp_c"] == {"mean": pytest.approx(31.7), "std": 1.0, "lo": 31.7, "hi": 31.7}
+    pdf = df.toPandas()
+    g = pdf[pdf.tire_compound == "SOFT"]
+    want = design(g, model.stats, False) @ np.linalg.lstsq(design(g, model.stats, False), g.lap_time_delta_s, rcond=1e-9)[0]
+    scored = M.predict_circuit(model, df.filter("tire_compound = 'SOFT'")).agg(F.sum("predicted")).first()[0]
+    assert scored == pytest.approx(float(want.sum()), rel=1e-8)
+    pooled = M.plain_gram(M.circuit_training(df.limit(1)), ("track_temp_c",)).filter("is_pooled").first()
+    assert M.plain_stats(pooled, ("track_temp_c",))["track_temp_c"]["std"] == 1.0
+    with pytest.raises(ValueError):
+        M.fit_circuit_aware(df.filter("false"))
+
+
+def test_a_fit_reads_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def watch(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    df = circuits(spark)
+    n = df.count()
+    M.fit_circuit_models(df.mapInPandas(watch, df.schema), (0.0, 1.0, 10.0))
+    assert seen.value == n
