@@ -6,19 +6,27 @@ text that switches language: stretches of labelled documents, dealt in turn. The
 sums over all labellings give each word's probabilities, and a document is in the language that
 most of its words with a letter are expected to be in.
 
-The field is fitted on a bounded sample (`per_language` documents of each language that is not
-held out); every word of every document is labelled. The chain of a batch is worked through in
-many stretches side by side, whose transfer matrices are joined afterwards, so a very long
-document costs no more than as many words elsewhere, and the result is the same.
+The field is fitted on a bounded sample: `per_language` documents, of `per_document` characters
+at most, of each language that is not held out, and of the `most_languages` commonest ones. Every
+character of every document is labelled: what stands between white space is a word of the chain,
+and where that is longer than LONGEST characters, as in scripts without spaces, each LONGEST of
+them are. The chain of a batch is worked through in many stretches side by side, whose transfer
+matrices are joined afterwards, so a very long document costs no more than as many words
+elsewhere, and the result is the same.
 
-Defined results: a null text, or one without a letter, is `und` with score 0; rows without an id
-count as held out; rows are judged one by one, so repeated rows repeat their result; without any
+`predictions` gives one language a document, `spans` the stretches of each language within it.
+
+Defined results: a null text, or one without a letter, is `und` with score 0 and has no spans;
+words without a letter belong to the span that they stand in or behind; rows without an id count
+as held out; rows are judged one by one, so repeated rows repeat their result; without any
 labelled row all is `und`; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,28 +34,40 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stintwise.llm.folds import held_out, sample_per_class
+from stintwise.llm.folds import first_of_each, held_out
 
 UNKNOWN = "und"
+LONGEST = 40
+BATCH_NUMBERS = 8_000_000  # characters x languages worked through at once
+WORD = re.compile(r"\S{1,%d}" % LONGEST)
 
 
 @dataclass(frozen=True)
 class FieldSpec:
     per_language: int = 120
-    most_languages: int = 64
+    per_document: int = 50_000
+    most_languages: int = 512
     rounds: int = 30
     stretch: int = 24  # words of one document in a row in the training text
     decay: float = 1e-4
     rate: float = 0.3
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text; the same as WORD finds."""
+    words = text.split()
+    if len(max(words, key=len, default="")) <= LONGEST:
+        return words
+    return [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
+
+
 def word_parts(word: str) -> list[str]:
     """Affixes and character groups of a word."""
     w = word.lower().strip(".,;:!?\"'()[]")
     if not any(c.isalpha() for c in w):
         return ["none"]
     parts = [f"<{w[:k]}" for k in (1, 2, 3) if len(w) > k] + [f"{w[-k:]}>" for k in (1, 2, 3) if len(w) > k]
-    marked = f"^{w}$" if len(w) <= 40 else f"^{w[:20]}{w[-20:]}$"
+    marked = f"^{w}$"
     return parts + [marked[i : i + 2] for i in range(len(marked) - 1)] + [marked[i : i + 3] for i in range(len(marked) - 2)]
 
 
@@ -87,7 +107,7 @@ class Field:
 
     def fit(self, texts: list[str], labels: list[int], spec: FieldSpec) -> Field:
         counts: dict[str, Counter] = defaultdict(Counter)
-        docs = [t.split() for t in texts]
+        docs = [words_of(t) for t in texts]
         for words, k in zip(docs, labels):
             for w in set(w.lower().strip(".,;:!?\"'()[]") for w in words):
                 counts[w][k] += 1
@@ -135,34 +155,63 @@ class Field:
                 q += g * g
                 w += spec.rate * g / np.sqrt(q)
 
-    def documents(self, texts: list) -> tuple[list[str], np.ndarray]:
-        """The language of each text and the expected share of its words in it."""
-        out, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-        start, size = 0, 0
-        for i in range(len(texts) + 1):
-            if i == len(texts) or size > 2_000_000:
-                self.label(texts[start:i], start, out, score)
+    def batches(self, texts: list) -> Iterator[tuple[int, list]]:
+        """The texts in runs of bounded size, each with the number of its first."""
+        start, size, most = 0, 0, BATCH_NUMBERS // max(4, len(self.languages))
+        for i, t in enumerate(texts):
+            if size > most:
+                yield start, texts[start:i]
                 start, size = i, 0
-            if i < len(texts):
-                size += len(texts[i] or "")
-        return out, score
+            size += len(t or "")
+        if start < len(texts):
+            yield start, texts[start:]
 
-    def label(self, texts: list, base: int, out: list[str], score: np.ndarray) -> None:
-        docs = [(t or "").split() for t in texts]
+    def labelled(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of all words of some documents: the document, the probabilities, whether they have a letter."""
         sizes = np.array([len(d) for d in docs], dtype=np.int64)
         words = [w for d in docs for w in d]
-        if not words or not self.languages:
-            return
         first = np.zeros(len(words), dtype=bool)
         first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
         gamma = marginals(self.emissions(words), first, self.moves, self.start)
         lettered = np.fromiter((any(map(str.isalpha, w)) for w in words), dtype=bool, count=len(words))
-        doc = np.repeat(np.arange(len(docs)), sizes)
-        total = np.bincount(doc[lettered], minlength=len(docs))
-        share = np.stack([np.bincount(doc[lettered], gamma[lettered, k], len(docs)) for k in range(gamma.shape[1])], 1)
-        for i in np.nonzero(total)[0]:
-            k = int(share[i].argmax())
-            out[base + i], score[base + i] = self.languages[k], min(1.0, max(0.0, share[i, k] / total[i]))
+        return np.repeat(np.arange(len(docs)), sizes), gamma, lettered
+
+    def documents(self, texts: list) -> tuple[list[str], np.ndarray]:
+        """The language of each text and the expected share of its words in it."""
+        out, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        for base, some in self.batches(texts):
+            docs = [words_of(t or "") for t in some]
+            if not self.languages or not any(docs):
+                continue
+            doc, gamma, lettered = self.labelled(docs)
+            total = np.bincount(doc[lettered], minlength=len(docs))
+            share = np.stack([np.bincount(doc[lettered], gamma[lettered, k], len(docs)) for k in range(gamma.shape[1])], 1)
+            for i in np.nonzero(total)[0]:
+                k = int(share[i].argmax())
+                out[base + i], score[base + i] = self.languages[k], min(1.0, max(0.0, share[i, k] / total[i]))
+        return out, score
+
+    def spans(self, texts: list) -> list[list[tuple[int, int, str, float]]]:
+        """Per text the stretches of words whose likeliest language is the same: first character,
+        end, language, mean probability of the words with a letter."""
+        out: list[list] = [[] for _ in texts]
+        for base, some in self.batches(texts):
+            found = [[(m.start(), m.end()) for m in WORD.finditer(t or "")] for t in some]
+            if not self.languages or not any(found):
+                continue
+            doc, gamma, lettered = self.labelled([[t[a:b] for a, b in at] for t, at in zip(some, found)])
+            place = np.array([x for at in found for x in at])
+            kind = gamma.argmax(1)
+            seen = np.nonzero(lettered)[0]
+            fresh = np.ones(len(seen), dtype=bool)
+            fresh[1:] = (doc[seen[1:]] != doc[seen[:-1]]) | (kind[seen[1:]] != kind[seen[:-1]])
+            starts = np.nonzero(fresh)[0]
+            for at, to in zip(starts, np.append(starts[1:], len(seen))):
+                i = seen[at]
+                last = seen[to] - 1 if to < len(seen) and doc[seen[to]] == doc[i] else np.searchsorted(doc, doc[i], "right") - 1
+                p = float(gamma[seen[at:to], kind[i]].mean())
+                out[base + doc[i]].append((int(place[i, 0]), int(place[last, 1]), self.languages[kind[i]], p))
+        return out
 
 
 def marginals(e: np.ndarray, first: np.ndarray, moves: np.ndarray, start: np.ndarray, pairs: bool = False):
@@ -218,8 +267,10 @@ def fit(docs: DataFrame, spec: FieldSpec = FieldSpec()) -> Field:
     languages = sorted(r["lang"] for r in learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(spec.most_languages).collect())
     if not languages:
         return Field([]).fit([], [], spec)
-    chosen = sample_per_class(rows.select("doc_id", "lang"), "lang", spec.per_language, languages).select("doc_id").distinct()
-    sample = learn.join(F.broadcast(chosen), "doc_id").select("text", "lang").toPandas().drop_duplicates("text").sort_values("text")
+    named = rows.filter(F.col("lang").isin(languages)).select("doc_id", "lang")
+    chosen = first_of_each(named, "lang", spec.per_language).select("doc_id").distinct()
+    text = F.substring("text", 1, spec.per_document).alias("text")
+    sample = learn.join(F.broadcast(chosen), "doc_id").select(text, "lang").toPandas().drop_duplicates("text").sort_values("text")
     at = {lang: i for i, lang in enumerate(languages)}
     sample = sample[sample["lang"].isin(at)]
     return Field(languages).fit(sample["text"].tolist(), [at[x] for x in sample["lang"]], spec)
@@ -236,3 +287,15 @@ def predictions(docs: DataFrame, field: Field) -> DataFrame:
 
     judged = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), label("text").alias("p"))
     return judged.select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
+def spans(docs: DataFrame, field: Field) -> DataFrame:
+    """(doc_id, spans) of every row: the stretches of each language, with first character and end
+    in code points. A text without a letter, and one judged by an empty field, has none."""
+    shared = docs.sparkSession.sparkContext.broadcast(field)
+
+    @F.pandas_udf("array<struct<start:int,end:int,lang:string,probability:double>>")
+    def label(text: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("start", "end", "lang", "probability"), s)) for s in x] for x in shared.value.spans(text.tolist())])
+
+    return docs.select("doc_id", label("text").alias("spans"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stintwise.llm import language_crf, neighbours, queries, segmentations
+from stintwise.llm import folds, language_crf, neighbours, queries, segmentations
 
 SF = "/root/testdata/sf0.01"
 
@@ -157,3 +157,37 @@ def test_round_trip_and_seeds(docs_of, edge_docs, no_docs):
     per_doc = Counter(r["doc_id"] for r in rows)
     assert per_doc[1] == 3 and per_doc[5] == 6 and per_doc[2] == 1 and per_doc[3] == 1
     assert segmentations.segmentations(no_docs, model).count() == 0
+
+
+def small_field():
+    spec = language_crf.FieldSpec(rounds=30)
+    en, de = "the river with house shining thing", "der fluss mit haus schön straße"
+    return language_crf.Field(["de", "en"]).fit([en] * 6 + [de] * 6, [1] * 6 + [0] * 6, spec)
+
+
+def test_every_character_of_a_long_word_counts():
+    assert language_crf.words_of("ab " + "x" * 95 + "\tc") == ["ab", "x" * 40, "x" * 40, "x" * 15, "c"]
+    for text in ("a b", "", " \x1f ", "y" * 41, "一" * 100 + " z　w"):
+        assert language_crf.words_of(text) == language_crf.WORD.findall(text)
+    field = language_crf.Field(["ja", "zh"]).fit(["かなです" * 30] * 4 + ["汉字的是" * 30] * 4, [0] * 4 + [1] * 4, language_crf.FieldSpec())
+    lang, _ = field.documents(["汉字" * 10 + "かなです" * 300 + "汉字" * 10])  # both ends differ from the middle
+    assert lang == ["ja"]
+
+
+def test_spans_of_code_switched_text(docs_of, edge_docs):
+    field = small_field()
+    text = "12 the river with house -- der fluss mit  straße! the thing 7"
+    got = field.spans([None, text, "", "1 2", "the thing", "der haus"])
+    assert [[(text[a:b], k) for a, b, k, _ in got[1]]] == [[("the river with house --", "en"), ("der fluss mit  straße!", "de"), ("the thing 7", "en")]]
+    assert got[0] == got[2] == got[3] == [] and [[s[2] for s in x] for x in got[4:]] == [["en"], ["de"]]
+    assert all(0.5 <= p <= 1 for x in got for *_, p in x)
+    rows = language_crf.spans(edge_docs, field).collect()
+    assert len(rows) == 9 and all((r["spans"] == []) == (r["doc_id"] in (2, 3, 4)) for r in rows)
+    assert all(r["spans"] == [] for r in language_crf.spans(edge_docs, language_crf.Field([])).collect())
+
+
+def test_samples_in_one_pass_are_those_by_class(spark):
+    rows = spark.createDataFrame([(i % 900, ("a", "b", "c")[min(2, i % 7)]) for i in range(3000)], "doc_id long, lang string")
+    one, by_class = folds.first_of_each(rows, "lang", 40), folds.sample_per_class(rows, "lang", 40, ["a", "b", "c"])
+    assert sorted(one.collect()) == sorted(by_class.collect()) and one.count() == 120
+    assert folds.first_of_each(rows.limit(0), "lang", 40).count() == 0
