@@ -218,8 +218,7 @@ def f11(spark, d):
     shares = F.explode(F.array(*[F.lit(x) for x in (0.1, 0.3, 0.5, 0.7)]))
     races = splits.race_keys(D.laps(spark, d)).groupBy("season").agg(F.count("*").alias("n_races"))
     sized = races.withColumn("share", shares)
-    size = F.greatest(F.lit(1), F.least(F.bround(F.col("n_races") * F.col("share")).cast("int"), F.col("n_races") - 1))
-    return sized.withColumn("n_test", size.cast("long"))
+    return sized.withColumn("n_test", L.holdout_size(F.col("n_races"), F.col("share")).cast("long"))
 
 
 @query("io6_select_sessions", """

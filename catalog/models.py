@@ -17,7 +17,7 @@ from stintwise.operators import quality as Q
 from stintwise.operators import splits, stints
 from stintwise.operators.lookup import settle
 from stintwise.plans import lap_record as R
-from stintwise.schema import SESSION
+from stintwise.schema import SESSION, required_columns
 from stintwise.sources import driver_tables as D
 
 KEYS = f"{SES}, driver_code, lap_number"
@@ -199,6 +199,15 @@ def a22(spark, d):
     return rounded(Q.null_fractions(lap_rows(spark, d), ["lap_time_delta_s", "remaining_tire_life_laps", "driver_consistency_std_s"]))
 
 
+@query("p11_required_columns", """
+SELECT 'stint_compound' AS column_name, true AS present, count(stint_compound) AS n_values FROM tlaps
+UNION ALL SELECT 'tyre_life', true, count(tyre_life) FROM tlaps
+UNION ALL SELECT 'lap_time_delta_s', true, count(lap_time_delta_s) FROM tlaps
+UNION ALL SELECT 'avg_throttle_pct', false, 0""")
+def p11(spark, d):
+    return required_columns(stints.stint_laps(D.laps(spark, d)), ["stint_compound", "tyre_life", "lap_time_delta_s", "avg_throttle_pct"])
+
+
 @query("a23_describe", f"""
 SELECT count(x) AS n, {r('avg(x)', 'mean')}, {r('stddev_samp(x)', 'std')}, {r('min(x)', 'min')}, {r('quantile_cont(x, 0.25)', 'p25')},
  {r('quantile_cont(x, 0.5)', 'p50')}, {r('quantile_cont(x, 0.75)', 'p75')}, {r('max(x)', 'max')} FROM (SELECT lap_time_delta_s AS x FROM tlaps)""")

@@ -136,7 +136,7 @@ def f6(spark, d):
     v = L.kph_to_ms(F.col("speed"))
     return rounded(
         T.clean(D.telemetry(spark, d)).groupBy(*TEL_LAP).agg(
-            F.max(v).alias("max_speed_ms"), (F.max(0.5 * 860.0 * v * v) / 1000.0).alias("peak_kinetic_kj")
+            F.max(v).alias("max_speed_ms"), F.max(L.kinetic_kj(v)).alias("peak_kinetic_kj")
         ).drop(*SESSION)
     )
 

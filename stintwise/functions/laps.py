@@ -82,9 +82,15 @@ def session_key(season="season", round_number="round_number", session_name="sess
     return F.format_string("%d_%02d_%s", F.col(season), F.col(round_number), F.col(session_name))
 
 
-def holdout_size(n: Column, share: float) -> Column:
+def kinetic_kj(speed_ms: Column, s: Settings = DEFAULTS) -> Column:
+    """The car's kinetic energy in kJ."""
+    return 0.5 * F.lit(s.car_mass_kg) * speed_ms * speed_ms / 1000.0
+
+
+def holdout_size(n: Column, share: Column | float) -> Column:
     """Number of held-out races: rounded half to even, and both sides keep at least one."""
-    return F.greatest(F.lit(1), F.least(F.bround(n * F.lit(share)).cast("int"), n.cast("int") - 1))
+    part = share if isinstance(share, Column) else F.lit(share)
+    return F.greatest(F.lit(1), F.least(F.bround(n * part).cast("int"), n.cast("int") - 1))
 
 
 def age_bracket(age="tire_age_laps") -> Column:

@@ -99,6 +99,15 @@ def lap_key(tel: DataFrame) -> list[str]:
     return [c for c in TEL_LAP if c in tel.columns or c not in SESSION]
 
 
+def required_columns(df: DataFrame, columns) -> DataFrame:
+    """(column_name, present, n_values): which of the required columns a table has, and in how many
+    rows each holds a value. One aggregate; a column that is missing holds none."""
+    names = list(dict.fromkeys(columns))
+    count = [F.count(c) if c in df.columns else F.lit(0).cast("long") for c in names]
+    each = [F.struct(F.lit(c).alias("column_name"), F.lit(c in df.columns).alias("present"), n.alias("n_values")) for c, n in zip(names, count)]
+    return df.agg(F.array(*each).alias("found")).select(F.explode("found").alias("f")).select("f.*")
+
+
 def require_columns(df: DataFrame, columns) -> None:
     missing = sorted(set(columns) - set(df.columns))
     if missing:

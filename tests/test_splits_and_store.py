@@ -6,7 +6,7 @@ from stintwise.operators import quality as Q
 from stintwise.operators import splits
 from stintwise.plans import lap_record as R
 from stintwise.plans import report as P
-from stintwise.schema import LAP_FEATURES, SESSION, candidate_features, require_columns, safe_features, to_schema
+from stintwise.schema import LAP_FEATURES, SESSION, candidate_features, require_columns, required_columns, safe_features, to_schema
 from stintwise.sources import dataset as DS
 from stintwise.streaming.sessions import stream_sessions
 
@@ -80,6 +80,9 @@ def test_roles_and_schema(spark):
     assert "stint_length_laps" in candidate_features() and "stint_length_laps" not in safe_features()
     with pytest.raises(ValueError, match="b"):
         require_columns(spark.range(1), ["b"])
+    rows = spark.createDataFrame([(1, None), (2, 0.5)], "a long, b double")
+    assert [tuple(r) for r in required_columns(rows, ["a", "b", "c", "a"]).collect()] == [("a", True, 2), ("b", True, 1), ("c", False, 0)]
+    assert [r["n_values"] for r in required_columns(rows.limit(0), ["a", "c"]).collect()] == [0, 0]
     assert to_schema(spark.range(1)).schema == LAP_FEATURES
 
 
