@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stintwise.operators.lookup import settle
+
 SCALE = 1024
 
 
@@ -142,12 +144,22 @@ def visits(queries: DataFrame, places: Places, table: pd.DataFrame, k: int, late
     return queries.mapInPandas(run, "id long, x binary, floor long, pivot int, ring int")
 
 
-def scored(visit: DataFrame, index: DataFrame, parts: DataFrame, k: int, query_parts: int) -> DataFrame:
-    """(query_id, vec_id, score): per visited block the k best that reach the query's floor."""
-    asked = visit.join(F.broadcast(parts), ["pivot", "ring"]).select(
-        "*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("id"), F.lit(query_parts)).cast("int").alias("qpart")
+def dealt(visit: DataFrame, index: DataFrame, parts: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Visits and vectors by blocks. A ring's vectors are copied once for each `block_rows` of the
+    queries that visit the ring; those of a ring that none visits are left out before the shuffle."""
+    asking = visit.groupBy("pivot", "ring").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("qparts"))
+    # A row per ring at most, so it can be broadcast.
+    rings = visit.sparkSession.createDataFrame(parts.join(asking, ["pivot", "ring"]).toArrow(), "pivot int, ring int, parts int, qparts int")
+    asked = visit.join(F.broadcast(rings), ["pivot", "ring"]).select(
+        "*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("id"), F.col("qparts")).cast("int").alias("qpart")
     )
-    held = index.withColumn("qpart", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))))
+    visited = index.join(F.broadcast(rings.drop("parts")), ["pivot", "ring"])
+    return asked, visited.withColumn("qpart", F.explode(F.sequence(F.lit(0), F.col("qparts") - 1)))
+
+
+def scored(visit: DataFrame, index: DataFrame, parts: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """(query_id, vec_id, score): per visited block the k best that reach the query's floor."""
+    asked, held = dealt(settle(visit), index, parts, block_rows)
     key = ["pivot", "ring", "part", "qpart"]
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -199,10 +211,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, spec: IndexSpec = I
     parts = spark.createDataFrame(table[["pivot", "ring", "parts"]], "pivot int, ring int, parts int")
     index = placed.join(F.broadcast(parts), ["pivot", "ring"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     queries = indexed(vectors.filter(is_query), places).select("id", "x", F.lit(None).cast("long").alias("floor")).distinct()
-    query_parts = -(-n_queries // spec.block_rows)
-    near = scored(visits(queries, places, table, k, later=False), index, parts, k, query_parts)
-    near = best(near, k).select("query_id", "vec_id", "score", "rank").persist()
+    near = scored(visits(queries, places, table, k, later=False), index, parts, k, spec.block_rows)
+    near = settle(best(near, k).select("query_id", "vec_id", "score", "rank"))
     floors = near.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
     again = queries.drop("floor").join(floors, "id", "left").select("id", "x", "floor")
-    rest = scored(visits(again, places, table, k, later=True), index, parts, k, query_parts)
+    rest = scored(visits(again, places, table, k, later=True), index, parts, k, spec.block_rows)
     return best(near.drop("rank").unionByName(rest), k).select("query_id", "rank", "vec_id", "score")

@@ -54,3 +54,14 @@ def test_visits_can_stop_early(spark):
     query = placed.filter("id = 0").select("id", "x", F.lit(int((ints[0] * ints[1]).sum())).alias("floor"))
     seen = E.visits(query, places, table, 3, False).unionByName(E.visits(query, places, table, 3, True))
     assert 0 < seen.select("pivot", "ring").distinct().count() <= len(table) // 2
+
+
+def test_only_visited_rings_are_copied(spark):
+    index = spark.createDataFrame([(i, i % 4, 0, i % 2) for i in range(40)], "id long, pivot int, ring int, part int")
+    parts = spark.createDataFrame([(p, 0, 2) for p in range(4)], "pivot int, ring int, parts int")
+    visit = spark.createDataFrame([(100 + i, 0, 0) for i in range(5)] + [(200, 1, 0)], "id long, pivot int, ring int")
+    asked, held = E.dealt(visit, index, parts, 2)
+    assert sorted((r["pivot"], r["n"]) for r in held.groupBy("pivot").agg(F.count("*").alias("n")).collect()) == [(0, 30), (1, 10)]
+    assert asked.count() == 12 and {r["qpart"] for r in asked.filter("pivot = 1").collect()} == {0}
+    none, left = E.dealt(visit.limit(0), index, parts, 2)
+    assert none.count() == left.count() == 0
