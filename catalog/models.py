@@ -520,30 +520,32 @@ def f8(spark, d):
 GRID = {"trees": [200, 400], "depth": [4, 6, 8, 10, 12], "min_leaf": [5, 10, 20]}
 
 
-def forest(spark, d) -> RF.ForestModel:
-    """The forest of the training races, fitted once and read back from where it is stored."""
-    path = stored_once(spark, d, "forest", lambda: RF.fit_forest(condition_split(spark, d)[0]), RF.save)
+def forest(spark, d, train: DataFrame | None = None) -> RF.ForestModel:
+    """The forest of the training races, fitted once and read back from where it is stored.
+    `train`: those races' rows, where the caller has them."""
+    rows = lambda: condition_split(spark, d)[0] if train is None else train
+    path = stored_once(spark, d, "forest", lambda: RF.fit_forest(rows()), RF.save)
     return RF.load(spark, path)
 
 
 @query("m13_m14_forest_prediction")
 def m13(spark, d):
-    model = forest(spark, d)
-    _, test = condition_split(spark, d)
+    train, test = condition_split(spark, d)
+    model = forest(spark, d, train)
     return rounded(RF.predict_forest(model, test).select(*LAP_KEYS, "predicted"))
 
 
 @query("m14_forest_metrics")
 def m14(spark, d):
-    model = forest(spark, d)
-    _, test = condition_split(spark, d)
+    train, test = condition_split(spark, d)
+    model = forest(spark, d, train)
     return rounded(E.metrics(RF.predict_forest(model, E.valid_rows(test))))
 
 
 @query("m15_leaf_support")
 def m15(spark, d):
-    model = forest(spark, d)
-    _, test = condition_split(spark, d)
+    train, test = condition_split(spark, d)
+    model = forest(spark, d, train)
     return rounded(RF.leaf_support(model, test, LAP_KEYS))
 
 

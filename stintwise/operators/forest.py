@@ -1,7 +1,8 @@
-"""Random-forest wear model on Spark ML, with the training evidence behind each prediction.
+"""Random-forest wear model, with the training evidence behind each prediction.
 
-Spark ML fits the trees; their nodes are then kept as a table (`nodes`), by which rows are scored,
-leaf support is looked up and shallower or smaller forests are compared without fitting them.
+The inputs are encoded by Spark ML and the trees grown over sums by cell (`growth`); their nodes are
+kept as a table (`nodes`), by which rows are scored, leaf support is looked up and shallower or
+smaller forests are compared without fitting them.
 """
 
 from __future__ import annotations
@@ -13,13 +14,13 @@ from functools import reduce
 from itertools import product
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stintwise.operators import growth as G
 from stintwise.operators import nodes as N
 from stintwise.operators.evaluate import PREDICTED, TARGET, metrics, training_rows
 from stintwise.schema import require_columns
@@ -117,15 +118,25 @@ def encode(encoder: PipelineModel, rows: DataFrame, keep: list) -> DataFrame:
     return encoder.transform(rows).select(*keep, "_vector", vector_to_array("_vector").alias(N.FEATURES))
 
 
+def drawn(frame: DataFrame, spec: ForestSpec) -> tuple[PipelineModel, G.Design, DataFrame]:
+    """The encoder of the rows, their bins, and what each tree of the forest draws of them."""
+    encoder = Pipeline(stages=_stages(spec)[:-1]).fit(frame)
+    indexed = encoder.stages[0].transform(frame)
+    labels = {f"_ix_{c}": len(seen) for c, seen in zip(spec.categorical, encoder.stages[0].labelsArray)}
+    design = G.design(indexed, labels, [f"_in_{c}" for c in spec.continuous + spec.boolean], TARGET, spec.bins)
+    return encoder, design, G.drawn_sums(indexed, design, TARGET, spec.trees, spec.seed)
+
+
+def fitted(frame: DataFrame, spec: ForestSpec) -> tuple[PipelineModel, DataFrame]:
+    encoder, design, sums = drawn(frame, spec)
+    return encoder, G.grow(sums, design, spec.trees, spec.depth or MAX_DEPTH, spec.min_leaf)
+
+
 def fit_forest(train: DataFrame, spec: ForestSpec = ForestSpec(), s: Settings = DEFAULTS) -> ForestModel:
     """Fit, and count the training rows in every leaf."""
     frame = dealt(training_frame(train, spec))
     try:
-        *steps, forest = _stages(spec)
-        encoder = Pipeline(stages=steps).fit(frame)
-        encoded = encode(encoder, frame, [TARGET])
-        table = N.node_table(forest.fit(encoded))
-        table = N.with_rows(table, N.runs(table), encoded)
+        encoder, table = fitted(frame, spec)
     finally:
         frame.unpersist()
     return ForestModel(spec, encoder, table, N.runs(table))
@@ -198,10 +209,13 @@ def tune(
     trials = [replace(largest, **dict(zip(others, combo))) for combo in product(*others.values())]
     frame = dealt(training_frame(train, spec))
     try:
-        encoder = Pipeline(stages=_stages(spec)[:-1]).fit(frame)
-        encoded = encode(encoder, frame, [TARGET]).persist()
-        fits = side_by_side([lambda t=t: N.node_table(_stages(t)[-1].fit(encoded)) for t in trials])
-        encoded.unpersist()
+        # Trials that draw and bin alike read the same sums.
+        ready = {}
+        for t in trials:
+            if (t.bins, t.seed) not in ready:
+                ready[t.bins, t.seed] = drawn(frame, t)
+        encoder = ready[trials[0].bins, trials[0].seed][0]
+        fits = side_by_side([lambda t=t: G.grow(*ready[t.bins, t.seed][:0:-1], t.trees, t.depth, t.min_leaf) for t in trials])
     finally:
         frame.unpersist()
     tested = encode(encoder, _numbers(validation.filter(is_complete(spec)), spec), [TARGET])
@@ -229,11 +243,11 @@ def fold_r2(df: DataFrame, fold_by: dict[str, list[str]], folds: int = 3, spec:
     fold = lambda by: F.pmod(F.xxhash64(F.lit(spec.seed), *by), F.lit(folds)).cast("int")
     parts = {f"_fold_{name}": fold(by) for name, by in fold_by.items()}
     frame = dealt(_numbers(rows, spec).select(*[f"_in_{c}" for c in spec.features], TARGET, *[c.alias(n) for n, c in parts.items()]))
-    score = RegressionEvaluator(labelCol=TARGET, predictionCol=PREDICTED, metricName="r2")
 
     def one(column: str, k: int) -> float:
-        fitted = Pipeline(stages=_stages(spec)).fit(frame.filter(F.col(column) != k))
-        return score.evaluate(fitted.transform(frame.filter(F.col(column) == k)))
+        encoder, table = fitted(frame.filter(F.col(column) != k), spec)
+        held = encode(encoder, frame.filter(F.col(column) == k), [TARGET])
+        return metrics(N.score(held, N.runs(table)).withColumnRenamed("_value", PREDICTED)).first()["r2"]
 
     try:
         frame.count()  # kept before the fits start
