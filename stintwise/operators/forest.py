@@ -127,9 +127,9 @@ def drawn(frame: DataFrame, spec: ForestSpec) -> tuple[PipelineModel, G.Design,
     return encoder, design, G.drawn_sums(indexed, design, TARGET, spec.trees, spec.seed)
 
 
-def fitted(frame: DataFrame, spec: ForestSpec) -> tuple[PipelineModel, DataFrame]:
+def fitted(frame: DataFrame, spec: ForestSpec, support: bool = True) -> tuple[PipelineModel, DataFrame]:
     encoder, design, sums = drawn(frame, spec)
-    return encoder, G.grow(sums, design, spec.trees, spec.depth or MAX_DEPTH, spec.min_leaf)
+    return encoder, G.grow(sums, design, spec.trees, spec.depth or MAX_DEPTH, spec.min_leaf, support)
 
 
 def fit_forest(train: DataFrame, spec: ForestSpec = ForestSpec(), s: Settings = DEFAULTS) -> ForestModel:
@@ -215,7 +215,7 @@ def tune(
             if (t.bins, t.seed) not in ready:
                 ready[t.bins, t.seed] = drawn(frame, t)
         encoder = ready[trials[0].bins, trials[0].seed][0]
-        fits = side_by_side([lambda t=t: G.grow(*ready[t.bins, t.seed][:0:-1], t.trees, t.depth, t.min_leaf) for t in trials])
+        fits = side_by_side([lambda t=t: G.grow(*ready[t.bins, t.seed][:0:-1], t.trees, t.depth, t.min_leaf, False) for t in trials])
     finally:
         frame.unpersist()
     tested = encode(encoder, _numbers(validation.filter(is_complete(spec)), spec), [TARGET])
@@ -245,7 +245,7 @@ def fold_r2(df: DataFrame, fold_by: dict[str, list[str]], folds: int = 3, spec:
     frame = dealt(_numbers(rows, spec).select(*[f"_in_{c}" for c in spec.features], TARGET, *[c.alias(n) for n, c in parts.items()]))
 
     def one(column: str, k: int) -> float:
-        encoder, table = fitted(frame.filter(F.col(column) != k), spec)
+        encoder, table = fitted(frame.filter(F.col(column) != k), spec, False)
         held = encode(encoder, frame.filter(F.col(column) == k), [TARGET])
         return metrics(N.score(held, N.runs(table)).withColumnRenamed("_value", PREDICTED)).first()["r2"]
 

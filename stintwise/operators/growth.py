@@ -15,7 +15,8 @@ from math import ceil, factorial, log2
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stintwise.operators.lookup import settle
@@ -295,22 +296,24 @@ class Growing:
         return Tree(*[np.array(c, dtype=np.int32) for c in (self.feature, self.bin, self.left, self.right)], active)
 
 
-def grow(sums: DataFrame, d: Design, trees: int, depth: int, min_leaf: int) -> DataFrame:
-    """The fitted forest as `nodes.node_table`, with the training rows that end at each leaf."""
+def grow(sums: DataFrame, d: Design, trees: int, depth: int, min_leaf: int, support: bool = True) -> DataFrame:
+    """The fitted forest as `nodes.node_table`, with the training rows that end at each leaf if
+    `support` is asked for."""
     forest = [Growing() for _ in range(trees)]
     for level in range(depth):
         following = [[] for _ in forest]
         for a in range(0, max(len(t.open) for t in forest), AT_ONCE):
             now = [t.open[a : a + AT_ONCE] for t in forest]
             found = best_splits(counted(sums, d, [t.tree(n) for t, n in zip(forest, now)], level), d, min_leaf)
-            for r in found.toPandas().sort_values(["tree", "slot"]).itertuples(index=False):  # a row per node
+            for r in found.toArrow().to_pandas().sort_values(["tree", "slot"]).itertuples(index=False):  # a row per node
                 if r.w:
                     following[r.tree] += forest[r.tree].split(now[r.tree][r.slot], r, min_leaf)
         for t, nodes in zip(forest, following):
             t.open = nodes
         if not any(following):
             break
-    return with_leaf_rows(sums, d, forest, depth)
+    table = node_table(sums.sparkSession, forest, d)
+    return with_leaf_rows(sums, d, forest, depth, table) if support else settle(table.withColumn("rows", F.lit(None).cast("long")))
 
 
 def node_rows(forest: list[Growing], d: Design) -> pd.DataFrame:
@@ -325,16 +328,22 @@ def node_rows(forest: list[Growing], d: Design) -> pd.DataFrame:
         cut = np.array([0.5 if lab or not i else d.thresholds[c][k] for lab, i, c, k in zip(is_label, inner, f, b)])
         w, s = np.array(t.w, dtype=np.float64), np.array(t.s, dtype=np.float64)
         parts.append(pd.DataFrame({
-            "tree": number, "node": np.arange(len(left)), "feature": np.where(inner, firsts[f] + np.where(is_label, b, 0), -1),
+            "tree": np.int32(number), "node": np.arange(len(left), dtype=np.int32), "feature": np.where(inner, firsts[f] + np.where(is_label, b, 0), -1),
             "threshold": cut, "left": np.where(inner, left, -1), "right": np.where(inner, right, -1),
             "value": d.base + d.step * s / w, "gain": [g or 0.0 for g in t.gain], "drawn": w.astype(np.int64),
         }))
     return pd.concat(parts, ignore_index=True)
 
 
-def with_leaf_rows(sums: DataFrame, d: Design, forest: list[Growing], depth: int) -> DataFrame:
-    spark = sums.sparkSession
-    sent = spark.sparkContext.broadcast([t.tree([]) for t in forest])
+def node_table(spark: SparkSession, forest: list[Growing], d: Design) -> DataFrame:
+    rows = pa.Table.from_pandas(node_rows(forest, d), preserve_index=False)
+    inner = lambda c, t="int": F.when(F.col("left") >= 0, F.col(c)).cast(t).alias(c)
+    kept = ["tree", "node", inner("feature"), inner("threshold", "double"), inner("left"), inner("right"), "value", inner("gain", "double"), "drawn"]
+    return spark.createDataFrame(rows).select(*kept)
+
+
+def with_leaf_rows(sums: DataFrame, d: Design, forest: list[Growing], depth: int, table: DataFrame) -> DataFrame:
+    sent = sums.sparkSession.sparkContext.broadcast([t.tree([]) for t in forest])
     is_label, size = np.array([t is None for t in d.thresholds]), chunk_size(len(forest))
 
     def count(batches):
@@ -349,9 +358,5 @@ def with_leaf_rows(sums: DataFrame, d: Design, forest: list[Growing], depth: int
             yield pd.DataFrame({"tree": number, "node": at, "rows": n[at].astype(np.int64)})
 
     found = sums.mapInPandas(count, "tree int, node int, rows long").groupBy("tree", "node").agg(F.sum("rows").alias("rows"))
-    schema = "tree int, node int, feature int, threshold double, left int, right int, value double, gain double, drawn long"
-    inner = lambda c: F.when(F.col("left") >= 0, F.col(c)).alias(c)
-    table = spark.createDataFrame(node_rows(forest, d), schema)
-    kept = table.select("tree", "node", inner("feature"), inner("threshold"), inner("left"), inner("right"), "value", inner("gain"), "drawn")
-    joined = kept.join(found, ["tree", "node"], "left")
+    joined = table.join(found, ["tree", "node"], "left")
     return settle(joined.withColumn("rows", F.coalesce("rows", F.lit(0))))

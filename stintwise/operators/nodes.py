@@ -126,7 +126,7 @@ def runs(table: DataFrame) -> list[Run]:
             held = 0
         cuts[-1][1] = tree
         held += n
-    return [Run.of(table.filter(F.col("tree").between(a, b)).toPandas()) for a, b in cuts]
+    return [Run.of(table.filter(F.col("tree").between(a, b)).toArrow().to_pandas()) for a, b in cuts]
 
 
 def summed(rows: DataFrame, parts: list[Run], outputs: int, walk) -> DataFrame:
