@@ -1,7 +1,8 @@
 """Stint-life estimates: sweep tire age through any scoring function and find the crossing.
 
 A request row becomes one row per age. Requests are spread by their id before they grow, so
-the ages of a request stay together and the window over them needs no further shuffle.
+the ages of a request stay together and the window over them needs no further shuffle. They are
+counted first: a task gets about REQUESTS of them however many there are.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from stintwise.settings import DEFAULTS, Settings
 
 Score = Callable[[DataFrame], DataFrame]
 
+REQUESTS = 8192  # of a task; a million rows once they have grown
+
 
 def half_lap_ages(s: Settings = DEFAULTS) -> Column:
     """1, 1.5, ... up to the largest age."""
@@ -36,7 +39,8 @@ def sweep(
 ) -> DataFrame:
     """Requests times ages. `by_age` names inputs that follow from the age; they replace a
     fixed value of the same name."""
-    swept = requests.drop(AGE).repartition(*keys).withColumn(AGE, F.explode(ages))
+    parts = max(requests.sparkSession.sparkContext.defaultParallelism, -(-requests.count() // REQUESTS))
+    swept = requests.drop(AGE).repartition(parts, *keys).withColumn(AGE, F.explode(ages))
     for name, fn in (by_age or {}).items():
         swept = swept.withColumn(name, fn(F.col(AGE)))
     return swept
