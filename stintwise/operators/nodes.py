@@ -10,7 +10,10 @@ is checked, and is walked for all trees at once. A larger forest is walked a run
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from math import prod
 
 import numpy as np
 import pandas as pd
@@ -20,7 +23,8 @@ from pyspark.sql import functions as F
 from stintwise.operators.lookup import scratch_path, settle
 
 MOST_NODES = 4_000_000  # sent to a task at once; 40 bytes each
-CELLS = 2_000_000  # rows x trees walked at a time
+CELLS = 4_000_000  # rows x trees walked at a time
+MOST_KNOWN = 1_000_000  # cells whose answer a task keeps, some 24 bytes each
 FEATURES = "_features"
 
 
@@ -101,13 +105,28 @@ class Run:
     def start(self, n: int) -> np.ndarray:
         return np.broadcast_to(self.roots, (n, len(self.roots)))
 
+    @cached_property
+    def children(self) -> np.ndarray:
+        return np.stack([self.left, self.right], axis=1).ravel()
+
+    @cached_property
+    def cuts(self) -> list[np.ndarray]:
+        """The thresholds of each input, ascending, up to the last input that parts any rows."""
+        inner = self.left != self.right
+        return [np.unique(self.threshold[inner & (self.feature == f)]) for f in range(self.feature[inner].max(initial=-1) + 1)]
+
     def leaves(self, x: np.ndarray) -> np.ndarray:
-        at = self.start(len(x))
-        while True:
-            below = self.step(x, at)
-            if (below == at).all():
-                return at
-            at = below
+        """The leaf of each row and tree. A tree at a time, so that its nodes stay in the cache."""
+        flat, row = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1]
+        out = np.empty((len(self.roots), len(x)), dtype=np.int32)
+        for i, root in enumerate(self.roots):
+            below, at = np.full(len(x), root, dtype=np.int32), None
+            while at is None or not np.array_equal(at, below):
+                at = below
+                left = flat.take(row + self.feature.take(at)) <= self.threshold.take(at)
+                below = self.children.take(2 * at + ~left)
+            out[i] = at
+        return np.ascontiguousarray(out.T)
 
     def blocks(self, rows: pd.Series):
         """The inputs of some rows at a time."""
@@ -116,6 +135,42 @@ class Run:
             yield np.stack(rows.iloc[a : a + size].to_list()).astype(np.float64, copy=False)
 
 
+class Answers:
+    """What a run gives for rows. Rows in the same cell, between the same thresholds of every input,
+    end in the same leaves, so a task walks the trees once per cell, as far as it can keep the
+    cells. Where cells can't be numbered by 62 bits every row is walked."""
+
+    def __init__(self, run: Run, walk: Callable[[Run, np.ndarray], np.ndarray]):
+        self.run, self.walk = run, walk
+        self.numbered = prod(len(c) + 1 for c in run.cuts) <= 2**62
+        self.cells, self.values = np.empty(0, dtype=np.int64), None
+
+    def cell(self, x: np.ndarray) -> np.ndarray:
+        number = np.zeros(len(x), dtype=np.int64)
+        for f, cuts in enumerate(self.run.cuts):
+            number = number * (len(cuts) + 1) + np.searchsorted(cuts, x[:, f])
+        return number
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        if not self.numbered:
+            return self.walk(self.run, x)
+        asked, first, place = np.unique(self.cell(x), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.cells, asked)
+        is_new = np.ones(len(asked), dtype=bool)
+        is_new[at < len(self.cells)] = self.cells[at[at < len(self.cells)]] != asked[at < len(self.cells)]
+        if not is_new.any():
+            return self.values[at][place]
+        walked = self.walk(self.run, x[first[is_new]])
+        found = np.empty((len(asked), walked.shape[1]))
+        found[is_new] = walked
+        if not is_new.all():
+            found[~is_new] = self.values[at[~is_new]]
+        if len(self.cells) + len(walked) <= MOST_KNOWN:
+            self.values = walked if self.values is None else np.insert(self.values, at[is_new], walked, axis=0)
+            self.cells = np.insert(self.cells, at[is_new], asked[is_new])
+        return found[place]
+
+
 def runs(table: DataFrame) -> list[Run]:
     """The table as runs of whole trees of at most MOST_NODES nodes, or of one tree."""
     sizes = [(r["tree"], r["n"]) for r in table.groupBy("tree").agg(F.count("*").alias("n")).orderBy("tree").collect()]  # a row per tree
@@ -137,10 +192,11 @@ def summed(rows: DataFrame, parts: list[Run], outputs: int, walk) -> DataFrame:
         sent = rows.sparkSession.sparkContext.broadcast(run)
 
         @F.pandas_udf("array<double>")
-        def sums(x: pd.Series) -> pd.Series:
-            if not len(x):
-                return pd.Series([], dtype=object)
-            return pd.Series(list(np.concatenate([walk(sent.value, b) for b in sent.value.blocks(x)])))
+        def sums(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            answers = Answers(sent.value, walk)
+            for x in batches:
+                found = [answers.of(b) for b in sent.value.blocks(x)]
+                yield pd.Series(list(np.concatenate(found)) if found else [], dtype=object)
 
         return sums(F.col(FEATURES))
 
