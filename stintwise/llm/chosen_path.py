@@ -161,18 +161,23 @@ def tree_pairs(classes: DataFrame, spec: SetSpec) -> tuple[DataFrame, DataFrame
     doc = F.struct("rep", "n", "bits_a", "bits_b").alias("doc")
     level = classes.select(doc, F.posexplode("roots").alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "doc", F.lit(None).cast("long").alias("before"))
     found, alike = [], []
+    most = classes.count() * TREES
     for depth in range(LEVELS + 1):
+        if depth:
+            level = settle(level, most)  # branched once, for the sizes and for what is joined to them
+            most = level.count()
         sizes = level.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
         level = level.join(sizes, "node")
-        if depth:
-            level = settle(level)
         found.append(leaf_pairs(level.filter(F.col("size") <= SMALL), spec))
-        large = level.filter(F.col("size") > SMALL)
-        if depth == 0:
-            large = settle(large)
+        large = settle(level.filter(F.col("size") > SMALL), most)
+        most = large.count() * 2
         # A node that keeps half of the rows it comes from, or is large at the last level, holds
-        # sets that are much alike: branching would only copy them.
-        keeps = F.lit(True) if depth == LEVELS else F.coalesce(F.col("size") * 2 >= F.col("before"), F.lit(False))
+        # sets that are much alike: branching would only copy them. A root tells by its sketches.
+        if depth == 0:
+            large = large.join(settle(alike_nodes(large), most), "node")
+            keeps = F.col("alike")
+        else:
+            keeps = F.lit(True) if depth == LEVELS else F.col("size") * 2 >= F.col("before")
         alike.append(large.filter(keeps).select("node", "doc"))
         large = large.filter(~keeps)
         if depth == LEVELS or large.isEmpty():
@@ -196,14 +201,29 @@ def union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def pivots_of(large: DataFrame) -> DataFrame:
-    """PIVOTS members of each large node: in each of as many parts of it, the member most like
-    the node's average, which is linked to most others."""
+BITS = ("bits_a", "bits_b")
+
+
+def bit_sums(large: DataFrame) -> DataFrame:
+    """Per node its size and how many members have each bit of the sketch set."""
     bit = lambda c, i: F.shiftrightunsigned(F.col(f"doc.{c}"), i).bitwiseAND(F.lit(1))
-    names = ("bits_a", "bits_b")
-    sums = large.groupBy("node").agg(F.count("*").alias("size"), *[F.sum(bit(c, i)).alias(f"{c}{i}") for c in names for i in range(64)])
-    most = lambda c: reduce(Column.bitwiseOR, [F.when(F.col(f"{c}{i}") * 2 > F.col("size"), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")) for i in range(64)])
-    middle = settle(sums.select("node", "size", F.struct(*[most(c).alias(c) for c in names]).alias("middle")))
+    return large.groupBy("node").agg(F.count("*").alias("size"), *[F.sum(bit(c, i)).alias(f"{c}{i}") for c in BITS for i in range(64)])
+
+
+def alike_nodes(large: DataFrame) -> DataFrame:
+    """(node, alike): whether a branch is expected to keep half of a node's rows. A minwise token
+    keeps a pair as often as the pair is similar, and two sketches have (1 + similarity) / 2 equal bits,
+    so this is whether all pairs together have three quarters."""
+    n = F.col("size").cast("double")
+    equal = reduce(Column.__add__, [F.col(f"{c}{i}") * (F.col(f"{c}{i}") - F.lit(1.0)) + (n - F.col(f"{c}{i}")) * (n - F.col(f"{c}{i}") - 1) for c in BITS for i in range(64)])
+    return bit_sums(large).select("node", (equal >= F.lit(0.75 * FUNCTIONS) * n * (n - 1)).alias("alike"))
+
+
+def pivots_of(large: DataFrame, most: int) -> DataFrame:
+    """PIVOTS members of each large node: in each of as many parts of it, the member most like
+    the node's average, which is linked to most others. `most` is what `large` has of rows."""
+    majority = lambda c: reduce(Column.bitwiseOR, [F.when(F.col(f"{c}{i}") * 2 > F.col("size"), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")) for i in range(64)])
+    middle = settle(bit_sums(large).select("node", "size", F.struct(*[majority(c).alias(c) for c in BITS]).alias("middle")), most // SMALL)
     rank = F.struct(likeness(F.col("doc"), F.col("middle")), F.xxhash64("doc.rep", "node"))
     slot = F.pmod(F.xxhash64("doc.rep"), F.lit(PIVOTS))
     picks = [F.max_by("doc", F.when(slot == j, rank)).alias(f"p{j}") for j in range(PIVOTS)]
@@ -216,7 +236,7 @@ def pivot_pairs(large: DataFrame, pivots: DataFrame, spec: SetSpec) -> DataFrame
     every = pivots.select("node", F.array_compact(F.array(*[f"p{j}" for j in range(PIVOTS)])).alias("pivots"))
     near = F.filter("pivots", lambda p: (p["rep"] != F.col("doc.rep")) & may_link(p, F.col("doc"), spec))
     best = F.array_max(F.transform(near, lambda p: F.struct(likeness(p, F.col("doc")).alias("like"), p.alias("p"))))
-    both = large.join(settle(every), "node").select("doc", best["p"].alias("x")).filter("x is not null")
+    both = large.join(settle(every, pivots.count()), "node").select("doc", best["p"].alias("x")).filter("x is not null")
     return both.select(*pair_columns(F.col("x"), F.col("doc")))
 
 
@@ -239,9 +259,9 @@ def outside_links(large: DataFrame, pivots: DataFrame, labels: DataFrame, texts:
     named = large.join(named_by("component"), rep == F.col("_n"), "left").select("node", "doc", F.coalesce("component", rep).alias("component"))
     best = F.col("best.rep")
     main = pivots.join(named_by("main"), best == F.col("_n"), "left").select("node", "size", F.coalesce("main", best).alias("main"))
-    both = settle(named.join(settle(main), "node"))
+    both = settle(named.join(settle(main, pivots.count()), "node"), large.count())
     out = both.filter("component <> main")
-    n_out = settle(out.groupBy("node").agg(F.count("*").alias("n_out")))
+    n_out = settle(out.groupBy("node").agg(F.count("*").alias("n_out")), pivots.count())
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
     out_parts = F.ceil(F.col("n_out") / BLOCK).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
@@ -305,7 +325,7 @@ def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def merged(labels: DataFrame, pairs: DataFrame, texts: DataFrame, spec: SetSpec) -> DataFrame:
     """The labels once all of `pairs` between components are confirmed or dropped."""
-    apart = settle(between(pairs, labels))
+    apart = settle(between(pairs, labels), pairs.count())
     if apart.isEmpty():
         return labels
     return renamed(labels, confirmed(apart.select("a", "b"), texts, spec).join(apart, ["a", "b"]))
@@ -317,7 +337,7 @@ def renamed(labels: DataFrame, links: DataFrame) -> DataFrame:
     joined = components(links)
     moved = labels.join(joined.select(F.col("node").alias("component"), F.col("component").alias("now")), "component", "left")
     fresh = joined.join(labels, "node", "left_anti").select("node", "component")
-    return settle(moved.select("node", F.coalesce("now", "component").alias("component")).unionByName(fresh))
+    return settle(moved.select("node", F.coalesce("now", "component").alias("component")).unionByName(fresh), labels.count() + joined.count())
 
 
 def connected(pairs: DataFrame, texts: DataFrame, spec: SetSpec) -> DataFrame:
@@ -352,7 +372,8 @@ def similar_classes(docs: DataFrame, spec: SetSpec) -> tuple[DataFrame, DataFram
     found, large = tree_pairs(classes, spec)
     pairs = [found]
     if large is not None:
-        pivots = settle(pivots_of(large))
+        n_large = large.count()
+        pivots = settle(pivots_of(large, n_large), n_large // SMALL)
         pairs.append(pivot_pairs(large, pivots, spec))
     candidates = settle(union(pairs).distinct())
     numbers = classes.select(*key, "rep", "first")

@@ -48,7 +48,7 @@ class TermCodes(dict):
     """word -> bucket of the word * SHAPES + bucket of its shape"""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         shape = word.translate(SHAPE_OF)
         runs = bytes(c for i, c in enumerate(shape) if not i or shape[i - 1] != c)

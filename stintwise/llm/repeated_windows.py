@@ -57,7 +57,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -230,13 +230,16 @@ def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, tk, cuts): per row with something to remove, the first word of a super-k-mer and
     a bit mask of its windows that go."""
     found = settle(pieces(docs))
+    most = found.count()
     # Written, so that the join below deals both sides anew and can split a frequent minimiser.
-    common = settle(found.groupBy("minimiser").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("minimiser"))
+    common = settle(found.groupBy("minimiser").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("minimiser"), most // 2)
     shared = settle(found.join(common, "minimiser", "left_semi"))
+    most = shared.count()
     owned = shared.groupBy("minimiser", "digest").agg(F.min(F.struct("doc", "tk", "at")).alias("first"), F.max("doc").alias("last"))
-    owned = settle(owned.select("minimiser", "digest", F.col("first.doc").alias("owner"), F.col("first.tk").alias("tk"), F.col("first.at").alias("at"), "last"))
+    owned = settle(owned.select("minimiser", "digest", F.col("first.doc").alias("owner"), F.col("first.tk").alias("tk"), F.col("first.at").alias("at"), "last"), most)
+    most = owned.count()
     different = owned.groupBy("minimiser").agg(F.count("*").alias("n"), F.min("owner").alias("lo"), F.max("owner").alias("hi")).filter("n > 1 and lo < hi")
-    wanted = owned.join(settle(different.select("minimiser", (F.col("n") > MANY).alias("many"))), "minimiser")
+    wanted = owned.join(settle(different.select("minimiser", (F.col("n") > MANY).alias("many")), most // 2), "minimiser")
     packed = settle(cut_strings(docs, wanted))
     n_strings = packed.filter(~F.col("many")).count()
     bucket = F.pmod(F.xxhash64("minimiser"), F.lit(-(-n_strings // BUCKET_STRINGS) or 1))
@@ -248,20 +251,27 @@ def removals(docs: DataFrame) -> DataFrame:
         .unionByName(one_by_one(packed.filter("many")))
     )
     verdict = owned.join(masks, ["minimiser", "digest"], "left").select("minimiser", "digest", "owner", "last", F.coalesce("mask", F.lit(0)).alias("mask")).filter("mask <> 0 or last > owner")
-    verdict = settle(verdict)  # so that the join below deals both sides anew and can split a frequent string
+    verdict = settle(verdict, most)  # so that the join below deals both sides anew and can split a frequent string
     return cuts_of(runs(shared), verdict)
 
 
 def runs(shared: DataFrame) -> DataFrame:
     """(doc, tk, start, run, content): the shared super-k-mers of each row in runs without a gap.
-    A run also ends after a digest divisible by RUN_CUT, wherever the passage stands, so texts that
-    differ in places still have most runs in common. `content` counts places from the run's start."""
+    A passage's first and last super-k-mers may hold words of the text around it: those that begin
+    less than GROUPS - 1 windows behind a gap, or end less than that before one, are runs of their own,
+    so that what lies between is the same run in every text. A run also ends after a digest divisible
+    by RUN_CUT, wherever the passage stands, so texts that differ in places still have most runs in
+    common. `content` counts places from the run's start."""
     shared = shared.dropDuplicates(["doc", "tk", "at"])  # a row that stands many times under one id counts once
     order = Window.partitionBy("doc", "tk").orderBy("at")
-    reached = F.max(F.expr("at div 64 + at % 64")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    ends = F.lag(F.col("digest") % RUN_CUT == 0).over(order)
-    fresh = (F.expr("at div 64") > reached) | ends
-    marked = shared.withColumn("fresh", F.coalesce(fresh, F.lit(True)).cast("int")).withColumn("nr", F.sum("fresh").over(order))
+    begin, end = F.expr("at div 64"), F.expr("at div 64 + at % 64")
+    reached = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    gaps = shared.withColumn("gap", F.coalesce(begin > reached, F.lit(True)).cast("int")).withColumn("passage", F.sum("gap").over(order))
+    whole = Window.partitionBy("doc", "tk", "passage")
+    edge = (begin - F.min(begin).over(whole) < GROUPS - 1) | (F.max(end).over(whole) - end < GROUPS - 1)
+    edges = gaps.withColumn("edge", edge)
+    fresh = (F.col("gap") == 1) | F.col("edge") | F.lag(F.col("edge") | (F.col("digest") % RUN_CUT == 0), 1, True).over(order)
+    marked = edges.withColumn("fresh", fresh.cast("int")).withColumn("nr", F.sum("fresh").over(order))
     one = marked.groupBy("doc", "tk", "nr").agg(F.sort_array(F.collect_list(F.struct("at", "minimiser", "digest"))).alias("p"))
     start = F.expr("p[0].at div 64")
     placed = one.select("doc", "tk", start.alias("start"), F.transform("p", lambda x: F.struct((x["at"] - start * 64).alias("at"), x["minimiser"].alias("minimiser"), x["digest"].alias("digest"))).alias("content"))
