@@ -28,6 +28,7 @@ import math
 import re
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -39,7 +40,9 @@ PARTS = re.compile(f"\n|{SPACE_SIGN}+[^{SPACE_SIGN}\n]*|[^{SPACE_SIGN}\n]+")
 BYTE_WEIGHT = -12.0  # of each byte of a character without a piece
 KEEP = 150_000  # words whose lattices are kept, in some 100 MB
 NEAR = 18.0
+BATCH_CHARS = 1_000_000
 CHUNK = 64  # places of a path that are looked at in one go
+DIRECTORY = 20  # leading bits of a hash by which its place among the pieces is looked up
 U = np.uint64
 
 
@@ -72,7 +75,7 @@ class Lattices:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.bytes_of = [b""] * model.get_piece_size()
         self.byte_ids = [0] * 256
-        self.pairs: set[str] = set()
+        pairs: set[str] = set()
         ids: dict[str, int] = {}
         for i in range(model.get_piece_size()):
             p = model.id_to_piece(i)
@@ -81,8 +84,9 @@ class Lattices:
                 self.bytes_of[i] = bytes([int(p[1:-1], 16)])
             elif not model.is_control(i) and not model.is_unknown(i):
                 ids[p] = i
-                self.pairs.update(p[k : k + 2] for k in range(len(p) - 1))
+                pairs.update(p[k : k + 2] for k in range(len(p) - 1))
                 self.bytes_of[i] = p.replace(SPACE_SIGN, " ").encode()
+        self.pairs = np.array(sorted(ord(a) << 32 | ord(b) for a, b in pairs) + [2**64 - 1], dtype=U)  # the last is no pair
         for p in list(ids):
             for k in range(1, len(p)):
                 ids.setdefault(p[:k], -1)  # only the beginning of a piece
@@ -92,23 +96,56 @@ class Lattices:
             longer = np.array([len(p) > n for p in strings])
             keys[longer] = extended(keys[longer], np.array([ord(p[n]) for p in strings if len(p) > n], dtype=U))
         order = np.argsort(keys)
-        self.keys, self.piece = keys[order], np.array([ids[p] for p in strings], dtype=np.int64)[order]
+        self.keys, self.piece = np.append(keys[order], U(2**64 - 1)), np.append(np.array([ids[p] for p in strings], dtype=np.int64)[order], -1)
+        self.directory = np.searchsorted(self.keys[:-1], np.arange(2**DIRECTORY, dtype=U) << U(64 - DIRECTORY))
         rank = np.maximum(1, np.arange(model.get_piece_size()) - 258)
         self.weight = -np.log(rank + 2.7)
+        self.room: dict[str, np.ndarray] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.split: dict[str, list[str]] = {}
+        self.number: dict[str, int] = {}  # of each word; first_part, n_parts and part_roots go by it
         self.root: dict[str, int] = {}
-        self.first = np.zeros(1, dtype=np.int64)  # first edge of each state
-        self.target, self.logp, self.upto = np.zeros(0, np.int32), np.zeros(0), np.zeros(0)
-        self.id_at, self.ids = np.zeros(1, dtype=np.int32), np.zeros(0, dtype=np.uint16)
-
-    def cut(self, part: str) -> list[str]:
-        if part.lstrip(SPACE_SIGN).isalpha():
-            return [part]
-        at = [0] + [k for k in range(1, len(part)) if part[k - 1 : k + 1] not in self.pairs] + [len(part)]
-        return [part[i:j] for i, j in zip(at, at[1:])]
+        # `first` has the first edge of each state, `id_at` the first id of each edge.
+        kinds = {"first": np.int64, "target": np.int32, "logp": float, "upto": float, "id_at": np.int32, "ids": np.uint16}
+        for name, kind in (kinds | dict.fromkeys(("first_part", "n_parts", "part_roots"), np.int64)).items():
+            setattr(self, name, np.empty(0, dtype=kind))
+        self.append(first=[0], id_at=[0])
+
+    def append(self, **more) -> None:
+        """Adds to the arrays; they grow in rooms half as large again, not by a copy each time."""
+        for name, x in more.items():
+            old = getattr(self, name)
+            n = len(old) + len(x)
+            if name not in self.room or len(self.room[name]) < n:
+                self.room[name] = np.empty(n * 3 // 2, dtype=old.dtype)
+                self.room[name][: len(old)] = old
+            self.room[name][len(old) : n] = x
+            setattr(self, name, self.room[name][:n])
+
+    def cut(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """The parts of all words, and how many each has. Words of letters alone stay whole."""
+        text = "".join(words)
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(U)
+        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        whole = np.fromiter((w.lstrip(SPACE_SIGN).isalpha() for w in words), dtype=bool, count=len(words))
+        pair = code[:-1] << U(32) | code[1:]
+        begins = np.ones(len(code), dtype=bool)
+        begins[1:] = self.pairs[np.searchsorted(self.pairs, pair)] != pair
+        begins[np.repeat(whole, size)] = False
+        first = np.cumsum(size) - size
+        begins[first] = True
+        at = np.nonzero(begins)[0].tolist()
+        return [text[i:j] for i, j in zip(at, [*at[1:], len(text)])], np.add.reduceat(begins, first, dtype=np.int64)
+
+    def place_of(self, key: np.ndarray) -> np.ndarray:
+        """The first place among the sorted hashes that is not below each key."""
+        place = self.directory[key >> U(64 - DIRECTORY)]
+        late = np.nonzero(self.keys[place] < key)[0]
+        while len(late):
+            place[late] += 1
+            late = late[self.keys[place[late]] < key[late]]
+        return place
 
     def build(self, parts: list[str]) -> None:
         """Appends the lattices of new parts, all at once: pieces are found by the hash of what
@@ -124,7 +161,7 @@ class Lattices:
         while len(at):
             key = extended(key, code[at + n])
             n += 1
-            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            place = self.place_of(key)
             known = self.keys[place] == key
             at, key, piece = at[known], key[known], self.piece[place[known]]
             whole = piece >= 0
@@ -133,11 +170,13 @@ class Lattices:
             pieces.append(piece[whole])
             on = at + n < stop[at]
             at, key = at[on], key[on]
-        bare = np.setdiff1d(np.arange(len(code)), starts[0])  # characters without a piece of their own
+        alone = np.ones(len(code), dtype=bool)
+        alone[starts[0]] = False
+        bare = np.nonzero(alone)[0]  # characters without a piece of their own
         start = np.concatenate([bare, *starts])
         length = np.concatenate([np.ones(len(bare), dtype=np.int64), *lengths])
         piece = np.concatenate([np.full(len(bare), -1), *pieces])
-        order = np.lexsort((length, start))
+        order = np.argsort(start, kind="stable")  # shorter pieces come first already
         start, length, piece = start[order], length[order], piece[order]
         first = np.searchsorted(start, np.arange(len(code) + 1))
         raw = {int(c): chr(c).encode("utf-8", "replace") for c in np.unique(code[bare])}
@@ -165,25 +204,31 @@ class Lattices:
         id_at = np.cumsum(n_ids) - n_ids
         for e in spelled:
             ids[id_at[e] : id_at[e] + n_ids[e]] = [self.byte_ids[b] for b in raw[int(code[start[e]])]]
-        self.first = np.concatenate([self.first, first[1:] + len(self.target)])
-        self.target = np.concatenate([self.target, np.where(last, -1, base + start + length).astype(np.int32)])
-        self.logp, self.upto = np.concatenate([self.logp, logp]), np.concatenate([self.upto, upto])
-        self.id_at = np.concatenate([self.id_at, (self.id_at[-1] + np.cumsum(n_ids)).astype(np.int32)])
-        self.ids = np.concatenate([self.ids, ids.astype(np.uint16)])
+        self.append(first=first[1:] + len(self.target), target=np.where(last, -1, base + start + length), logp=logp, upto=upto)
+        self.append(id_at=self.id_at[-1] + np.cumsum(n_ids), ids=ids)
 
     def roots(self, texts: list[str]) -> tuple[np.ndarray, list[int]]:
         """The root states of the parts of all texts, and how many each text has."""
-        if len(self.split) > KEEP:
+        if len(self.number) > KEEP:
             self.clear()
         words = [parts_of(t) for t in texts]
-        split = self.split
-        for w in {p for parts in words for p in parts if p not in split}:
-            split[w] = self.cut(w)
-        parts = [[x for p in ws for x in split[p]] for ws in words]
-        flat = [x for p in parts for x in p]
+        flat = list(chain.from_iterable(words))
+        if new := list(set(flat).difference(self.number)):
+            self.add(new)
+        number = np.fromiter(map(self.number.__getitem__, flat), dtype=np.int64, count=len(flat))
+        n = self.n_parts[number]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        part = np.repeat(self.first_part[number] - upto[:-1], n) + np.arange(upto[-1])
+        return self.part_roots[part], np.diff(upto[np.cumsum([0, *map(len, words)])]).tolist()
+
+    def add(self, words: list[str]) -> None:
+        """Cuts new words and builds the lattices of the parts that are new."""
+        flat, n = self.cut(words)
         if new := list(set(flat).difference(self.root)):
             self.build(new)
-        return np.fromiter(map(self.root.__getitem__, flat), dtype=np.int64, count=len(flat)), [len(p) for p in parts]
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
+        self.append(first_part=len(self.part_roots) + np.cumsum(n) - n, n_parts=n)
+        self.append(part_roots=np.fromiter(map(self.root.__getitem__, flat), dtype=np.int64, count=len(flat)))
 
     def ids_of(self, edges: np.ndarray) -> np.ndarray:
         a, n = self.id_at[edges], self.id_at[edges + 1] - self.id_at[edges]
@@ -226,10 +271,13 @@ def parts_of(text: str) -> list[str]:
 
 
 def left_aside(lat: Lattices, paths: list[tuple[Search, dict]], k: int) -> list[list[tuple]]:
-    """For each path the best k prefixes that leave it: (value, number of pieces kept, edge,
-    log-probability). The path's heir holds its value; its sisters' numbers are drawn below the
-    heir's. A search ends where what is left has a value within reach only once in 10^8 texts."""
+    """For each path the best prefixes that leave it, as many as may still be taken up or be the
+    largest left out: (value, number of pieces kept, edge, log-probability). The path's heir holds
+    its value; its sisters' numbers are drawn below the heir's. A search ends where what is left has
+    a value within reach only once in 10^8 texts; prefixes that wait from before count as found."""
     found: list[list[tuple]] = [[] for _ in paths]
+    need = [k + 1 - len(s.samples) for s, _ in paths]
+    waiting = [[-q[0] for q in heapq.nsmallest(n, s.queue)] for n, (s, _) in zip(need, paths)]
     phi = np.array([p["phi0"] for _, p in paths])
     start = np.array([p["fixed"] for _, p in paths])
     todo = [i for i, (_, p) in enumerate(paths) if start[i] < len(p["edges"])]
@@ -266,11 +314,12 @@ def left_aside(lat: Lattices, paths: list[tuple[Search, dict]], k: int) -> list[
         bounds = np.searchsorted(doc[ranked], np.arange(len(todo) + 1))
         more = []
         for x, i in enumerate(todo):
-            best = ranked[bounds[x] : min(bounds[x] + k, bounds[x + 1])]
+            best = ranked[bounds[x] : min(bounds[x] + need[i], bounds[x + 1])]
             here = zip(g[best].tolist(), at[which[best]].tolist(), edge[best].tolist(), own[best].tolist())
-            found[i] = sorted([*found[i], *here], key=lambda f: -f[0])[:k]
+            found[i] = sorted([*found[i], *here], key=lambda f: -f[0])[: need[i]]
             start[i] += size[x]
-            if start[i] < len(paths[i][1]["edges"]) and (len(found[i]) < k or phi[i] + NEAR >= found[i][-1][0]):
+            known = sorted([f[0] for f in found[i]] + waiting[i], reverse=True)
+            if start[i] < len(paths[i][1]["edges"]) and (len(known) < need[i] or phi[i] + NEAR >= known[need[i] - 1]):
                 more.append(i)
         todo = more
     return found
@@ -365,7 +414,7 @@ def sample(lat: Lattices, texts: list[str], seeds: np.ndarray, k: int) -> list[S
 
 def decode(lat: Lattices, ids: np.ndarray) -> bytes:
     """The text of the pieces, without the space that is put before a text."""
-    raw = b"".join([lat.bytes_of[i] for i in ids.tolist()])
+    raw = b"".join(map(lat.bytes_of.__getitem__, ids.tolist()))
     return raw[1:] if raw[:1] == b" " else raw
 
 
@@ -382,7 +431,7 @@ def segmentations(docs: DataFrame, model: str, k: int = 2, keep_ids: bool = Fals
             keys, texts = pdf["doc_id"].tolist(), [t or "" for t in pdf["text"]]
             start, size = 0, 0
             for i in range(len(texts) + 1):
-                if i == len(texts) or size > 1_000_000:
+                if i == len(texts) or size > BATCH_CHARS:
                     yield rows(lat, keys[start:i], texts[start:i])
                     start, size = i, 0
                 if i < len(texts):
