@@ -229,8 +229,9 @@ _RANGE = "SELECT '{0}' AS side, " + ", ".join(
 
 @query("a24_feature_ranges", _RANGE.format("train", "tr") + " UNION ALL " + _RANGE.format("test", "te"))
 def a24_ranges(spark, d):
-    train, test = condition_split(spark, d)
-    return rounded(Q.feature_ranges({"train": train, "test": test}, ["avg_corner_speed_kph", "track_temp_c"]))
+    columns = ["avg_corner_speed_kph", "track_temp_c"]
+    train, test = splits.split_chronological(settle(condition_rows(spark, d).select(*SESSION, *columns)))
+    return rounded(Q.feature_ranges({"train": train, "test": test}, columns))
 
 
 @query("a25_max_age_per_circuit", "SELECT circuit, max(tyre_life) AS max_age_laps FROM slaps GROUP BY circuit")
