@@ -172,10 +172,9 @@ def tree_pairs(classes: DataFrame, spec: SetSpec) -> tuple[DataFrame, DataFrame
         large = settle(level.filter(F.col("size") > SMALL), most)
         most = large.count() * 2
         # A node that keeps half of the rows it comes from, or is large at the last level, holds
-        # sets that are much alike: branching would only copy them. A root tells by its sketches.
+        # sets that are much alike: branching would only copy them.
         if depth == 0:
-            large = large.join(settle(alike_nodes(large), most), "node")
-            keeps = F.col("alike")
+            keeps = F.lit(False)
         else:
             keeps = F.lit(True) if depth == LEVELS else F.col("size") * 2 >= F.col("before")
         alike.append(large.filter(keeps).select("node", "doc"))
@@ -210,15 +209,6 @@ def bit_sums(large: DataFrame) -> DataFrame:
     return large.groupBy("node").agg(F.count("*").alias("size"), *[F.sum(bit(c, i)).alias(f"{c}{i}") for c in BITS for i in range(64)])
 
 
-def alike_nodes(large: DataFrame) -> DataFrame:
-    """(node, alike): whether a branch is expected to keep half of a node's rows. A minwise token
-    keeps a pair as often as the pair is similar, and two sketches have (1 + similarity) / 2 equal bits,
-    so this is whether all pairs together have three quarters."""
-    n = F.col("size").cast("double")
-    equal = reduce(Column.__add__, [F.col(f"{c}{i}") * (F.col(f"{c}{i}") - F.lit(1.0)) + (n - F.col(f"{c}{i}")) * (n - F.col(f"{c}{i}") - 1) for c in BITS for i in range(64)])
-    return bit_sums(large).select("node", (equal >= F.lit(0.75 * FUNCTIONS) * n * (n - 1)).alias("alike"))
-
-
 def pivots_of(large: DataFrame, most: int) -> DataFrame:
     """PIVOTS members of each large node: in each of as many parts of it, the member most like
     the node's average, which is linked to most others. `most` is what `large` has of rows."""
