@@ -28,7 +28,7 @@ import math
 import re
 import zlib
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -38,11 +38,13 @@ from pyspark.sql import functions as F
 SPACE_SIGN = "▁"
 PARTS = re.compile(f"\n|{SPACE_SIGN}+[^{SPACE_SIGN}\n]*|[^{SPACE_SIGN}\n]+")
 BYTE_WEIGHT = -12.0  # of each byte of a character without a piece
-KEEP = 150_000  # words whose lattices are kept, in some 100 MB
+KEEP = 300_000  # words whose lattices are kept, in some 200 MB
 NEAR = 18.0
 BATCH_CHARS = 1_000_000
-CHUNK = 64  # places of a path that are looked at in one go
+CHUNK = 256  # places of a path that are looked at in one go
 DIRECTORY = 20  # leading bits of a hash by which its place among the pieces is looked up
+RUN = 1 << 15  # pieces that are spelled in one go
+SEVERAL = 2**16 - 1  # in place of an id
 U = np.uint64
 
 
@@ -100,14 +102,18 @@ class Lattices:
         self.directory = np.searchsorted(self.keys[:-1], np.arange(2**DIRECTORY, dtype=U) << U(64 - DIRECTORY))
         rank = np.maximum(1, np.arange(model.get_piece_size()) - 258)
         self.weight = -np.log(rank + 2.7)
+        self.letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
+        self.flat = np.frombuffer(b"".join(self.bytes_of), dtype=np.uint8)  # the bytes of all pieces, one after another
+        self.n_bytes = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
+        self.bytes_at = np.cumsum(self.n_bytes) - self.n_bytes
         self.room: dict[str, np.ndarray] = {}
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}  # of each word; first_part, n_parts and part_roots go by it
         self.root: dict[str, int] = {}
-        # `first` has the first edge of each state, `id_at` the first id of each edge.
-        kinds = {"first": np.int64, "target": np.int32, "logp": float, "upto": float, "id_at": np.int32, "ids": np.uint16}
+        # `first` has the first edge of each state, `id_at` the first id of each edge, `sole` its only one or `SEVERAL`.
+        kinds = {"first": np.int64, "target": np.int32, "logp": float, "upto": float, "id_at": np.int32, "ids": np.uint16, "sole": np.uint16}
         for name, kind in (kinds | dict.fromkeys(("first_part", "n_parts", "part_roots"), np.int64)).items():
             setattr(self, name, np.empty(0, dtype=kind))
         self.append(first=[0], id_at=[0])
@@ -128,12 +134,14 @@ class Lattices:
         text = "".join(words)
         code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(U)
         size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        whole = np.fromiter((w.lstrip(SPACE_SIGN).isalpha() for w in words), dtype=bool, count=len(words))
-        pair = code[:-1] << U(32) | code[1:]
-        begins = np.ones(len(code), dtype=bool)
-        begins[1:] = self.pairs[np.searchsorted(self.pairs, pair)] != pair
-        begins[np.repeat(whole, size)] = False
         first = np.cumsum(size) - size
+        letter = self.letter[code]
+        whole = np.logical_or.reduceat(letter, first) & np.logical_and.reduceat(letter | (code == ord(SPACE_SIGN)), first)
+        begins = np.repeat(~whole, size)
+        begins[first] = True
+        inside = np.nonzero(begins[1:])[0]
+        pair = code[inside] << U(32) | code[inside + 1]
+        begins[inside + 1] = self.pairs[np.searchsorted(self.pairs, pair)] != pair
         begins[first] = True
         at = np.nonzero(begins)[0].tolist()
         return [text[i:j] for i, j in zip(at, [*at[1:], len(text)])], np.add.reduceat(begins, first, dtype=np.int64)
@@ -205,7 +213,7 @@ class Lattices:
         for e in spelled:
             ids[id_at[e] : id_at[e] + n_ids[e]] = [self.byte_ids[b] for b in raw[int(code[start[e]])]]
         self.append(first=first[1:] + len(self.target), target=np.where(last, -1, base + start + length), logp=logp, upto=upto)
-        self.append(id_at=self.id_at[-1] + np.cumsum(n_ids), ids=ids)
+        self.append(id_at=self.id_at[-1] + np.cumsum(n_ids), ids=ids, sole=np.where(n_ids == 1, ids[id_at], SEVERAL))
 
     def roots(self, texts: list[str]) -> tuple[np.ndarray, list[int]]:
         """The root states of the parts of all texts, and how many each text has."""
@@ -213,9 +221,12 @@ class Lattices:
             self.clear()
         words = [parts_of(t) for t in texts]
         flat = list(chain.from_iterable(words))
-        if new := list(set(flat).difference(self.number)):
-            self.add(new)
-        number = np.fromiter(map(self.number.__getitem__, flat), dtype=np.int64, count=len(flat))
+        number = np.fromiter(map(self.number.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
+        late = np.nonzero(number < 0)[0]
+        if len(late):
+            missing = [flat[i] for i in late.tolist()]
+            self.add(list(dict.fromkeys(missing)))
+            number[late] = np.fromiter(map(self.number.__getitem__, missing), dtype=np.int64, count=len(late))
         n = self.n_parts[number]
         upto = np.concatenate([[0], np.cumsum(n)])
         part = np.repeat(self.first_part[number] - upto[:-1], n) + np.arange(upto[-1])
@@ -231,11 +242,17 @@ class Lattices:
         self.append(part_roots=np.fromiter(map(self.root.__getitem__, flat), dtype=np.int64, count=len(flat)))
 
     def ids_of(self, edges: np.ndarray) -> np.ndarray:
-        a, n = self.id_at[edges], self.id_at[edges + 1] - self.id_at[edges]
-        if (n == 1).all():
-            return self.ids[a]
-        at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return self.ids[at]
+        ids = self.sole[edges]
+        more = np.nonzero(ids == SEVERAL)[0]
+        if not len(more):
+            return ids
+        n = np.ones(len(edges), dtype=np.int64)
+        n[more] = self.id_at[edges[more] + 1] - self.id_at[edges[more]]
+        out = np.repeat(ids, n)
+        begin = (np.cumsum(n) - n)[more]
+        for i, a, m in zip(begin.tolist(), self.id_at[edges[more]].tolist(), n[more].tolist()):
+            out[i : i + m] = self.ids[a : a + m]
+        return out
 
     def walk(self, state: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Draws each part's way to its end from the given state: the edges in order, and how
@@ -267,59 +284,66 @@ class Lattices:
 
 def parts_of(text: str) -> list[str]:
     """The parts of a text that no piece crosses."""
-    return PARTS.findall(SPACE_SIGN + text.replace(" ", SPACE_SIGN)) if text else []
+    if not text:
+        return []
+    text = SPACE_SIGN + text.replace(" ", SPACE_SIGN)
+    if SPACE_SIGN * 2 in text or "\0" in text:
+        return PARTS.findall(text)
+    return list(filter(None, text.replace(SPACE_SIGN, "\0" + SPACE_SIGN).replace("\n", "\0\n\0").split("\0")))
 
 
 def left_aside(lat: Lattices, paths: list[tuple[Search, dict]], k: int) -> list[list[tuple]]:
     """For each path the best prefixes that leave it, as many as may still be taken up or be the
     largest left out: (value, number of pieces kept, edge, log-probability). The path's heir holds
-    its value; its sisters' numbers are drawn below the heir's. A search ends where what is left has
+    its value; its sisters' numbers are drawn below it. A search ends where what is left has
     a value within reach only once in 10^8 texts; prefixes that wait from before count as found."""
     found: list[list[tuple]] = [[] for _ in paths]
     need = [k + 1 - len(s.samples) for s, _ in paths]
     waiting = [[-q[0] for q in heapq.nsmallest(n, s.queue)] for n, (s, _) in zip(need, paths)]
     phi = np.array([p["phi0"] for _, p in paths])
     start = np.array([p["fixed"] for _, p in paths])
+    reach = np.array([p["value"] for _, p in paths]) - NEAR  # places before which a path falls below are not looked at
     todo = [i for i, (_, p) in enumerate(paths) if start[i] < len(p["edges"])]
     while todo:
         size = np.array([min(CHUNK, len(paths[i][1]["edges"]) - start[i]) for i in todo])
         chosen = np.concatenate([paths[i][1]["edges"][start[i] : start[i] + n] for i, n in zip(todo, size)])
-        state = np.concatenate([paths[i][1]["states"][start[i] : start[i] + n] for i, n in zip(todo, size)])
-        owner = np.repeat(np.arange(len(todo)), size)
         begin = np.cumsum(size) - size
-        at = np.arange(len(chosen)) - begin[owner] + start[todo][owner]
         run = np.concatenate([[0.0], np.cumsum(lat.logp[chosen], dtype=np.longdouble)])
-        before = phi[todo][owner] + (run[:-1] - run[begin][owner]).astype(float)
-        phi[todo] += (run[begin + size] - run[begin]).astype(float)
-        seed = uniform(np.array([paths[i][0].seed for i in todo], dtype=U)[owner], np.array([paths[i][1]["number"] for i in todo])[owner], at)
-        top = before - np.log(-np.log(seed))  # the largest number of each place
+        before = np.repeat(phi[todo], size) + (run[:-1] - np.repeat(run[begin], size)).astype(float)
+        look = before >= np.repeat(reach[todo], size)
+        look[begin] = True
+        size = np.add.reduceat(look, begin, dtype=np.int64)
+        stop = begin + size
+        within = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        chosen, before = chosen[within], before[within]
+        phi[todo] += (run[stop] - run[begin]).astype(float)
+        state = np.concatenate([paths[i][0].states(paths[i][1], start[i], start[i] + n) for i, n in zip(todo, size)])
+        at = within + np.repeat(start[todo] - begin, size)
+        seed = uniform(np.repeat(np.array([paths[i][0].seed for i in todo], dtype=U), size), np.repeat(np.array([paths[i][1]["number"] for i in todo]), size), at)
         seed = (seed * 2.0**53).astype(U)
-        value = np.array([paths[i][1]["value"] for i in todo])[owner]
         first = lat.first[state]
         n = lat.first[state + 1] - first
+        n_before = np.cumsum(n) - n
         which = np.repeat(np.arange(len(chosen)), n)
-        order = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-        edge = first[which] + order
-        sister = edge != chosen[which]
-        which, order, edge = which[sister], order[sister], edge[sister]
-        own = before[which] + lat.logp[edge]
-        free = own - np.log(-np.log(uniform(seed[which], order)))
-        below = -np.logaddexp(-top[which], -free)  # a Gumbel number around `own`, given that it is below `top`
-        gap = np.maximum(top[which] - below, 1e-300)
-        # moved from "below top" to "below value": exp(-g') = exp(-value) - exp(-top) + exp(-below)
-        lead = value[which] - below + np.log(-np.expm1(-gap))
-        g = value[which] - np.maximum(0.0, lead) - np.log1p(np.exp(-np.abs(lead)))
-        doc = owner[which]
-        ranked = np.lexsort((-g, doc))
-        bounds = np.searchsorted(doc[ranked], np.arange(len(todo) + 1))
+        order = np.arange(len(which)) - np.repeat(n_before, n)
+        own = np.repeat(before, n) + lat.logp[np.repeat(first, n) + order]
+        free = own - np.log(-np.log(uniform(np.repeat(seed, n), order)))
+        free[n_before + chosen - first] = -np.inf  # the heir's own
+        bounds = np.concatenate([[0], np.cumsum(np.add.reduceat(n, np.cumsum(size) - size))])
         more = []
         for x, i in enumerate(todo):
-            best = ranked[bounds[x] : min(bounds[x] + need[i], bounds[x + 1])]
-            here = zip(g[best].tolist(), at[which[best]].tolist(), edge[best].tolist(), own[best].tolist())
-            found[i] = sorted([*found[i], *here], key=lambda f: -f[0])[: need[i]]
+            here = free[bounds[x] : bounds[x + 1]]
+            best = np.argpartition(here, -need[i])[-need[i] :] if len(here) > need[i] else np.arange(len(here))
+            best = bounds[x] + best[here[best] > -np.inf]
+            # a Gumbel number around `own`, given that it is below the path's value
+            g = -np.logaddexp(-paths[i][1]["value"], -free[best])
+            place = which[best]
+            new = zip(g.tolist(), at[place].tolist(), (first[place] + order[best]).tolist(), own[best].tolist())
+            found[i] = sorted([*found[i], *new], key=lambda f: -f[0])[: need[i]]
             start[i] += size[x]
             known = sorted([f[0] for f in found[i]] + waiting[i], reverse=True)
-            if start[i] < len(paths[i][1]["edges"]) and (len(known) < need[i] or phi[i] + NEAR >= known[need[i] - 1]):
+            reach[i] = known[need[i] - 1] - NEAR if len(known) >= need[i] else -np.inf
+            if start[i] < len(paths[i][1]["edges"]) and phi[i] >= reach[i]:
                 more.append(i)
         todo = more
     return found
@@ -328,11 +352,11 @@ def left_aside(lat: Lattices, paths: list[tuple[Search, dict]], k: int) -> list[
 class Search:
     """The samples of one text, best first."""
 
-    def __init__(self, lat: Lattices, roots: np.ndarray, seed: int, k: int):
+    def __init__(self, lat: Lattices, roots: np.ndarray, seed: int, u: float, k: int):
         self.lat, self.roots, self.seed, self.k = lat, roots, seed, k
         self.samples: list[dict] = []
         self.queue: list[tuple] = []
-        self.waiting: tuple | None = (-math.log(-math.log(uniform(np.full(1, seed, dtype=U), 0, 0)[0])), None, 0, -1, 0.0)
+        self.waiting: tuple | None = (-math.log(-math.log(u)), None, 0, -1, 0.0)
 
     def todo(self) -> np.ndarray | None:
         """The states from which parts have to be walked for the next sample."""
@@ -349,24 +373,25 @@ class Search:
         states[0] = self.lat.target[edge]
         return states
 
-    def found(self, edges: np.ndarray, count: np.ndarray) -> dict:
+    def found(self, edges: np.ndarray, logp: np.ndarray, ends: np.ndarray) -> dict:
+        """Takes up the way walked: its edges, their log-probabilities, and how many up to each part's end."""
         value, parent, n, edge, phi0 = self.waiting
-        whole = np.concatenate([self.kept, edges]).astype(np.int64)
-        if parent is None:
-            ends = np.cumsum(count)
-        else:
-            old = self.samples[parent]["ends"]
-            ends = np.concatenate([old[: self.part], n + 1 + np.cumsum(count)])
-        path = {"value": value, "edges": whole, "ends": ends, "phi0": phi0, "fixed": len(self.kept), "number": len(self.samples) + 1}
-        path["phi"] = phi0 + float(self.lat.logp[edges].sum())
-        states = np.empty(len(whole), dtype=np.int64)
-        if len(whole):
-            states[1:] = self.lat.target[whole[:-1]]
-            states[np.concatenate([[0], ends[:-1]]).astype(np.int64)] = self.roots
-        path["states"] = states
+        if parent is not None:
+            edges = np.concatenate([self.kept, edges])
+            ends = np.concatenate([self.samples[parent]["ends"][: self.part], n + 1 + ends])
+        path = {"value": value, "edges": edges, "ends": ends, "phi0": phi0, "fixed": len(self.kept), "number": len(self.samples) + 1}
+        path["phi"] = phi0 + float(logp.sum())
         self.samples.append(path)
         return path
 
+    def states(self, path: dict, start: int, stop: int) -> np.ndarray:
+        """The states that a path's edges from `start` up to `stop` leave."""
+        states = np.full(stop - start, -1, dtype=np.int64)
+        states[int(start == 0) :] = self.lat.target[path["edges"][max(start, 1) - 1 : stop - 1]]
+        at = np.nonzero(states < 0)[0]
+        states[at] = self.roots[np.searchsorted(path["ends"], at + start, side="right")]
+        return states
+
     def go_on(self, aside: list[tuple]) -> None:
         for g, i, e, own in aside:
             heapq.heappush(self.queue, (-g, len(self.samples) - 1, i, e, own))
@@ -391,7 +416,7 @@ def sample(lat: Lattices, texts: list[str], seeds: np.ndarray, k: int) -> list[S
     """The k samples of each text. Parts of all texts are walked together."""
     roots, sizes = lat.roots(texts)
     at = np.cumsum([0, *sizes])
-    searches = [Search(lat, roots[at[i] : at[i + 1]], int(s), k) for i, s in enumerate(seeds)]
+    searches = [Search(lat, roots[at[i] : at[i + 1]], int(s), u, k) for i, (s, u) in enumerate(zip(seeds, uniform(seeds, 0, 0).tolist()))]
     for turn in range(k):
         todo = [(s, states) for s in searches if (states := s.todo()) is not None]
         if not todo:
@@ -401,21 +426,31 @@ def sample(lat: Lattices, texts: list[str], seeds: np.ndarray, k: int) -> list[S
         inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         seed = (uniform(owner, turn + 1000, inside) * 2.0**53).astype(U)
         edges, count = lat.walk(np.concatenate([x for _, x in todo]) if todo else np.empty(0, np.int64), seed)
+        logp = lat.logp[edges]
         part_end, edge_end = np.cumsum(sizes), np.cumsum(count)
         paths = []
         for i, (s, states) in enumerate(todo):
             a, b = part_end[i] - sizes[i], part_end[i]
             lo, hi = (edge_end[a - 1] if a else 0), (edge_end[b - 1] if b else 0)
-            paths.append((s, s.found(edges[lo:hi], count[a:b])))
+            paths.append((s, s.found(edges[lo:hi], logp[lo:hi], edge_end[a:b] - lo)))
         for (s, _), aside in zip(paths, left_aside(lat, paths, k)):
             s.go_on(aside)
     return searches
 
 
-def decode(lat: Lattices, ids: np.ndarray) -> bytes:
-    """The text of the pieces, without the space that is put before a text."""
-    raw = b"".join(map(lat.bytes_of.__getitem__, ids.tolist()))
-    return raw[1:] if raw[:1] == b" " else raw
+def decode(lat: Lattices, samples: list[np.ndarray]) -> list[bytes]:
+    """The text of each sample's pieces, without the space that is put before a text."""
+    ids = np.concatenate([np.empty(0, dtype=np.uint16), *samples])
+    upto = np.concatenate([[0], np.cumsum(lat.n_bytes[ids])])
+    out = np.empty(upto[-1], dtype=np.uint8)
+    for i in range(0, len(ids), RUN):
+        some = ids[i : i + RUN]
+        begin = upto[i : i + len(some)]
+        at = np.repeat(lat.bytes_at[some] - begin, lat.n_bytes[some])
+        at += np.arange(begin[0], begin[0] + len(at))
+        np.take(lat.flat, at, out=out[begin[0] : begin[0] + len(at)])
+    raw, ends = out.tobytes(), upto[np.cumsum([0, *map(len, samples)])].tolist()
+    return [raw[i + (raw[i : min(i + 1, j)] == b" ") : j] for i, j in zip(ends, ends[1:])]
 
 
 SAMPLES = "doc_id long, rank int, n_pieces long, ids_crc32 long, log_prob double, perturbed double, log_inclusion double, decoded_crc32 long, round_trip boolean"
@@ -441,11 +476,12 @@ def segmentations(docs: DataFrame, model: str, k: int = 2, keep_ids: bool = Fals
         known = [x is not None and x is not pd.NA and x == x for x in keys]
         seeds = np.array([int(x) if ok else 0 for x, ok in zip(keys, known)], dtype=np.int64).view(U)
         out = []
-        for key, ok, text, s in zip(keys, known, texts, sample(lat, texts, seeds, k)):
+        searches = sample(lat, texts, seeds, k)
+        found = [lat.ids_of(p["edges"]) for s in searches for p in s.samples]
+        pieces = zip(found, decode(lat, found))
+        for key, ok, text, s in zip(keys, known, texts, searches):
             want = text.encode("utf-8", "replace")
-            for rank, p in enumerate(s.samples):
-                ids = lat.ids_of(p["edges"])
-                back = decode(lat, ids)
+            for (rank, p), (ids, back) in zip(enumerate(s.samples), pieces):
                 row = (int(key) if ok else None, rank + 1, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), round(p["phi"], 9), round(p["value"], 9), round(s.log_inclusion(p["phi"]), 9), zlib.crc32(back), back == want)
                 out.append((*row, ids.tolist()) if keep_ids else row)
         return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")]).astype({"doc_id": "Int64"})
