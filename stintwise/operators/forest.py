@@ -59,7 +59,7 @@ class ForestModel:
     spec: ForestSpec
     encoder: PipelineModel
     nodes: DataFrame  # as `nodes.node_table`, with the training rows that end at each
-    parts: list[N.Run]  # the same, as tasks read it
+    parts: list[N.Pass]  # the same, as tasks read it
 
     @property
     def leaf_rows(self) -> DataFrame:
@@ -222,11 +222,14 @@ def tune(
     shapes = list(product(depths, counts))
     found = {}
     for trial, table in zip(trials, fits):
-        values = N.score_shorter(tested, N.runs(table), depths, counts)
+        sent = N.runs(table)
+        values = N.score_shorter(tested, sent, depths, counts)
         each = values.select(TARGET, F.posexplode("_values").alias("shape", PREDICTED))
         for row in metrics(each, ["shape"]).collect():  # a row per depth and number of trees
             depth, trees = shapes[row["shape"]]
             found[replace(trial, depth=depth, trees=trees)] = row["r2"]
+        for part in sent:
+            part.release()
     chosen = [replace(spec, **dict(zip(grid, combo))) for combo in product(*grid.values())]
     return [(c, found[replace(c, depth=c.depth or MAX_DEPTH)]) for c in chosen]
 

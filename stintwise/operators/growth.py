@@ -5,6 +5,7 @@ Poisson(1) times, from a hash of the row, so a fit depends on neither order nor
 draws are summed once per cell and tree, and the levels read those sums: they grow with the cells
 in use, not with the rows. A level is one shuffle: tasks count their cells by (tree, node, input,
 bin), the counts of a few nodes meet in a group, and a row per node, its best split, comes back.
+Trees grow in groups whose nodes the driver can hold, whatever the size of the forest.
 Targets are whole multiples of a small step, so that all sums are exact.
 """
 
@@ -16,10 +17,11 @@ from math import ceil, factorial, log2
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stintwise.operators.lookup import settle
+from stintwise.operators.lookup import scratch_path, settle
 
 CHUNKS = 32  # runs of trees, each a row of sums per block of cells
 BLOCK = 8192  # cells
@@ -27,6 +29,8 @@ GATHERED = 32 * BLOCK  # cells that a task counts together
 PIECE = 64  # nodes of a tree whose counts meet in a group
 AT_ONCE = 4096  # nodes of a tree counted in one pass
 COPIES = 64  # equal rows drawn one by one
+GROWN = 2_097_152  # nodes that the driver holds while their trees grow, some 50 bytes each
+WRITTEN = 262_144  # nodes that the driver writes at once
 CODE = np.dtype(">u2")
 U = np.uint64
 #: Draws by 16 random bits.
@@ -42,6 +46,7 @@ class Design:
     widths: tuple[int, ...]  # bins of each input
     base: float
     step: float
+    rows: int
 
     @property
     def starts(self) -> np.ndarray:
@@ -71,7 +76,7 @@ def design(rows: DataFrame, labels: dict[str, int], numbers: list[str], target:
     cuts = [thresholds(rows, c, bins) for c in numbers]
     return Design(
         (*labels, *numbers), (*[None] * len(labels), *cuts), (*labels.values(), *[len(c) + 1 for c in cuts]),
-        a["lo"], ((a["hi"] - a["lo"]) or 1.0) / steps,
+        a["lo"], ((a["hi"] - a["lo"]) or 1.0) / steps, a["n"],
     )
 
 
@@ -146,7 +151,8 @@ def drawn_sums(rows: DataFrame, d: Design, target: str, trees: int, seed: int) -
             "w": [flat(w, a) for a in cuts], "s": [flat(s, a) for a in cuts],
         })
 
-    return settle(near.mapInPandas(run, SUMS).repartitionByRange(len(range(0, trees, size)), "chunk"))
+    # By the run's own number: no pass over the draws only to find ranges of it.
+    return settle(near.mapInPandas(run, SUMS).repartitionById(len(range(0, trees, size)), "chunk"))
 
 
 @dataclass
@@ -157,7 +163,7 @@ class Tree:
     bin: np.ndarray
     left: np.ndarray
     right: np.ndarray
-    active: np.ndarray
+    active: np.ndarray | None = None
 
 
 def places(tree: Tree, x: np.ndarray, is_label: np.ndarray, depth: int) -> np.ndarray:
@@ -193,21 +199,21 @@ def blocks(batches, columns: int, size: int, trees: int):
         yield gathered()
 
 
-def counted(sums: DataFrame, d: Design, trees: list[Tree], depth: int) -> DataFrame:
-    """(tree, piece, w, s): draws and drawn targets by active node, input and bin, as far as one task saw them."""
-    sent = sums.sparkSession.sparkContext.broadcast(trees)
+def counted(sums: DataFrame, d: Design, sent: Broadcast, trees: int, depth: int) -> DataFrame:
+    """(tree, piece, w, s): draws and drawn targets by active node, input and bin, as far as one task saw
+    them, of the trees that were sent by number."""
     starts, is_label = d.starts, np.array([t is None for t in d.thresholds])
-    width, size = int(starts[-1]), chunk_size(len(trees))
+    width, size = int(starts[-1]), chunk_size(trees)
 
     def run(batches):
-        trees, held, chunk = sent.value, {}, None
-        for first, x, _, w, s in blocks(batches, len(d.columns), size, len(trees)):
+        now, held, chunk = sent.value, {}, None
+        for first, x, _, w, s in blocks(batches, len(d.columns), size, trees):
             if first != chunk:
                 yield from out(held)
                 held, chunk = {}, first
             for i in range(w.shape[1]):
-                tree = trees[first + i]
-                n_active = int(tree.active.max()) + 1
+                tree = now.get(first + i)
+                n_active = int(tree.active.max()) + 1 if tree else 0
                 if not n_active:
                     continue
                 node = tree.active[places(tree, x, is_label, depth)]
@@ -272,91 +278,134 @@ def best_splits(counts: DataFrame, d: Design, min_leaf: int) -> DataFrame:
 
 
 class Growing:
-    """A tree's nodes as lists, on the driver: bounded like the fitted forest."""
+    """A tree's nodes while it grows, on the driver."""
 
     def __init__(self):
-        self.feature, self.bin, self.left, self.right, self.gain, self.w, self.s = ([v] for v in (0, 0, 0, 0, None, None, None))
-        self.open = [0]
-
-    def split(self, node: int, r, min_leaf: int) -> list[int]:
-        """The children that may part again."""
-        self.w[node], self.s[node] = r.w, r.s
-        if r.feature < 0:
-            return []
-        a = len(self.w)
-        self.feature[node], self.bin[node], self.left[node], self.right[node], self.gain[node] = r.feature, r.bin, a, a + 1, r.gain
-        for child, w, s in ((a, r.left_w, r.left_s), (a + 1, r.w - r.left_w, r.s - r.left_s)):
-            for part, v in zip((self.feature, self.bin, self.left, self.right, self.gain, self.w, self.s), (0, 0, child, child, None, w, s)):
-                part.append(v)
-        return [c for c in (a, a + 1) if self.w[c] >= 2 * max(min_leaf, 1)]
-
-    def tree(self, now: list[int]) -> Tree:
+        self.feature, self.bin = np.zeros(1, dtype=np.int16), np.zeros(1, dtype=np.uint16)
+        self.left, self.right = np.zeros(1, dtype=np.int32), np.zeros(1, dtype=np.int32)
+        self.gain, self.w, self.s = np.zeros(1), np.full(1, np.nan), np.full(1, np.nan)
+        self.open, self.rows = np.zeros(1, dtype=np.int32), None
+
+    def split(self, nodes: np.ndarray, r: pd.DataFrame, min_leaf: int) -> np.ndarray:
+        """Takes the splits found for `nodes`; returns the children that may part again."""
+        self.w[nodes], self.s[nodes] = r["w"], r["s"]
+        parts = r["feature"].to_numpy() >= 0
+        at, r = nodes[parts], r[parts]
+        made = len(self.w) + np.arange(2 * len(at), dtype=np.int32)
+        self.feature[at], self.bin[at], self.gain[at] = r["feature"], r["bin"], r["gain"]
+        self.left[at], self.right[at] = made[::2], made[1::2]
+        pair = lambda c: np.stack([r[f"left_{c}"], r[c] - r[f"left_{c}"]], axis=1).ravel()
+        w, s, none = pair("w"), pair("s"), np.zeros(len(made))
+        for name, v in (("feature", none), ("bin", none), ("left", made), ("right", made), ("gain", none), ("w", w), ("s", s)):
+            old = getattr(self, name)
+            setattr(self, name, np.concatenate([old, v.astype(old.dtype)]))
+        return made[w >= 2 * max(min_leaf, 1)]
+
+    def tree(self, now: np.ndarray | None = None) -> Tree:
+        if now is None:
+            return Tree(self.feature, self.bin, self.left, self.right)
         active = np.full(len(self.w), -1, dtype=np.int32)
         active[now] = np.arange(len(now))
-        return Tree(*[np.array(c, dtype=np.int32) for c in (self.feature, self.bin, self.left, self.right)], active)
+        return Tree(self.feature, self.bin, self.left, self.right, active)
+
+
+def grown_together(d: Design, trees: int, depth: int, min_leaf: int) -> int:
+    """Trees whose nodes the driver can hold, in whole runs of `drawn_sums` where it can hold one."""
+    most = min(2 ** (depth + 1), 2 * ceil(d.rows / max(min_leaf, 1)) + 1)
+    held, size = max(1, GROWN // most), chunk_size(trees)
+    return held // size * size or held
 
 
 def grow(sums: DataFrame, d: Design, trees: int, depth: int, min_leaf: int, support: bool = True) -> DataFrame:
     """The fitted forest as `nodes.node_table`, with the training rows that end at each leaf if
-    `support` is asked for."""
-    forest = [Growing() for _ in range(trees)]
+    `support` is asked for. The driver holds the nodes of some trees at a time and writes them."""
+    path, size = scratch_path(sums.sparkSession), chunk_size(trees)
+    step = grown_together(d, trees, depth, min_leaf)
+    for a in range(0, trees, step):
+        b = min(a + step, trees)
+        own = sums.filter(F.col("chunk").between(a // size, (b - 1) // size))
+        forest = {t: Growing() for t in range(a, b)}
+        grow_some(own, d, forest, trees, depth, min_leaf)
+        if support:
+            count_leaf_rows(own, d, forest, trees, depth)
+        write_nodes(sums.sparkSession, forest, d, path)
+    return sums.sparkSession.read.schema(NODES).parquet(path)
+
+
+def grow_some(sums: DataFrame, d: Design, forest: dict[int, Growing], trees: int, depth: int, min_leaf: int) -> None:
     for level in range(depth):
-        following = [[] for _ in forest]
-        for a in range(0, max(len(t.open) for t in forest), AT_ONCE):
-            now = [t.open[a : a + AT_ONCE] for t in forest]
-            found = best_splits(counted(sums, d, [t.tree(n) for t, n in zip(forest, now)], level), d, min_leaf)
-            for r in found.toArrow().to_pandas().sort_values(["tree", "slot"]).itertuples(index=False):  # a row per node
-                if r.w:
-                    following[r.tree] += forest[r.tree].split(now[r.tree][r.slot], r, min_leaf)
-        for t, nodes in zip(forest, following):
-            t.open = nodes
-        if not any(following):
+        following = {number: [] for number in forest}
+        for a in range(0, max(len(t.open) for t in forest.values()), AT_ONCE):
+            now = {number: t.open[a : a + AT_ONCE] for number, t in forest.items()}
+            sent = sums.sparkSession.sparkContext.broadcast({n: forest[n].tree(nodes) for n, nodes in now.items() if len(nodes)})
+            found = best_splits(counted(sums, d, sent, trees, level), d, min_leaf).toArrow().to_pandas()  # a row per node
+            sent.destroy()
+            for number, r in found[found["w"] > 0].sort_values(["tree", "slot"]).groupby("tree"):
+                following[number].append(forest[number].split(now[number][r["slot"]], r, min_leaf))
+        for number, t in forest.items():
+            t.open = np.concatenate([*following[number], np.empty(0, dtype=np.int32)]).astype(np.int32)
+        if not any(len(t.open) for t in forest.values()):
             break
-    table = node_table(sums.sparkSession, forest, d)
-    return with_leaf_rows(sums, d, forest, depth, table) if support else settle(table.withColumn("rows", F.lit(None).cast("long")))
-
-
-def node_rows(forest: list[Growing], d: Design) -> pd.DataFrame:
-    firsts = d.firsts
-    parts = []
-    for number, t in enumerate(forest):
-        left, right = np.array(t.left), np.array(t.right)
-        inner = left != np.arange(len(left))
-        inner[0] &= left[0] != 0
-        f, b = np.array(t.feature), np.array(t.bin)
-        is_label = np.array([c is None for c in d.thresholds])[f]
-        cut = np.array([0.5 if lab or not i else d.thresholds[c][k] for lab, i, c, k in zip(is_label, inner, f, b)])
-        w, s = np.array(t.w, dtype=np.float64), np.array(t.s, dtype=np.float64)
-        parts.append(pd.DataFrame({
-            "tree": np.int32(number), "node": np.arange(len(left), dtype=np.int32), "feature": np.where(inner, firsts[f] + np.where(is_label, b, 0), -1),
-            "threshold": cut, "left": np.where(inner, left, -1), "right": np.where(inner, right, -1),
-            "value": d.base + d.step * s / w, "gain": [g or 0.0 for g in t.gain], "drawn": w.astype(np.int64),
-        }))
-    return pd.concat(parts, ignore_index=True)
-
-
-def node_table(spark: SparkSession, forest: list[Growing], d: Design) -> DataFrame:
-    rows = pa.Table.from_pandas(node_rows(forest, d), preserve_index=False)
-    inner = lambda c, t="int": F.when(F.col("left") >= 0, F.col(c)).cast(t).alias(c)
-    kept = ["tree", "node", inner("feature"), inner("threshold", "double"), inner("left"), inner("right"), "value", inner("gain", "double"), "drawn"]
-    return spark.createDataFrame(rows).select(*kept)
 
 
-def with_leaf_rows(sums: DataFrame, d: Design, forest: list[Growing], depth: int, table: DataFrame) -> DataFrame:
-    sent = sums.sparkSession.sparkContext.broadcast([t.tree([]) for t in forest])
-    is_label, size = np.array([t is None for t in d.thresholds]), chunk_size(len(forest))
+def count_leaf_rows(sums: DataFrame, d: Design, forest: dict[int, Growing], trees: int, depth: int) -> None:
+    """The number of training rows that end at each leaf."""
+    sent = sums.sparkSession.sparkContext.broadcast({n: t.tree() for n, t in forest.items()})
+    is_label, size = np.array([t is None for t in d.thresholds]), chunk_size(trees)
 
     def count(batches):
-        trees, total = sent.value, {}
-        for first, x, n, w, _ in blocks(batches, len(d.columns), size, len(trees)):
-            for i in range(w.shape[1]):
-                tree = trees[first + i]
-                one = np.bincount(places(tree, x, is_label, depth), n, len(tree.left))
-                total[first + i] = total.get(first + i, 0) + one
+        now, total = sent.value, {}
+        for first, x, n, w, _ in blocks(batches, len(d.columns), size, trees):
+            for number in range(first, first + w.shape[1]):
+                if tree := now.get(number):
+                    one = np.bincount(places(tree, x, is_label, depth), n, len(tree.left))
+                    total[number] = total.get(number, 0) + one
         for number, n in total.items():
             at = np.nonzero(n)[0]
             yield pd.DataFrame({"tree": number, "node": at, "rows": n[at].astype(np.int64)})
 
     found = sums.mapInPandas(count, "tree int, node int, rows long").groupBy("tree", "node").agg(F.sum("rows").alias("rows"))
-    joined = table.join(found, ["tree", "node"], "left")
-    return settle(joined.withColumn("rows", F.coalesce("rows", F.lit(0))))
+    for t in forest.values():
+        t.rows = np.zeros(len(t.w), dtype=np.int64)
+    for number, r in found.toArrow().to_pandas().groupby("tree"):  # a row per leaf
+        forest[number].rows[r["node"]] = r["rows"]
+    sent.destroy()
+
+
+NODES = "tree int, node int, feature int, threshold double, left int, right int, value double, gain double, drawn long, rows long"
+
+
+def node_rows(number: int, t: Growing, d: Design) -> pd.DataFrame:
+    inner = t.left != np.arange(len(t.left))
+    f, b = t.feature.astype(np.int64), t.bin.astype(np.int64)
+    is_label = np.array([c is None for c in d.thresholds])[f]
+    cut = np.full(len(f), 0.5)
+    for i, c in enumerate(d.thresholds):
+        if c is not None:
+            here = inner & (f == i)
+            cut[here] = c[b[here]]
+    return pd.DataFrame({
+        "tree": np.int32(number), "node": np.arange(len(f), dtype=np.int32), "feature": np.where(inner, d.firsts[f] + np.where(is_label, b, 0), -1),
+        "threshold": cut, "left": np.where(inner, t.left, -1), "right": np.where(inner, t.right, -1),
+        "value": d.base + d.step * t.s / t.w, "gain": t.gain, "drawn": t.w.astype(np.int64), "rows": -1 if t.rows is None else t.rows,
+    })
+
+
+def write_nodes(spark: SparkSession, forest: dict[int, Growing], d: Design, path: str) -> None:
+    """Adds trees to the stored table, at most WRITTEN nodes, or a tree, at a time."""
+    inner = lambda c, t="int": F.when(F.col("left") >= 0, F.col(c)).cast(t).alias(c)
+    kept = ["tree", "node", inner("feature"), inner("threshold", "double"), inner("left"), inner("right"), "value", inner("gain", "double"), "drawn",
+            F.when(F.col("rows") >= 0, F.col("rows")).alias("rows")]
+
+    def write(parts: list[pd.DataFrame]) -> None:
+        rows = pa.Table.from_pandas(pd.concat(parts, ignore_index=True), preserve_index=False)
+        spark.createDataFrame(rows).select(*kept).coalesce(1).write.mode("append").parquet(path)
+
+    held, nodes = [], 0
+    for number, t in forest.items():
+        if held and nodes + len(t.w) > WRITTEN:
+            write(held)
+            held, nodes = [], 0
+        held.append(node_rows(number, t, d))
+        nodes += len(t.w)
+    write(held)

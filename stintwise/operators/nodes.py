@@ -4,25 +4,28 @@ A fitted forest becomes one row per node: (tree, node, feature, threshold, left,
 rows). A row of the table says how training rows part there, and what would be predicted if the
 tree ended there. So one table answers for every shallower depth and for every shorter run of trees,
 and where each training row ended is a count by node. Rows are scored in one projection: the table
-is small (trees x 2^(depth + 1) rows at most, whatever the data), is sent to the tasks once its size
-is checked, and is walked for all trees at once. A larger forest is walked a run of trees at a time.
+is small (trees x 2^(depth + 1) rows at most, whatever the data), is sent to the tasks a run of trees
+at a time, so that the driver holds no more, and is walked for all trees at once. A larger forest is
+walked in several passes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 from math import prod
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stintwise.operators.lookup import scratch_path, settle
 
-MOST_NODES = 4_000_000  # sent to a task at once; 40 bytes each
+MOST_NODES = 4_000_000  # walked by a task in one pass; 40 bytes each
+SENT = 262_144  # nodes that the driver holds at once, to send them
 CELLS = 4_000_000  # rows x trees walked at a time
 MOST_KNOWN = 1_000_000  # cells whose answer a task keeps, some 24 bytes each
 FEATURES = "_features"
@@ -75,6 +78,7 @@ class Run:
     rows: np.ndarray
     tree: np.ndarray
     node: np.ndarray
+    first: int = 0  # trees before these
 
     @staticmethod
     def of(table: pd.DataFrame) -> Run:
@@ -128,19 +132,48 @@ class Run:
             out[i] = at
         return np.ascontiguousarray(out.T)
 
+
+@dataclass(frozen=True)
+class Joined:
+    """Runs that a task walks together."""
+
+    runs: list[Run]
+
+    @cached_property
+    def cuts(self) -> list[np.ndarray]:
+        each = [r.cuts for r in self.runs]
+        wide = range(max(map(len, each), default=0))
+        return [np.unique(np.concatenate([c[f] for c in each if f < len(c)])) for f in wide]
+
     def blocks(self, rows: pd.Series):
         """The inputs of some rows at a time."""
-        size = max(1, CELLS // max(len(self.roots), 1))
+        size = max(1, CELLS // max(sum(len(r.roots) for r in self.runs), 1))
         for a in range(0, len(rows), size):
             yield np.stack(rows.iloc[a : a + size].to_list()).astype(np.float64, copy=False)
 
 
+@dataclass(frozen=True)
+class Pass:
+    """Trees that are walked together, as they are sent: in runs of at most SENT nodes, or of one tree."""
+
+    trees: int
+    sent: tuple[Broadcast, ...]
+
+    def read(self) -> Joined:
+        """In a task."""
+        return Joined([b.value for b in self.sent])
+
+    def release(self) -> None:
+        for b in self.sent:
+            b.destroy()
+
+
 class Answers:
-    """What a run gives for rows. Rows in the same cell, between the same thresholds of every input,
+    """What a run, or several, give for rows. Rows in the same cell, between the same thresholds of every input,
     end in the same leaves, so a task walks the trees once per cell, as far as it can keep the
     cells. Where cells can't be numbered by 62 bits every row is walked."""
 
-    def __init__(self, run: Run, walk: Callable[[Run, np.ndarray], np.ndarray]):
+    def __init__(self, run: Run | Joined, walk: Callable[[Run | Joined, np.ndarray], np.ndarray]):
         self.run, self.walk = run, walk
         self.numbered = prod(len(c) + 1 for c in run.cuts) <= 2**62
         self.cells, self.values = np.empty(0, dtype=np.int64), None
@@ -171,95 +204,95 @@ class Answers:
         return found[place]
 
 
-def runs(table: DataFrame) -> list[Run]:
-    """The table as runs of whole trees of at most MOST_NODES nodes, or of one tree."""
+def runs(table: DataFrame) -> list[Pass]:
+    """The table as passes over whole trees of at most MOST_NODES nodes, or over one tree."""
     sizes = [(r["tree"], r["n"]) for r in table.groupBy("tree").agg(F.count("*").alias("n")).orderBy("tree").collect()]  # a row per tree
-    cuts, held = [], 0
+    passes, held, last = [], 0, 0
     for tree, n in sizes:
-        if not cuts or held + n > MOST_NODES:
-            cuts.append([tree, tree])
-            held = 0
-        cuts[-1][1] = tree
-        held += n
-    return [Run.of(table.filter(F.col("tree").between(a, b)).toArrow().to_pandas()) for a, b in cuts]
+        if not passes or held + n > MOST_NODES:
+            passes.append([])
+            held = last = 0
+        if not passes[-1] or last + n > SENT:
+            passes[-1].append([])
+            last = 0
+        passes[-1][-1].append(tree)
+        held, last = held + n, last + n
+    number = {tree: i for i, (tree, _) in enumerate(sizes)}
+
+    def sent(trees: list[int]) -> Broadcast:
+        some = table.filter(F.col("tree").between(trees[0], trees[-1]))
+        run = replace(Run.of(some.toArrow().to_pandas()), first=number[trees[0]])  # SENT nodes at most, or a tree
+        return table.sparkSession.sparkContext.broadcast(run)
 
+    return [Pass(sum(map(len, p)), tuple(map(sent, p))) for p in passes]
 
-def summed(rows: DataFrame, parts: list[Run], outputs: int, walk) -> DataFrame:
-    """Adds `_sums`: over the runs, the sum of `walk(run, x)`, which gives `outputs` numbers a row.
-    Several runs are walked one after another, each reading what the last one wrote."""
 
-    def column(run: Run) -> Column:
-        sent = rows.sparkSession.sparkContext.broadcast(run)
+def summed(rows: DataFrame, parts: list[Pass], walk) -> DataFrame:
+    """Adds `_sums`: over all runs, the sum of `walk(run, x)`, which gives some numbers a row.
+    Several passes are walked one after another, each reading what the last one wrote."""
 
+    def column(part: Pass) -> Column:
         @F.pandas_udf("array<double>")
         def sums(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            answers = Answers(sent.value, walk)
+            joined = part.read()
+            answers = Answers(joined, lambda j, x: sum(walk(run, x) for run in j.runs))
             for x in batches:
-                found = [answers.of(b) for b in sent.value.blocks(x)]
+                found = [answers.of(b) for b in joined.blocks(x)]
                 yield pd.Series(list(np.concatenate(found)) if found else [], dtype=object)
 
         return sums(F.col(FEATURES))
 
     out = rows.withColumn("_sums", column(parts[0]))
-    for run in parts[1:]:
-        out = settle(out).withColumn("_more", column(run))
+    for part in parts[1:]:
+        out = settle(out).withColumn("_more", column(part))
         out = out.withColumn("_sums", F.zip_with("_sums", "_more", lambda a, b: a + b)).drop("_more")
     return out
 
 
-def score(rows: DataFrame, parts: list[Run]) -> DataFrame:
+def score(rows: DataFrame, parts: list[Pass]) -> DataFrame:
     """Adds `_value`, the mean of the leaves' values, and `_rows`, that of their training rows."""
-    trees = float(sum(len(r.roots) for r in parts))
+    trees = float(sum(p.trees for p in parts))
 
     def walk(run: Run, x: np.ndarray) -> np.ndarray:
         at = run.leaves(x)
         return np.stack([run.value[at].sum(1), run.rows[at].sum(1)], axis=1)
 
-    out = summed(rows, parts, 2, walk)
+    out = summed(rows, parts, walk)
     return out.withColumns({"_value": F.get("_sums", 0) / trees, "_rows": F.get("_sums", 1) / trees}).drop("_sums")
 
 
-def score_shorter(rows: DataFrame, parts: list[Run], depths: list[int], counts: list[int]) -> DataFrame:
+def score_shorter(rows: DataFrame, parts: list[Pass], depths: list[int], counts: list[int]) -> DataFrame:
     """Adds `_values`: for each of `depths` and `counts`, in that order, the prediction of the
     first so many trees, ended at that depth."""
-    firsts = np.cumsum([0] + [len(r.roots) for r in parts])
-    number = {id(r): int(a) for r, a in zip(parts, firsts)}
-    named = [(run, number[id(run)]) for run in parts]
-
-    def walker(first: int):
-        def walk(run: Run, x: np.ndarray) -> np.ndarray:
-            at, found = run.start(len(x)), {}
-            for depth in range(1, max(depths) + 1):
-                at = run.step(x, at)
-                if depth in depths:
-                    found[depth] = run.value[at]
-            inside = [min(max(c - first, 0), len(run.roots)) for c in counts]
-            return np.stack([found[d][:, :k].sum(1) / c for d in depths for k, c in zip(inside, counts)], axis=1)
-
-        return walk
-
-    out = None
-    for run, first in named:
-        one = summed(rows if out is None else settle(out), [run], len(depths) * len(counts), walker(first))
-        out = one.withColumnRenamed("_sums", "_values") if out is None else one.withColumn("_values", F.zip_with("_values", "_sums", lambda a, b: a + b)).drop("_sums")
-    return out
+
+    def walk(run: Run, x: np.ndarray) -> np.ndarray:
+        at, found = run.start(len(x)), {}
+        for depth in range(1, max(depths) + 1):
+            at = run.step(x, at)
+            if depth in depths:
+                found[depth] = run.value[at]
+        inside = [min(max(c - run.first, 0), len(run.roots)) for c in counts]
+        return np.stack([found[d][:, :k].sum(1) / c for d in depths for k, c in zip(inside, counts)], axis=1)
+
+    return summed(rows, parts, walk).withColumnRenamed("_sums", "_values")
 
 
-def with_rows(table: DataFrame, parts: list[Run], encoded: DataFrame) -> DataFrame:
+def with_rows(table: DataFrame, parts: list[Pass], encoded: DataFrame) -> DataFrame:
     """The table with the number of rows of `encoded` that end at each node. A task counts its own
     rows first."""
     counted = None
-    for run in parts:
-        sent = encoded.sparkSession.sparkContext.broadcast(run)
+    for part in parts:
 
-        def count(batches, sent=sent):
-            run = sent.value
-            total = np.zeros(len(run.node), dtype=np.int64)
+        def count(batches, part=part):
+            joined = part.read()
+            totals = [np.zeros(len(run.node), dtype=np.int64) for run in joined.runs]
             for pdf in batches:
-                for x in run.blocks(pdf[FEATURES]):
-                    total += np.bincount(run.leaves(x).ravel(), minlength=len(total))
-            at = np.nonzero(total)[0]
-            yield pd.DataFrame({"tree": run.tree[at], "node": run.node[at], "n": total[at]})
+                for x in joined.blocks(pdf[FEATURES]):
+                    for run, total in zip(joined.runs, totals):
+                        total += np.bincount(run.leaves(x).ravel(), minlength=len(total))
+            for run, total in zip(joined.runs, totals):
+                at = np.nonzero(total)[0]
+                yield pd.DataFrame({"tree": run.tree[at], "node": run.node[at], "n": total[at]})
 
         one = encoded.select(FEATURES).mapInPandas(count, "tree int, node int, n long")
         counted = one if counted is None else counted.unionByName(one)
