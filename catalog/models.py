@@ -578,19 +578,19 @@ def driver_trials() -> list[tuple[bool, RF.ForestSpec]]:
 
 @query("m17_driver_features")
 def m17_driver(spark, d):
-    """Validation metrics without the driver's inputs, and with them at each depth."""
+    """Validation metrics without the driver's inputs, and with them at each depth; trials that
+    differ by depth alone share a fit."""
     train, _ = record_split(spark, d)
     tune, validation = splits.split_chronological(train)
-    trials = driver_trials()
-    fits = RF.side_by_side([lambda spec=spec: RF.fit_forest(tune, spec) for _, spec in trials])
+    shared = {}
+    for wide, spec in driver_trials():
+        shared.setdefault((wide, replace(spec, depth=None)), []).append(spec.depth)
+    found = RF.side_by_side([lambda spec=spec, depths=depths: RF.depth_metrics(tune, E.valid_rows(validation), depths, spec) for (_, spec), depths in shared.items()])
     out = None
-    for (wide, spec), model in zip(trials, fits):
-        one = E.metrics(RF.predict_forest(model, E.valid_rows(validation))).withColumns({
-            "driver_features": F.lit(wide), "depth": F.lit(spec.depth),
-            "n_training": F.lit(model.nodes.filter("tree = 0").agg(F.sum("rows")).first()[0]),
-        })
+    for (wide, _), one in zip(shared, found):
+        one = one.withColumn("driver_features", F.lit(wide))
         out = one if out is None else out.unionByName(one)
-    return rounded(out)
+    return rounded(out.select("mae", "rmse", "r2", "n_samples", "n_dropped", "driver_features", "depth", "n_training"))
 
 
 @query("m18_row_folds_against_race_folds")

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from stintwise.operators import growth as G
 from stintwise.operators import nodes as N
 from stintwise.operators.evaluate import PREDICTED, TARGET, metrics, training_rows
+from stintwise.operators.lookup import settle
 from stintwise.schema import require_columns
 from stintwise.settings import DEFAULTS, Settings
 
@@ -109,8 +110,8 @@ def training_frame(train: DataFrame, spec: ForestSpec) -> DataFrame:
 
 
 def dealt(frame: DataFrame) -> DataFrame:
-    """The rows of a fit, evenly over all cores and kept: every level of the trees reads them."""
-    return frame.repartition(frame.sparkSession.sparkContext.defaultParallelism).persist()
+    """The rows of a fit, evenly over all cores and written: every input's thresholds are found in them."""
+    return settle(frame.repartition(frame.sparkSession.sparkContext.defaultParallelism))
 
 
 def encode(encoder: PipelineModel, rows: DataFrame, keep: list) -> DataFrame:
@@ -134,11 +135,7 @@ def fitted(frame: DataFrame, spec: ForestSpec, support: bool = True) -> tuple[Pi
 
 def fit_forest(train: DataFrame, spec: ForestSpec = ForestSpec(), s: Settings = DEFAULTS) -> ForestModel:
     """Fit, and count the training rows in every leaf."""
-    frame = dealt(training_frame(train, spec))
-    try:
-        encoder, table = fitted(frame, spec)
-    finally:
-        frame.unpersist()
+    encoder, table = fitted(dealt(training_frame(train, spec)), spec)
     return ForestModel(spec, encoder, table, N.runs(table))
 
 
@@ -208,16 +205,13 @@ def tune(
     largest = replace(spec, depth=max(depths), trees=max(counts))
     trials = [replace(largest, **dict(zip(others, combo))) for combo in product(*others.values())]
     frame = dealt(training_frame(train, spec))
-    try:
-        # Trials that draw and bin alike read the same sums.
-        ready = {}
-        for t in trials:
-            if (t.bins, t.seed) not in ready:
-                ready[t.bins, t.seed] = drawn(frame, t)
-        encoder = ready[trials[0].bins, trials[0].seed][0]
-        fits = side_by_side([lambda t=t: G.grow(*ready[t.bins, t.seed][:0:-1], t.trees, t.depth, t.min_leaf, False) for t in trials])
-    finally:
-        frame.unpersist()
+    # Trials that draw and bin alike read the same sums.
+    ready = {}
+    for t in trials:
+        if (t.bins, t.seed) not in ready:
+            ready[t.bins, t.seed] = drawn(frame, t)
+    encoder = ready[trials[0].bins, trials[0].seed][0]
+    fits = side_by_side([lambda t=t: G.grow(*ready[t.bins, t.seed][:0:-1], t.trees, t.depth, t.min_leaf, False) for t in trials])
     tested = encode(encoder, _numbers(validation.filter(is_complete(spec)), spec), [TARGET])
     shapes = list(product(depths, counts))
     found = {}
@@ -234,6 +228,24 @@ def tune(
     return [(c, found[replace(c, depth=c.depth or MAX_DEPTH)]) for c in chosen]
 
 
+def depth_metrics(train: DataFrame, validation: DataFrame, depths: list[int], spec: ForestSpec) -> DataFrame:
+    """Validation metrics at each of `depths`, and the training rows. One fit, the deepest: the
+    shallower forests are the same trees ended earlier. Rows that lack an input count as dropped."""
+    frame = dealt(training_frame(train, spec))
+    encoder, table = fitted(frame, replace(spec, depth=max(depths)), False)
+    rows = encode(encoder, _numbers(validation, spec), [TARGET, is_complete(spec).alias("_whole")])
+    sent = N.runs(table)
+    scored = settle(N.score_shorter(rows, sent, depths, [spec.trees]).select(TARGET, "_whole", "_values"))
+    for part in sent:
+        part.release()
+    n = F.lit(frame.count()).alias("n_training")
+    each = [
+        metrics(scored.withColumn(PREDICTED, F.when(F.col("_whole"), F.get("_values", i)))).select("*", F.lit(depth).alias("depth"), n)
+        for i, depth in enumerate(depths)
+    ]
+    return reduce(DataFrame.unionByName, each)
+
+
 def best(results: list[tuple[ForestSpec, float]]) -> ForestSpec:
     return max(results, key=lambda r: r[1])[0]
 
@@ -252,11 +264,7 @@ def fold_r2(df: DataFrame, fold_by: dict[str, list[str]], folds: int = 3, spec:
         held = encode(encoder, frame.filter(F.col(column) == k), [TARGET])
         return metrics(N.score(held, N.runs(table)).withColumnRenamed("_value", PREDICTED)).first()["r2"]
 
-    try:
-        frame.count()  # kept before the fits start
-        values = side_by_side([lambda c=c, k=k: one(c, k) for c in parts for k in range(folds)])
-    finally:
-        frame.unpersist()
+    values = side_by_side([lambda c=c, k=k: one(c, k) for c in parts for k in range(folds)])
     return {name: sum(values[i * folds : (i + 1) * folds]) / folds for i, name in enumerate(fold_by)}
 
 

@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from stintwise.operators.lookup import scratch_path, settle
 
 CHUNKS = 32  # runs of trees, each a row of sums per block of cells
-BLOCK = 8192  # cells
-GATHERED = 32 * BLOCK  # cells that a task counts together
+BLOCK = 1024  # cells: with a run's sums, a row of some 100 kB
+GATHERED = 131_072  # cells that a task counts together
+ROW_GROUP = 16 << 20  # bytes of sums that a task reads at once
 PIECE = 64  # nodes of a tree whose counts meet in a group
 AT_ONCE = 4096  # nodes of a tree counted in one pass
 COPIES = 64  # equal rows drawn one by one
@@ -129,19 +130,23 @@ def drawn_sums(rows: DataFrame, d: Design, target: str, trees: int, seed: int) -
         for pdf in batches:
             if not len(pdf):
                 continue
-            x = np.frombuffer(b"".join(pdf["cell"]), dtype=CODE).reshape(len(pdf), -1)
-            n = pdf["n"].to_numpy()
-            at = np.nonzero(np.concatenate([[True], (x[1:] != x[:-1]).any(1)]))[0]
-            w = draws(pdf["key"].to_numpy().view(U), n, trees, seed)
-            s = np.add.reduceat(w * pdf["y"].to_numpy(dtype=np.float64)[:, None], at, axis=0)
-            held.append((x[at].astype(np.uint16), np.add.reduceat(n, at), np.add.reduceat(w, at, axis=0, dtype=np.int32), s))
-            cells += len(at)
-            if cells >= BLOCK:
-                yield block(held)
-                held, cells = [], 0
+            for a in range(0, len(pdf), BLOCK):
+                held.append(summed(pdf.iloc[a : a + BLOCK]))
+                cells += len(held[-1][0])
+                if cells >= BLOCK:
+                    yield block(held)
+                    held, cells = [], 0
         if held:
             yield block(held)
 
+    def summed(pdf):
+        x = np.frombuffer(b"".join(pdf["cell"]), dtype=CODE).reshape(len(pdf), -1)
+        n = pdf["n"].to_numpy()
+        at = np.nonzero(np.concatenate([[True], (x[1:] != x[:-1]).any(1)]))[0]
+        w = draws(pdf["key"].to_numpy().view(U), n, trees, seed)
+        s = np.add.reduceat(w * pdf["y"].to_numpy(dtype=np.float64)[:, None], at, axis=0)
+        return x[at].astype(np.uint16), np.add.reduceat(n, at), np.add.reduceat(w, at, axis=0, dtype=np.int32), s
+
     def block(held):
         x, n, w, s = (np.concatenate(part) for part in zip(*held))
         cuts = range(0, trees, size)
@@ -152,7 +157,7 @@ def drawn_sums(rows: DataFrame, d: Design, target: str, trees: int, seed: int) -
         })
 
     # By the run's own number: no pass over the draws only to find ranges of it.
-    return settle(near.mapInPandas(run, SUMS).repartitionById(len(range(0, trees, size)), "chunk"))
+    return settle(near.mapInPandas(run, SUMS).repartitionById(len(range(0, trees, size)), "chunk"), **{"parquet.block.size": ROW_GROUP})
 
 
 @dataclass
@@ -221,19 +226,21 @@ def counted(sums: DataFrame, d: Design, sent: Broadcast, trees: int, depth: int)
                 if not len(use):
                     continue
                 if first + i not in held:
-                    held[first + i] = np.zeros((2, n_active * width))
-                key = (node[use].astype(np.int64)[:, None] * width + starts[:-1] + x[use]).ravel()
-                for total, part in zip(held[first + i], (w, s)):
-                    total += np.bincount(key, np.repeat(part[use, i], x.shape[1]), n_active * width)
+                    held[first + i] = np.zeros((2, n_active, width))
+                node = node[use].astype(np.int64)
+                for f, (a, b) in enumerate(zip(starts, starts[1:])):  # an input at a time: its keys and counts are small
+                    key = node * (b - a) + x[use, f]
+                    for total, part in zip(held[first + i], (w, s)):
+                        total[:, a:b] += np.bincount(key, part[use, i], n_active * (b - a)).reshape(n_active, b - a)
         yield from out(held)
 
     def out(held):
         for tree, total in held.items():
-            cuts = range(0, total.shape[1], PIECE * width)
+            cuts = range(0, total.shape[1], PIECE)
             yield pd.DataFrame({
                 "tree": tree, "piece": range(len(cuts)),
-                "w": [total[0, a : a + PIECE * width].astype(np.int64).tobytes() for a in cuts],
-                "s": [total[1, a : a + PIECE * width].tobytes() for a in cuts],
+                "w": [total[0, a : a + PIECE].astype(np.int64).tobytes() for a in cuts],
+                "s": [total[1, a : a + PIECE].tobytes() for a in cuts],
             })
 
     return sums.mapInPandas(run, "tree int, piece int, w binary, s binary")

@@ -26,7 +26,7 @@ from stintwise.operators.lookup import scratch_path, settle
 
 MOST_NODES = 4_000_000  # walked by a task in one pass; 40 bytes each
 SENT = 262_144  # nodes that the driver holds at once, to send them
-CELLS = 4_000_000  # rows x trees walked at a time
+CELLS = 1_000_000  # rows x trees walked at a time
 MOST_KNOWN = 1_000_000  # cells whose answer a task keeps, some 24 bytes each
 FEATURES = "_features"
 
