@@ -16,7 +16,6 @@ from math import ceil, factorial, log2
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +29,7 @@ ROW_GROUP = 16 << 20  # bytes of sums that a task reads at once
 PIECE = 64  # nodes of a tree whose counts meet in a group
 AT_ONCE = 4096  # nodes of a tree counted in one pass
 COPIES = 64  # equal rows drawn one by one
-GROWN = 2_097_152  # nodes that the driver holds while their trees grow, some 50 bytes each
+GROWN = 1_048_576  # nodes that the driver holds while their trees grow, some 50 bytes each
 WRITTEN = 262_144  # nodes that the driver writes at once
 CODE = np.dtype(">u2")
 U = np.uint64
@@ -404,15 +403,24 @@ def write_nodes(spark: SparkSession, forest: dict[int, Growing], d: Design, path
     kept = ["tree", "node", inner("feature"), inner("threshold", "double"), inner("left"), inner("right"), "value", inner("gain", "double"), "drawn",
             F.when(F.col("rows") >= 0, F.col("rows")).alias("rows")]
 
-    def write(parts: list[pd.DataFrame]) -> None:
-        rows = pa.Table.from_pandas(pd.concat(parts, ignore_index=True), preserve_index=False)
-        spark.createDataFrame(rows).select(*kept).coalesce(1).write.mode("append").parquet(path)
+    def write(some: dict[int, Growing]) -> None:
+        # Broadcast: as rows of the driver's they would be part of a task, copied several times in its heap.
+        sent = spark.sparkContext.broadcast(some)
 
-    held, nodes = [], 0
+        def rows(_):
+            for number, t in sent.value.items():
+                whole = node_rows(number, t, d)
+                for a in range(0, len(whole), AT_ONCE):
+                    yield whole.iloc[a : a + AT_ONCE]
+
+        spark.range(0, 1, 1, 1).mapInPandas(rows, NODES).select(*kept).write.mode("append").parquet(path)
+        sent.destroy()
+
+    held, nodes = {}, 0
     for number, t in forest.items():
         if held and nodes + len(t.w) > WRITTEN:
             write(held)
-            held, nodes = [], 0
-        held.append(node_rows(number, t, d))
+            held, nodes = {}, 0
+        held[number] = t
         nodes += len(t.w)
     write(held)
